@@ -26,7 +26,7 @@ from tessella.llm.common import fold_of, folded_words, mixed, table, utf8
 DIMENSIONS = 1 << 20
 #: Labelled rows of each class that the model is fitted on, at most, as an expectation of a hashed draw.
 SAMPLE_PER_CLASS = 5000
-ALPHA, BETA, L1, L2, EPOCHS = 0.1, 1.0, 1.0, 1.0, 3
+ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 10.0, 1.0, 6
 THRESHOLD = 0.3
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
 
