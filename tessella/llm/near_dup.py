@@ -7,10 +7,12 @@ words give a collision-corrected estimate of their similarity, and what the
 estimate cannot rule out is confirmed on the full sets of 64-bit shingle hashes.
 
 Candidates are never all pairs of a bucket: first every member is held against
-the bucket's smallest class, and components are formed; then only pairs whose
-classes still lie in different components are looked at. So a bucket of n
-near copies costs n confirmations, and no pair that could join two components
-goes unseen. With the default bands a pair of similarity 0.8 shares no band key
+the bucket's centre, the class that meets most others, and components are
+formed. Of pairs around one centre whose classes still lie in different
+components, those are held that sizes, estimate and an upper bound allow: what
+both lost of the centre and what both added, counted on hashed bits. So a bucket
+of n near copies costs about n confirmations, and no pair that could join two
+components goes unseen. With the default bands a pair of similarity 0.8 shares no band key
 with probability (1 - 0.8^5)^32 = 3e-6; the estimate wrongly rules it out with
 probability 3e-7 (five standard deviations).
 
@@ -130,91 +132,136 @@ def similar(a: str, b: str, threshold: float) -> Column:
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (agreement(F.col(a + "sig"), F.col(b + "sig")) >= least_agreement(threshold))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, threshold: float) -> DataFrame:
-    """Those (x, y) of pairs whose full sets reach the threshold, as (u, v).
-
-    pairs: distinct (x, y, x_id, y_id), ids of a row that has the text. Texts
-    are dealt by y in groups of at most CHUNK members, each with y's own text in front.
-    """
-    percent = round(100 * threshold)
-    sizes = pairs.groupBy("y", "y_id").agg(F.count(F.lit(1)).alias("n"))
-    centres = sizes.select(F.col("y").alias("k"), F.col("y_id").alias("id"), F.col("y").alias("c"), F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / CHUNK).cast("int"))).alias("part"))
-    counted = sizes.select("y", F.floor((F.col("n") - 1) / CHUNK).cast("int").alias("last"))
-    members = pairs.join(counted, "y").select(F.col("x").alias("k"), F.col("x_id").alias("id"), F.col("y").alias("c"), F.pmod(F.xxhash64("x", "y"), F.col("last") + 1).cast("int").alias("part"))
-    wanted = centres.unionByName(members).groupBy("k", "id").agg(F.collect_list(F.struct("c", "part")).alias("to"))
+def texts_of(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """(k, text) of the classes (k, id): the one pass that moves texts, joined by sorting at every size."""
 
     @F.arrow_udf("binary")
     def key_of(text: pa.Array) -> pa.Array:
         return pa.array([set_key(s) if len(s := shingle_set(t, width)) else None for t in utf8(text)], pa.binary())
 
-    texts = docs.select(F.col("doc_id").alias("id"), "text", key_of(docs["text"]).alias("tk"))
-    wanted = written(wanted.withColumnRenamed("id", "rep"), "wanted")
-    met = texts.join(wanted, (texts["tk"] == wanted["k"]) & texts["id"].eqNullSafe(wanted["rep"]))
-    dealt = met.select("k", "text", F.explode("to").alias("t")).select("t.c", "t.part", "k", "text", (F.col("k") != F.col("t.c")).cast("int").alias("after"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(parts, "c", "part").sortWithinPartitions("c", "part", "after", "k")
+    texts = docs.select(F.col("doc_id").alias("row"), "text", key_of(docs["text"]).alias("tk"))
+    met = texts.join(classes.hint("merge"), (F.col("tk") == F.col("k")) & F.col("row").eqNullSafe(F.col("id")))
+    return met.select("k", "text").dropDuplicates(["k"])
+
+
+COMPARED = "x binary, y binary, linked boolean, gone long, more long, gone_slack long, more_slack long, gone_bits array<long>, more_bits array<long>"
+
+
+def bitmap(shingles: np.ndarray, words: int) -> tuple[np.ndarray, int]:
+    """Hashed bits of the shingles, and how many of them fell on a bit that was set."""
+    at = (shingles >> np.uint64(7)) % np.uint64(64 * words)
+    out = np.zeros(words, np.uint64)
+    np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return out.view(np.int64), len(shingles) - int(np.bitwise_count(out).sum())
+
+
+def compared(pairs: DataFrame, held: DataFrame, width: int, threshold: float) -> DataFrame:
+    """Each pair (x, y) of classes held against each other on their full sets, as COMPARED.
+
+    Texts are dealt by y in groups of at most CHUNK members, each with y's own
+    text in front. Beside the verdict a row tells how x differs from y: what is
+    gone and what is more, as numbers and as hashed bits.
+    """
+    percent = round(100 * threshold)
+    last = F.floor((F.col("n") - 1) / CHUNK).cast("int")
+    sizes = pairs.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
+    centres = sizes.select(F.col("y").alias("k"), F.col("y").alias("c"), F.explode(F.sequence(F.lit(0), last)).alias("part"))
+    members = pairs.join(sizes.select("y", last.alias("last")), "y").select(F.col("x").alias("k"), F.col("y").alias("c"), F.pmod(F.xxhash64("x", "y"), F.col("last") + 1).cast("int").alias("part"))
+    dealt = held.join(centres.unionByName(members), "k").select("c", "part", "k", "text", (F.col("k") != F.col("c")).cast("int").alias("after"))
+    parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(parts, "c", "part").sortWithinPartitions("c", "part", "after", "k").select("c", "part", "k", "text")
 
     def run(batches):
-        centre, own = None, None
+        centre, own, words = None, None, 4
         for batch in batches:
-            us, vs = [], []
+            rows = []
             for c, part, k, text in zip(batch.column("c").to_pylist(), batch.column("part").to_pylist(), batch.column("k").to_pylist(), utf8(batch.column("text"))):
+                s = shingle_set(text, width)
                 if k == c:
                     if (c, part) != centre:
-                        centre, own = (c, part), shingle_set(text, width)
+                        centre, own = (c, part), s
+                        words = min(512, max(4, 1 << (len(s) // 16).bit_length()))
                     continue
-                s = shingle_set(text, width)
-                both = len(own) + len(s)
-                union = len(np.union1d(own, s))
-                if 100 * (both - union) >= percent * union:
-                    us.append(k), vs.append(c)
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], ["u", "v"])
+                gone, more = np.setdiff1d(own, s, assume_unique=True), np.setdiff1d(s, own, assume_unique=True)
+                both = len(s) - len(more)
+                (gone_bits, gone_slack), (more_bits, more_slack) = bitmap(gone, words), bitmap(more, words)
+                linked = 100 * both >= percent * (len(own) + len(more))
+                rows.append((k, c, linked, len(gone), len(more), gone_slack, more_slack, gone_bits, more_bits))
+            kinds = [pa.binary(), pa.binary(), pa.bool_(), *[pa.int64()] * 4, *[pa.list_(pa.int64())] * 2]
+            names = ["x", "y", "linked", "gone", "more", "gone_slack", "more_slack", "gone_bits", "more_bits"]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
 
-    return dealt.select("c", "part", "k", "text").mapInArrow(run, "u binary, v binary")
+    return dealt.mapInArrow(run, COMPARED)
+
+
+
+def common_at_most(x: str, y: str) -> Column:
+    """Shingles that two members of a centre can share at most.
+
+    What both lost of the centre and what both added is bounded by their bits;
+    the rest of the centre they share. Null where one was not held against it.
+    """
+
+    def shared(what: str) -> Column:
+        a, b = F.col(f"{x}{what}_bits"), F.col(f"{y}{what}_bits")
+        bits = F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseAND(q)).cast("long")), F.lit(0).cast("long"), lambda n, v: n + v)
+        return bits + F.least(F.col(f"{x}{what}_slack"), F.col(f"{y}{what}_slack"))
+
+    centre = F.col(x + "n") + F.col(x + "gone") - F.col(x + "more")
+    return centre - F.col(x + "gone") - F.col(y + "gone") + shared("gone") + shared("more")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of docs."""
-    spark = docs.sparkSession
+    spark, percent = docs.sparkSession, round(100 * threshold)
     rows = written(signed(docs, width), "signed")
     classes = written(
         rows.where(F.col("k").isNotNull()).groupBy("k").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")),
         "classes",
     )
     members = classes.select("k", F.explode("bands").alias("band"))
-    centre = written(members.groupBy("band").agg(F.min("k").alias("y"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1).select("band", "y"), "centres")
-    buckets = written(members.join(centre, "band").select("band", "k", "y"), "buckets")
-    facts = classes.select("k", "id", "n", "sig")
+    sizes = written(members.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1), "sizes")
+    buckets = written(members.join(sizes, "band"), "buckets")
+    # the class that meets most others is the centre of its buckets: an original meets its copies more often than they meet each other
+    weight = written(buckets.groupBy("k").agg(F.sum("size").alias("weight")), "weights")
+    weighed = written(buckets.join(weight, "k").select("band", "k", "weight"), "weighed")
+    centre = written(weighed.groupBy("band").agg(F.max(F.struct("weight", "k"))["k"].alias("y")), "centres")
+    around = written(weighed.join(centre, "band").select("k", "y").distinct(), "around")
+    held = written(texts_of(docs, weight.select("k").join(classes.select("k", "id"), "k"), width), "texts")
+    facts = written(weight.select("k").join(classes.select("k", "n", "sig"), "k"), "facts")
+    dropped(spark, sizes, buckets, weight, weighed, centre)
 
     def side(name: str) -> DataFrame:
-        return facts.select(F.col("k").alias(name), F.col("id").alias(f"{name}_id"), F.col("n").alias(f"{name}_n"), F.col("sig").alias(f"{name}_sig"))
+        return facts.select(F.col("k").alias(name), F.col("n").alias(f"{name}_n"), F.col("sig").alias(f"{name}_sig"))
 
-    stars = buckets.where(F.col("k") != F.col("y")).select(F.col("k").alias("x"), "y").distinct()
-    stars = written(stars.join(side("x"), "x").join(side("y"), "y").where(similar("x_", "y_", threshold)).select("x", "y", "x_id", "y_id"), "stars")
-    links = written(confirmed(stars, docs, width, threshold), "confirmed")
+    stars = around.where(F.col("k") != F.col("y")).select(F.col("k").alias("x"), "y")
+    stars = written(stars.join(side("x"), "x").join(side("y"), "y").where(similar("x_", "y_", threshold)).select("x", "y"), "stars")
+    told = written(compared(stars, held, width, threshold), "compared")
+    links = told.where("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
 
     roots = written(components(links), "roots")
-    placed = written(
-        buckets.join(roots, buckets["k"] == roots["node"], "left").select("band", "k", "y", F.coalesce("root", "k").alias("root")), "placed"
-    )
-    split = placed.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where(F.col("a") != F.col("b")).select("band")
-    home = placed.where(F.col("k") == F.col("y")).select("band", F.col("root").alias("home"))
-    torn = written(split.join(home, "band"), "torn")
-    open_ = written(placed.join(torn, "band").join(facts, "k").select("band", "k", "id", "n", "sig", "root", "y", "home"), "open")
-    strays = open_.where(F.col("root") != F.col("home")).select("band", F.col("k").alias("x"), F.col("id").alias("x_id"), F.col("n").alias("x_n"), F.col("sig").alias("x_sig"), F.col("root").alias("x_root"))
-    others = open_.select("band", F.col("k").alias("y"), F.col("id").alias("y_id"), F.col("n").alias("y_n"), F.col("sig").alias("y_sig"), F.col("root").alias("y_root"), "home", (F.col("k") == F.col("y")).alias("centre"))
-    # a pair of two strays is seen from its greater class only; the centre's own pairs are confirmed already
-    once = ~F.col("centre") & ((F.col("y_root") == F.col("home")) | (F.col("x") > F.col("y")))
-    late = strays.join(others, "band").where((F.col("x_root") != F.col("y_root")) & once & similar("x_", "y_", threshold)).select("x", "y", "x_id", "y_id").distinct()
-    late = written(late, "late")
-    late_links = written(confirmed(late, docs, width, threshold), "late-confirmed")
+    rooted = written(around.join(roots, around["k"] == roots["node"], "left").select("k", "y", F.coalesce("root", "k").alias("root")), "rooted")
+    home = rooted.where(F.col("k") == F.col("y")).select("y", F.col("root").alias("home"))
+    placed = written(rooted.join(written(home, "home"), "y"), "placed")
+    torn = written(placed.where(F.col("root") != F.col("home")).select("y").distinct(), "torn")
+    delta = told.select(F.col("x").alias("k"), "y", "gone", "more", "gone_slack", "more_slack", "gone_bits", "more_bits")
+    open_ = written(placed.join(torn, "y").join(facts, "k").join(delta, ["k", "y"], "left").where(F.col("k") != F.col("y")), "open")
+    own = ["k", "n", "sig", "root", "gone", "more", "gone_slack", "more_slack", "gone_bits", "more_bits"]
+    strays = open_.where(F.col("root") != F.col("home")).select("y", *[F.col(c).alias("x_" + c) for c in own])
+    others = open_.select("y", "home", *[F.col(c).alias("z_" + c) for c in own])
+    # a pair of two strays is seen from its greater class only
+    once = (F.col("z_root") == F.col("home")) | (F.col("x_k") > F.col("z_k"))
+    possible = F.coalesce((100 + percent) * common_at_most("x_", "z_") >= percent * (F.col("x_n") + F.col("z_n")), F.lit(True))
+    late = strays.join(others, "y").where((F.col("x_root") != F.col("z_root")) & once & similar("x_", "z_", threshold) & possible)
+    late = written(late.select(F.col("x_k").alias("x"), F.col("z_k").alias("y")).distinct(), "late")
+    late_links = written(compared(late, held, width, threshold).where("linked").select(F.col("x").alias("u"), F.col("y").alias("v")), "late-links")
 
     ways = roots.where(F.col("node") != F.col("root")).select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(late_links)
-    joined = components(ways)
+    joined = written(components(ways), "joined")
     named = written(classes.select("k", "id").join(joined, classes["k"] == joined["node"], "left").select("k", "id", F.coalesce("root", "k").alias("root")), "named")
     least = written(named.groupBy("root").agg(F.min("id").alias("component_id")), "least-ids")
     of_class = written(named.join(least, "root").select("k", "component_id"), "of-class")
-    dropped(spark, centre, buckets, stars, links, placed, torn, open_, late, roots, named, least)
+    dropped(spark, classes, around, held, facts, stars, told, roots, rooted, placed, torn, open_, late, late_links, joined, named, least)
     out = rows.select("doc_id", "n_shingles", "k").join(of_class, "k", "left")
     component = F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
