@@ -1 +1 @@
-
+"""Change logs and the streams that follow them."""
