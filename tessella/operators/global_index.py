@@ -297,17 +297,18 @@ class Indexes:
                 plan.index = "fallback"
                 continue
             choices.append((not s.index.unique, size, -len(parts), s.index.name, s, domains))
-        routed, keys = None, None
+        keys = None
         if choices:
             *_, s, domains = min(choices, key=lambda c: c[:4])
             values = list(itertools.product(*domains))
             keys = self.keys(s.index, values)
             # what is uncertain is read before the entries, so a commit between the two is not missed
-            plan.uncertain = self.uncertain(s)
+            # and shards of pending reservations may get the key at any time
+            plan.uncertain = sorted({*self.uncertain(s), *Authority(self.engine, s.index.name).shards(keys)})
             plan.candidates = sorted(r["_shard"] for r in self.candidates(s, values).select("_shard").distinct().collect()) if keys else []
             plan.index_name = s.index.name
-            routed = sorted({*plan.candidates, *plan.uncertain, *Authority(self.engine, s.index.name).shards(keys)})
-            plan.shards = [k for k in routed if plan.shards is None or k in plan.shards]
+            routed = {*plan.candidates, *plan.uncertain}
+            plan.shards = sorted(k for k in routed if plan.shards is None or k in plan.shards)
             plan.index = "routed" if plan.shards else "empty"
         for s in found:
             if s.state != "ready" or s.index.predicate or plan.shards == []:
@@ -320,7 +321,7 @@ class Indexes:
             late, summaries = self.uncertain(s), self.summaries(s)
             now = plan.shards if plan.shards is not None else list(range(self.engine.shards))
             for k in now:
-                if k in late or k in plan.candidates:
+                if k in late or k in plan.candidates or k in plan.uncertain:
                     continue
                 why = exclusion(summaries[k], own, part, bounds) if k in summaries else ("empty_summary" if k in s.applied and k not in s.entries else None)
                 if why:

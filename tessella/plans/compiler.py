@@ -340,7 +340,8 @@ def grouped(df: DataFrame, at: Scope, group: list[Node], trees: list[Node]) -> t
         if len(extremes) == 1:
             # beside one MIN or MAX, bare columns come from the row that has it
             pick = F.min_by if extremes[0].function == "min" else F.max_by
-            columns.append(pick(v, at.of(extremes[0].argument).column).alias(f"b{k}"))
+            by = at.of(extremes[0].argument).column
+            columns.append(F.when(F.count(by) > 0, pick(v, by)).otherwise(F.any_value(v)).alias(f"b{k}"))
         else:
             columns.append(F.any_value(v).alias(f"b{k}"))
     keyed = df.groupBy(*[g.column.alias(f"g{k}") for k, g in enumerate(keys)])

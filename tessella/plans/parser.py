@@ -218,6 +218,8 @@ class _Parser:
 
     def bound(self) -> Node:
         t = self.now
+        if self.peek().kind == "symbol" and self.peek().text in ("+", "-", "*", "/", "%"):
+            raise Unsupported("LIMIT and OFFSET take digits or a placeholder")
         if t.kind == "param":
             return self.param()
         if t.kind == "number" and t.text.isdigit():
