@@ -24,10 +24,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the base rules or the learned decision list reject."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    drawn = labels.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    known = quality.measured(docs.select("doc_id", "text").join(drawn, "doc_id", "left_semi"), keep=("doc_id",))
-    rules = quality.fit(known, labels)
+    drawn = quality.drawn_labels(table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    labelled = docs.select("doc_id", "text").join(F.broadcast(drawn.select("doc_id")), "doc_id", "left_semi")
+    rules = quality.fit(quality.measured(labelled, keep=("doc_id",)), drawn)
     told = quality.with_measures(docs, OWN)
     return told.where(~quality.base_failed(f"{OWN}.") & quality.decision(rules, f"{OWN}.")).select(*docs.columns)
 

@@ -165,7 +165,8 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) ->
             m[old, :] -= right
             m[:, old] -= left
             m[old, old] -= itself
-            fm, rows, cols = _xlogx(m), m.sum(axis=1), m.sum(axis=0)
+            # what others have before and after w counts in their margins wherever w goes
+            fm, rows, cols = _xlogx(m), m.sum(axis=1) + left, m.sum(axis=0) + right
             a, b = _xlogx(m + right[None, :]) - fm, (_xlogx(m + left[:, None]) - fm).T
             gain = a.sum(axis=1) - a[diagonal, diagonal] + b.sum(axis=1) - b[diagonal, diagonal]
             gain += _xlogx(m[diagonal, diagonal] + right + left + itself) - fm[diagonal, diagonal]
@@ -183,6 +184,13 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) ->
     return of
 
 
+def transitions(m: np.ndarray) -> np.ndarray:
+    """P(class | class before): Witten-Bell interpolation of class bigrams with class unigrams."""
+    single = (m.sum(axis=0) + ADD) / (m.sum() + ADD * len(m))
+    kinds, n = (m > 0).sum(axis=1, keepdims=True), m.sum(axis=1, keepdims=True)
+    return np.where(n > 0, (m + kinds * single) / np.maximum(n + kinds, 1), single)
+
+
 @dataclass
 class ClassModel:
     symbols: Symbols
@@ -229,7 +237,7 @@ def fit(docs: DataFrame) -> tuple[ClassModel, DataFrame]:
     one_hot = np.zeros((symbols.size, total))
     one_hot[np.arange(symbols.size), of] = 1
     m = one_hot.T @ pairs @ one_hot
-    step = np.log10((m + ADD) / (m.sum(axis=1, keepdims=True) + ADD * total))
+    step = np.log10(transitions(m))
     seen = pairs.sum(axis=0).astype(np.float64)
     emit = np.log10((seen + ADD) / ((one_hot.T @ (seen + ADD))[of]))
     floor = np.zeros(symbols.size)

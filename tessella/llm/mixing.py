@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import PLAIN_WORD, table
+from tessella.llm.common import PLAIN_WORD, table, written
 
 CAP = 3
 SEED = "mix-1"
@@ -64,28 +64,37 @@ def coin(doc_id: str = "doc_id", text: str = "text"):
     return F.conv(F.substring(F.md5(said.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+#: A source table of at most this many rows is broadcast; a larger one is joined by shuffle.
+SMALL = 10_000
+
+
+def goals(docs: DataFrame) -> DataFrame:
+    """(__mix_source, __mix_size, __mix_target) of each source, written once, marked for broadcast if it is small."""
+    of = targets(docs.select("source", word_count().alias("size")))
+    goal = written(of.select(F.col("source").alias("__mix_source"), F.col("source_size").alias("__mix_size"), F.col("target").alias("__mix_target")), "mix-targets")
+    return F.broadcast(goal) if goal.count() <= SMALL else goal
+
+
+def with_copies(docs: DataFrame) -> DataFrame:
+    """docs with its source's figures and ``__mix_copies``: floor(rate), and one more where the coin falls under the fraction."""
+    goal = goals(docs)
+    met = docs.join(goal, docs["source"].eqNullSafe(goal["__mix_source"]))
+    rate = F.when(F.col("__mix_size") > 0, F.col("__mix_target") / F.col("__mix_size")).otherwise(F.lit(0.0))
+    whole = F.floor(rate)
+    return met.withColumn("__mix_copies", (whole + (coin() < rate - whole).cast("long")).cast("long"))
+
+
 def planned(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, copies, taken) of each row of (doc_id, text, source)."""
-    sized = docs.select("doc_id", "source", word_count().alias("size"), coin().alias("coin"))
-    # one row a source; adaptive execution broadcasts it while its measured size allows, else joins it by shuffle
-    goal = targets(docs.select("source", word_count().alias("size")))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    whole = F.floor(rate)
-    met = sized.alias("d").join(goal.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source")))
-    copies = (whole + (F.col("coin") < rate - whole).cast("long")).cast("long")
-    return met.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    met = with_copies(docs.select("doc_id", "source", "text")).withColumn("size", word_count())
+    return met.select("doc_id", "size", F.col("__mix_size").alias("source_size"), F.col("__mix_target").alias("target"), F.col("__mix_copies").alias("copies"), (F.col("__mix_copies") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """Every row of docs as often as the mix takes it, with all its columns and the number of the copy."""
     at = "__mix_copy" if "copy" in docs.columns else "copy"
-    goal = targets(docs.select("source", word_count().alias("size"))).select(F.col("source").alias("__mix_source"), F.col("source_size").alias("__mix_size"), F.col("target").alias("__mix_target"))
-    rate = F.when(F.col("__mix_size") > 0, F.col("__mix_target") / F.col("__mix_size")).otherwise(F.lit(0.0))
-    whole = F.floor(rate)
-    copies = (whole + (coin() < rate - whole).cast("long")).cast("int")
-    met = docs.join(goal, docs["source"].eqNullSafe(goal["__mix_source"]))
-    taken = met.withColumn("__mix_copies", copies).where(F.col("__mix_copies") > 0)
-    return taken.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))).alias(at))
+    taken = with_copies(docs).where(F.col("__mix_copies") > 0)
+    return taken.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int"))).alias(at))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -164,7 +164,7 @@ def compared(pairs: DataFrame, held: DataFrame, width: int, threshold: float) ->
     """
     percent = round(100 * threshold)
     last = F.floor((F.col("n") - 1) / CHUNK).cast("int")
-    sizes = pairs.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
+    sizes = written(pairs.groupBy("y").agg(F.count(F.lit(1)).alias("n")), "centre-sizes")
     centres = sizes.select(F.col("y").alias("k"), F.col("y").alias("c"), F.explode(F.sequence(F.lit(0), last)).alias("part"))
     members = pairs.join(sizes.select("y", last.alias("last")), "y").select(F.col("x").alias("k"), F.col("y").alias("c"), F.pmod(F.xxhash64("x", "y"), F.col("last") + 1).cast("int").alias("part"))
     dealt = held.join(centres.unionByName(members), "k").select("c", "part", "k", "text", (F.col("k") != F.col("c")).cast("int").alias("after"))

@@ -188,15 +188,18 @@ def decision(rules: list[Rule], at: str = "") -> Column:
     return F.lit(True) if out is F else out.otherwise(F.lit(True))
 
 
-def fit(measures_: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
-    """Rules from (doc_id, MEASURES...) and (doc_id, quality), a hashed draw of about ``sample`` rows."""
+def drawn_labels(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, quality) of about ``sample`` labelled documents at most, by a hash of the id; the worst label counts."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    n = known.count()
-    if not n:
-        return []
-    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, sample / n) * (1 << 30)))
+    rate = min(1.0, sample / max(1, known.count()))
+    return known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(rate * (1 << 30)))
+
+
+def fit(measures_: DataFrame, drawn: DataFrame) -> list[Rule]:
+    """Rules from (doc_id, MEASURES...) and the drawn labels; base failures teach nothing."""
     once = measures_.select("doc_id", *(c.alias(s) for s, c in statistics().items()), base_failed().alias("failed"))
-    rows = once.join(drawn, "doc_id").where(~F.col("failed")).drop("failed").toPandas()
+    # the draw is small by its parameter, so it may be broadcast
+    rows = once.join(F.broadcast(drawn), "doc_id").where(~F.col("failed")).drop("failed").toPandas()
     rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
     ids = rows["doc_id"].to_numpy(np.uint64)
     grow = (ids * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(3) != 0
@@ -205,6 +208,6 @@ def fit(measures_: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[R
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = written(measured(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=("doc_id",)), "measures")
-    rules = fit(got, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    rules = fit(got, drawn_labels(table(spark, sf_dir, "labels").select("doc_id", "quality")))
     failed = base_failed()
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & decision(rules)).alias("kept"))

@@ -31,6 +31,7 @@ END = "\r\n\r\n"
 
 _HIDDEN = re.compile(r"<!--.*?-->|<(script|style|noscript|template|head)\b[^>]*>.*?</\1\s*>", re.S | re.I)
 _BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|main|blockquote|pre|hr|title|body|html)\b[^>]*>", re.I)
+_CELL = re.compile(r"</?(?:td|th|option|select|button|input|label|img|iframe)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[!/?a-zA-Z][^>]*>")
 _TITLE = re.compile(r"<title[^>]*>(.*?)</title\s*>", re.S | re.I)
 _LANG = re.compile(r"<html\b[^>]*\blang\s*=\s*[\"']?([\w-]+)", re.I)
@@ -43,8 +44,8 @@ def digest(data: bytes) -> str:
 
 
 def plain_text(page: str) -> str:
-    """The page's visible text, a line for each block."""
-    text = _TAG.sub(" ", _BREAK.sub("\n", _HIDDEN.sub(" ", page)))
+    """The page's visible text: a line for each block, a blank between cells, nothing in place of inline tags."""
+    text = _TAG.sub("", _CELL.sub(" ", _BREAK.sub("\n", _HIDDEN.sub(" ", page))))
     return _LINES.sub("\n", _BLANKS.sub(" ", entities.unescape(text))).strip()
 
 
