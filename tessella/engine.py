@@ -101,6 +101,7 @@ class Engine:
         self.state = "open"
         self.attached: dict[str, Table] = {}
         self.indexes = None
+        self._leases: dict[str, tuple[int, int]] = {}
         if self.store:
             from tessella.operators.global_index import Indexes
 
@@ -318,19 +319,19 @@ class Engine:
             new = writes.inserted_rows(self.spark, table, statement, params, generated).withColumn("_shard", F.lit(shard))
             kept, new = writes.with_conflicts(table, old, new, statement.conflict)
             affected = new.count()
-            writes.violations(table, kept.drop("_rid").unionByName(new))
+            writes.checked_insert(table, kept, new)
             folders = self.store.write(table, new).get(shard, [])
             if statement.conflict == "replace":
                 folders = self.store.write(table, kept).get(shard, []) + folders
             else:
                 folders = before.folders.get(shard, []) + folders
         else:
-            after, touched = writes.changed(table, statement, old, params)
+            after, touched, columns = writes.changed(table, statement, old, params)
             affected = touched.count()
             if not affected:
                 return WriteResult(shard, 0)
             if isinstance(statement, Update):
-                writes.violations(table, after)
+                writes.checked_update(table, after, touched, columns)
             folders = self.store.write(table, after).get(shard, [])
         now = {**before.folders, shard: folders}
         result = WriteResult(shard, affected, (table.generated_column, generated) if generated is not None else None)
@@ -344,20 +345,31 @@ class Engine:
         return result
 
     def next_id(self, table: Table, shards: list[int] | None) -> tuple[int, list[int]]:
-        """A new id of the table's policy, and the shard that it lives on; numbers are never reused."""
+        """A new id of the table's policy, and the shard that it lives on.
+
+        Block sequences are leased BLOCK numbers at a time; what an engine does
+        not use of its lease is a gap, and no number is given out twice.
+        """
         state = State(self.store.files, f"{self.store.root}/ids/{table.name}")
+        if table.generated == "block":
+            first, last = self._leases.get(table.name, (1, 0))
+            if first > last:
+                first = self._leased(state, "next", generated_id.BLOCK)
+                last = first + generated_id.BLOCK - 1
+            self._leases[table.name] = (first + 1, last)
+            value = generated_id.encode_block(first)
+            return value, [shard_of(value, self.shards)]
+        owner = shards[0] if shards else state.read()[0] % self.shards
+        return generated_id.encode_range(owner, self._leased(state, str(owner), 1)), [owner]
+
+    def _leased(self, state: State, name: str, count: int) -> int:
+        """The first of count numbers that nobody else has."""
         for _ in range(20):
             version, x = state.read({})
+            first = x.get(name, 1)
             try:
-                if table.generated == "range":
-                    owner = shards[0] if shards else version % self.shards
-                    sequence = x.get(str(owner), 0) + 1
-                    state.write(version, {**x, str(owner): sequence})
-                    return generated_id.encode_range(owner, sequence), [owner]
-                sequence = x.get("next", 1)
-                state.write(version, {"next": sequence + 1})
-                value = generated_id.encode_block(sequence)
-                return value, [shard_of(value, self.shards)]
+                state.write(version, {**x, name: first + count})
+                return first
             except Busy:
                 continue
         raise Busy("ids are in demand")

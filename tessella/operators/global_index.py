@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from tessella.errors import FailedPrecondition, InvalidArgument, UniqueViolation
 from tessella.functions.index_key import MAX_PARTS, Part, encode, encode_unique, key_column, part_for
 from tessella.operators.authority import Authority
-from tessella.operators.summary import SHAPE, Summary, collected, exclusion, summarised
+from tessella.operators.summary import SHAPE, Summary, collected, exclusion, numbered, summarised
 from tessella.plans import planner
 from tessella.plans.compiler import as_truth, scope
 from tessella.plans.domains import ANY, MAX_KEYS, range_domain, value_domain
@@ -30,7 +30,8 @@ from tessella.sources.catalog import Table
 from tessella.sources.files import State
 from tessella.sources.storage import Snapshot
 
-MAX_CANDIDATES, MAX_REPAIRS = 4096, 64
+#: shards noted for repair by reads, at most
+MAX_REPAIRS = 64
 ENTRY = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("locator", T.BinaryType())])
 #: lifecycle: what each state may become
 STATES = {
@@ -191,7 +192,7 @@ class Indexes:
         return self.entries(s).groupBy("key").count().where("count > 1")
 
     def _apply(self, s: IndexState, table: Table, snapshot: Snapshot, shards: list[int]) -> None:
-        """Makes the entries of shards from one snapshot, and all summaries anew from entries."""
+        """Makes the entries and summaries of shards from one snapshot; other shards keep theirs."""
         if shards:
             base = f"{self.root}/{s.index.name}/data/{uuid.uuid4().hex}"
             made = self.keyed(s.index, self.engine.store.read(table, shards, snapshot))
@@ -203,8 +204,15 @@ class Indexes:
                 if k in found:
                     s.entries[k] = f"{base}/_shard={k}"
                 s.applied[k] = list(snapshot.folders.get(k, []))
+        self.summarise(s, shards)
+
+    def summarise(self, s: IndexState, shards: list[int]) -> None:
+        """Writes the summaries of the shards' entries beside those of all other shards."""
+        rows = summarised(self.entries(s, shards))
+        if s.summaries:
+            rows = rows.unionByName(self.spark.read.schema(SHAPE).parquet(s.summaries).where(~F.col("shard").isin(shards)))
         path = f"{self.root}/{s.index.name}/summaries/{uuid.uuid4().hex}"
-        summarised(self.entries(s)).write.parquet(path)
+        rows.coalesce(1).write.parquet(path)
         s.summaries = path
         self._summaries.pop(s.index.name, None)
 
@@ -341,9 +349,11 @@ class Indexes:
 
     # -- checks
     def verify(self, name: str, values: list[tuple]) -> DataFrame:
-        """(key, _shard, locator, outcome) of each candidate: verified, missing_row or mismatched_key.
+        """(key, _shard, locator, outcome) of each candidate.
 
-        Candidates are few by their keys; the rows' side is read only on the candidates' shards.
+        verified: its row has the key; mismatched_key: its row has another;
+        missing_row: the shard has no such row; invalid_locator: it names none.
+        The rows' side is read only on the candidates' shards.
         """
         s = self.get(name)
         table = self._table(s.index)
@@ -351,9 +361,35 @@ class Indexes:
         shards = sorted(r["_shard"] for r in found.select("_shard").distinct().collect())
         now = self.keyed(s.index, self.engine.store.read(table, shards)).select("_shard", "locator", F.col("key").alias("now"))
         met = found.join(now, ["_shard", "locator"], "left")
-        outcome = F.when(F.col("now").isNull(), "missing_row").when(F.col("now") != F.col("key"), "mismatched_key").otherwise("verified")
+        valid = F.substring("locator", 1, 4) == F.lit(b"BIDX") if table.primary else F.length("locator") > 0
+        outcome = F.when(~F.coalesce(valid, F.lit(False)), "invalid_locator").when(F.col("now").isNull(), "missing_row").when(F.col("now") != F.col("key"), "mismatched_key").otherwise("verified")
         return met.select("key", "_shard", "locator", outcome.alias("outcome"))
 
+    def checked_lookup(self, name: str, values: list[tuple]) -> DataFrame:
+        """lookup, after verification: stale candidates are noted for repair, and then no shard is taken as known."""
+        s = self.get(name)
+        stale = self.verify(name, values).where(F.col("outcome") != "verified").select("_shard").distinct().collect()
+        if not stale:
+            return self.lookup(name, values)
+        queue = State(self.files, f"{self.root}/{name}/repairs")
+        version, x = queue.read({"shards": []})
+        queue.write(version, {"shards": sorted({*x["shards"], *(r["_shard"] for r in stale)})[:MAX_REPAIRS]})
+        rows = self.engine.store.read(self._table(s.index))
+        keys = self.keys(s.index, values)
+        return self._with_key(s.index, rows).where(F.col("_key").isin([bytearray(k) for k in keys]) if keys else F.lit(False)).select(*self._table(s.index).names)
+
+    def repair_noted(self, name: str) -> int:
+        """Makes the entries of the noted shards anew; returns their number."""
+        queue = State(self.files, f"{self.root}/{name}/repairs")
+        version, x = queue.read({"shards": []})
+        if x["shards"]:
+            s = self.get(name)
+            table = self._table(s.index)
+            self._apply(s, table, self.engine.store.snapshot(table), x["shards"])
+            self._put(s)
+            queue.write(version, {"shards": []})
+        return len(x["shards"])
+
     def validate(self, name: str, sample: int | None = None) -> DataFrame:
         """(issue, _shard, key, locator): entries against keys recomputed from the rows, all or a sample of entries."""
         s = self.get(name)
@@ -362,22 +398,10 @@ class Indexes:
         if sample is not None:
             total = have.count()
             picked = sample_ordinals(total, sample)
-            numbered = self._numbered(have)
-            return numbered.where(F.col("n").isin(picked)).drop("n").join(want, ["_shard", "key", "locator"], "left").where(F.col("want").isNull()).select(F.lit("stale_entry").alias("issue"), "_shard", "key", "locator")
+            return numbered(have, "key", "_shard", "locator").where(F.col("n").isin(picked)).drop("n").join(want, ["_shard", "key", "locator"], "left").where(F.col("want").isNull()).select(F.lit("stale_entry").alias("issue"), "_shard", "key", "locator")
         met = want.join(have, ["_shard", "key", "locator"], "full")
         return met.where(F.col("want").isNull() | F.col("have").isNull()).select(F.when(F.col("have").isNull(), "missing_entry").otherwise("stale_entry").alias("issue"), "_shard", "key", "locator")
 
-    def _numbered(self, rows: DataFrame) -> DataFrame:
-        """Rows with their ordinal by (key, shard, locator): partition counts, not one global window."""
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        dealt = rows.repartitionByRange(parts, "key", "_shard", "locator").sortWithinPartitions("key", "_shard", "locator").withColumn("p", F.spark_partition_id()).withColumn("i", F.monotonically_increasing_id())
-        sizes = {r["p"]: (r["n"], r["least"]) for r in dealt.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("least")).collect()}
-        start, at = {}, 0
-        for p in sorted(sizes):
-            start[p], at = at - sizes[p][1], at + sizes[p][0]
-        offsets = F.create_map(*[F.lit(x) for kv in start.items() for x in kv]) if start else F.create_map(F.lit(0), F.lit(0))
-        return dealt.withColumn("n", F.col("i") + offsets[F.col("p")]).drop("p", "i")
-
     def repair(self, name: str) -> int:
         """Makes the entries of every shard with an issue anew; unique indexes are rebuilt instead."""
         s = self.get(name)

@@ -61,6 +61,22 @@ def summarised(entries: DataFrame) -> DataFrame:
     return bounds.join(filters, "shard").select("shard", "keys", words.alias("words"), "least", "greatest")
 
 
+def numbered(rows: DataFrame, *order: str, first: int = 0) -> DataFrame:
+    """rows with ``n``, their ordinal in the order, from first.
+
+    A range partitioning and a count for each partition give it; no task sees
+    more than its partition, and the driver holds one number for each.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    start, at = [], first
+    for r in sorted(dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("n"), F.min("_i").alias("least")).collect(), key=lambda r: r["_p"]):
+        start += [F.lit(r["_p"]), F.lit(at - r["least"])]
+        at += r["n"]
+    offsets = F.create_map(*start) if start else F.create_map(F.lit(0), F.lit(0))
+    return dealt.withColumn("n", F.col("_i") + offsets[F.col("_p")]).drop("_p", "_i")
+
+
 def collected(rows: DataFrame) -> dict[int, Summary]:
     """At most one small row a shard."""
     return {

@@ -71,43 +71,69 @@ def inserted_rows(spark, table: Table, statement: Insert, params: list, generate
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
-def violations(table: Table, rows: DataFrame) -> None:
-    """Raises the first constraint that the rows of one shard break; one pass for row checks, one for each key."""
-    bad = []
-    for c in table.columns:
-        if c.not_null or c.name in table.primary:
-            bad.append((NotNullViolation("a column cannot be null"), F.col(f"`{c.name}`").isNull()))
-    for check in table.checks:
-        bad.append((CheckViolation("a check failed"), ~check_scope(table, rows, check)))
+def broken_rows(table: Table, rows: DataFrame) -> None:
+    """Raises the first NOT NULL or CHECK that new rows break; one pass over them."""
+    bad = [(NotNullViolation("a column cannot be null"), F.col(f"`{c.name}`").isNull()) for c in table.columns if c.not_null or c.name in table.primary]
+    bad += [(CheckViolation("a check failed"), ~check_scope(table, rows, check)) for check in table.checks]
     if bad:
         counts = rows.agg(*[F.count(F.when(c, 1)).alias(f"b{k}") for k, (_, c) in enumerate(bad)]).first()
         for (error, _), n in zip(bad, counts):
             if n:
                 raise error
-    for key in ([table.primary] if table.primary else []) + list(table.uniques):
-        known = rows.where(" AND ".join(f"`{c}` IS NOT NULL" for c in key))
-        if known.groupBy(*key).count().where("count > 1").limit(1).count():
+
+
+def unique_keys(table: Table) -> list[tuple[str, ...]]:
+    return ([table.primary] if table.primary else []) + list(table.uniques)
+
+
+def _known(rows: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    return rows.select(*key).where(" AND ".join(f"`{c}` IS NOT NULL" for c in key))
+
+
+def doubled(table: Table, rows: DataFrame, keys: list[tuple[str, ...]]) -> None:
+    """Raises UniqueViolation where a key stands twice among the rows."""
+    for key in keys:
+        if _known(rows, key).groupBy(*key).count().where("count > 1").limit(1).count():
             raise UniqueViolation("a unique key stands twice")
 
 
-def changed(table: Table, statement: Update | Delete, rows: DataFrame, params: list) -> tuple[DataFrame, DataFrame]:
-    """(the shard's rows after the statement, the rows it touches as they were)."""
+def checked_insert(table: Table, old: DataFrame, new: DataFrame) -> None:
+    """Checks inserted rows, which the statement's length bounds, against themselves and the shard's keys.
+
+    The new keys are few and go to the tasks; of the shard only key columns are read.
+    """
+    broken_rows(table, new)
+    doubled(table, new, unique_keys(table))
+    for key in unique_keys(table):
+        if _known(old, key).join(F.broadcast(_known(new, key)), list(key), "left_semi").limit(1).count():
+            raise UniqueViolation("a unique key stands twice")
+
+
+def checked_update(table: Table, after: DataFrame, hit: DataFrame, assigned_columns: set[str]) -> None:
+    """Checks changed rows, and of the unique keys only those that an assigned column is part of."""
+    broken_rows(table, hit)
+    doubled(table, after, [k for k in unique_keys(table) if assigned_columns & set(k)])
+
+
+def changed(table: Table, statement: Update | Delete, rows: DataFrame, params: list) -> tuple[DataFrame, DataFrame, set[str]]:
+    """(the shard's rows after the statement, the rows it touches as they become, the columns it assigns)."""
     at = scope(rows, table.names, params, statement.table.name, statement.table.alias)
     hit = F.coalesce(as_truth(at.of(statement.where)), F.lit(False)) if statement.where is not None else F.lit(True)
     if isinstance(statement, Delete):
-        return rows.where(~hit), rows.where(hit)
+        return rows.where(~hit), rows.where(hit), set()
     new = {}
     for ident, value in statement.sets:
         column = next((c for c in table.columns if ident.names(c.name)), None)
         if column is None:
             raise InvalidQuery("an assigned column is not known")
         new[column.name] = F.when(hit, assigned(at.of(value), column.type)).otherwise(F.col(f"`{column.name}`"))
-    return rows.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in rows.columns]), rows.where(hit)
+    become = [new.get(c, F.col(f"`{c}`")).alias(c) for c in rows.columns]
+    return rows.select(*become), rows.where(hit).select(*become), set(new)
 
 
 def with_conflicts(table: Table, old: DataFrame, new: DataFrame, action: str) -> tuple[DataFrame, DataFrame]:
     """(kept old rows, accepted new rows) for INSERT OR IGNORE and OR REPLACE."""
-    keys = ([table.primary] if table.primary else []) + list(table.uniques)
+    keys = unique_keys(table)
     if action not in ("ignore", "replace") or not keys:
         return old, new
     numbered = new.withColumn("_order", F.monotonically_increasing_id())

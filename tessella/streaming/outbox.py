@@ -8,10 +8,13 @@ checkpoint and the cursor make a batch that runs twice apply once.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.errors import Busy, DataCorruption, FailedPrecondition, InvalidArgument
+from tessella.operators.summary import numbered
 from tessella.sources.catalog import Table
 from tessella.sources.files import State
 from tessella.sources.storage import Snapshot
@@ -50,8 +53,7 @@ class Outbox:
         new = indexes.keyed(s.index, self.engine.store.read(table, shards, after))
         made = changes(old, new)
         first = x["next"]
-        numbered = made.repartition(1).sortWithinPartitions("shard", "locator")
-        rows = numbered.withColumn("cursor", F.monotonically_increasing_id() + F.lit(first))
+        rows = numbered(made, "shard", "locator", first=first).withColumnRenamed("n", "cursor")
         path = f"{self.root}/log"
         rows.select("cursor", "shard", "kind", "old_key", "new_key", "locator").write.mode("append").parquet(path)
         n = self.log().where(F.col("cursor") >= first).count()
@@ -148,10 +150,6 @@ class Outbox:
         return done
 
     def _write(self, s, entries: DataFrame, shards: list[int], x: dict) -> None:
-        import uuid
-
-        from tessella.operators.summary import summarised
-
         indexes = self.engine.indexes
         base = f"{indexes.root}/{s.index.name}/data/{uuid.uuid4().hex}"
         entries.withColumn("_part", F.lit(0)).repartition("_shard").sortWithinPartitions("_shard", "key").write.partitionBy("_shard", "_part").parquet(base)
@@ -161,9 +159,7 @@ class Outbox:
             if k in found:
                 s.entries[k] = f"{base}/_shard={k}"
             s.applied[k] = x["base"].get(str(k), [])
-        path = f"{indexes.root}/{s.index.name}/summaries/{uuid.uuid4().hex}"
-        summarised(indexes.entries(s)).write.parquet(path)
-        s.summaries = path
+        indexes.summarise(s, shards)
         indexes._put(s)
 
     def prune(self) -> int:

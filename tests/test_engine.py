@@ -271,6 +271,19 @@ def test_index_lifecycle(spark, root):
     engine.indexes._put(s)
     assert {r.issue for r in engine.indexes.validate("some").collect()} == {"missing_entry"}
     assert engine.indexes.repair("some") == 1 and engine.indexes.validate("some").count() == 0
+    everywhere = engine.indexes.create(Index("plain", "users", (IndexPart("age"),)))
+    k = next(iter(everywhere.entries))
+    age = next(r.age for r in engine.store.read(engine.catalog.tables["users"], [k]).collect() if r.age is not None)
+    other = next(p for n, p in everywhere.entries.items() if n != k)
+    everywhere.entries[k] = other.rsplit("/", 1)[0] + f"/_shard={k}"
+    wrong = engine.indexes.entries(everywhere, [k]).withColumn("locator", F.lit(b"BIDX gone")).withColumn("_part", F.lit(0))
+    wrong.write.partitionBy("_shard", "_part").parquet(f"{root}/wrong")
+    everywhere.entries[k] = f"{root}/wrong/_shard={k}"
+    engine.indexes._put(everywhere)
+    assert {r.outcome for r in engine.indexes.verify("plain", [(age,)]).collect()} == {"missing_row"}
+    assert engine.indexes.checked_lookup("plain", [(age,)]).count() == 1
+    assert engine.indexes.repair_noted("plain") == 1 and engine.indexes.repair_noted("plain") == 0
+    assert {r.outcome for r in engine.indexes.verify("plain", [(age,)]).collect()} == {"verified"}
     engine.indexes.drop("some")
     with pytest.raises(errors.InvalidArgument):
         engine.indexes.get("some")
