@@ -382,10 +382,10 @@ class Engine:
             raise ReadOnly("an attached table is read only")
         before = self.store.snapshot(table)
         shaped = rows.select(*[F.col(f"`{c.name}`").cast(c.type).alias(c.name) for c in table.columns])
-        after = self.store.load(table, shaped)
+        after, loaded = self.store.load(table, shaped)
         if self.indexes:
             self.indexes.changed(table, sorted(after.folders), before, after)
-        return shaped.count()
+        return loaded
 
     # -- inspection
     def inspect(self, shard: int, sql: str, params: list = (), dialect: str = "sqlite") -> Executed:
