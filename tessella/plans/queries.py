@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import sqlite3
+import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.engine import Engine
+from tessella.engine import Engine, system_probe
 from tessella.functions import generated_id
 from tessella.functions.index_key import decode, key_column, part_for
 from tessella.operators.global_index import Index, IndexPart
@@ -16,6 +18,7 @@ from tessella.operators.pages import page
 from tessella.plans.parser import parse_one
 from tessella.sources.catalog import Column, Table, global_, replace, sharded
 from tessella.sources.files import Files
+from tessella.sources.importer import ImportPlan, import_sqlite
 from tessella.streaming.outbox import Outbox
 
 SHARDS = 4
@@ -296,3 +299,107 @@ def _(spark, sf_dir):
 @built("catalog_status", None)
 def _(spark, sf_dir):
     return attached(spark, sf_dir).status()
+
+
+@built("strict_scatter_rows", "SELECT o_orderkey, o_totalprice * 2 AS twice FROM orders WHERE o_orderstatus = 'F'")
+def _(spark, sf_dir):
+    engine = orders(spark, sf_dir)
+    engine.strict_scatter = True
+    return engine.query("SELECT o_orderkey, o_totalprice * 2 AS twice FROM orders WHERE o_orderstatus = 'F'").frame
+
+
+@built("prepared_portal", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 13 AND o_totalprice > 1000")
+def _(spark, sf_dir):
+    with orders(spark, sf_dir).session() as s:
+        handle = s.prepare("p", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = $1 AND o_totalprice > $2", "postgres")
+        rows = s.execute_portal(s.bind("b", handle, [13, 1000])).rows
+    return spark.createDataFrame(rows, "o_orderkey long, o_totalprice double")
+
+
+@built("routing_key_read", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = 7 AND o_totalprice > 5")
+def _(spark, sf_dir):
+    return orders(spark, sf_dir).query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = 7 AND o_totalprice > 5", routing_key=7).frame
+
+
+@built("insert_or_replace", "SELECT CAST(count(*) AS BIGINT) AS n, max(CASE WHEN o_orderkey = 900000009 THEN o_totalprice END) AS v FROM (SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 7 UNION ALL SELECT 900000009, 2.0)")
+def _(spark, sf_dir):
+    engine = keyed(spark, sf_dir)
+    for verb, price in (("INSERT", 1), ("INSERT OR REPLACE", 2), ("INSERT OR IGNORE", 3)):
+        engine.execute(f"{verb} INTO orders(o_orderkey, o_custkey, o_totalprice) VALUES (900000009, 7, ?)", [price])
+    return engine.query("SELECT COUNT(*) AS n, MAX(CASE WHEN o_orderkey = 900000009 THEN o_totalprice END) AS v FROM orders WHERE o_custkey = 7").frame
+
+
+def keyed(spark: SparkSession, sf_dir: str) -> Engine:
+    return managed(spark, sf_dir, "orders", "o_custkey", ("o_custkey", "o_orderkey"), f"keyed-{uuid.uuid4().hex[:8]}")
+
+
+@built("generated_ids_insert", "SELECT CAST(x AS BIGINT) AS sequence, 'block' AS kind FROM range(1, 4) t(x)")
+def _(spark, sf_dir):
+    root = f"{shared_root(spark)}/tessella-{spark.sparkContext.applicationId}/ids-{uuid.uuid4().hex[:8]}"
+    engine = Engine(spark, root, SHARDS)
+    engine.register_tables([sharded("made", "id", "int64", generated="block", generated_column="id")])
+    engine.migrate("CREATE TABLE made(id BIGINT PRIMARY KEY AUTO_INCREMENT, v TEXT)", "mysql")
+    for v in "abc":
+        engine.execute("INSERT INTO made(v) VALUES (?)", [v])
+    kind, sequence = generated_id.block_columns(F.col("id"))
+    return engine.query("SELECT id FROM made").frame.select(sequence.alias("sequence"), kind.alias("kind"))
+
+
+@built("partial_index_entries", "SELECT CAST(count(*) AS BIGINT) AS n FROM events WHERE event_type = 'click' AND value > 2")
+def _(spark, sf_dir):
+    engine = events(spark, sf_dir, f"partial-{uuid.uuid4().hex[:8]}")
+    s = engine.indexes.create(Index("clicks", "events", (IndexPart("user_id"), IndexPart("value", True)), predicate="event_type = 'click' AND value > 2", partitions=4))
+    return engine.indexes.entries(s).agg(F.count(F.lit(1)).alias("n"))
+
+
+@built("unique_index_route", "SELECT event_id, user_id FROM events WHERE event_id = 42")
+def _(spark, sf_dir):
+    engine = events(spark, sf_dir, f"unique-{uuid.uuid4().hex[:8]}")
+    engine.indexes.create(Index("one", "events", (IndexPart("event_id"),), unique=True))
+    return engine.query("SELECT event_id, user_id FROM events WHERE event_id = 42").frame
+
+
+@built("summary_figures", "SELECT 'events_by_type' AS index_name, CAST(count(*) AS BIGINT) AS entries, min(event_type) AS least, max(event_type) AS greatest FROM events")
+def _(spark, sf_dir):
+    engine = events(spark, sf_dir)
+    found = engine.indexes.summaries(engine.indexes.get("events_by_type")).values()
+    text = lambda k: decode(k)[0][1]
+    row = ("events_by_type", sum(s.keys for s in found), min(text(s.least) for s in found), max(text(s.greatest) for s in found))
+    return spark.createDataFrame([row], "index_name string, entries long, least string, greatest string")
+
+
+@built("stale_index_fallback", "SELECT CAST(count(*) AS BIGINT) AS n FROM (SELECT o_orderkey FROM orders WHERE o_orderkey = 1 UNION ALL SELECT 1)")
+def _(spark, sf_dir):
+    """An asynchronous index that lags still hides no row: the changed shard is read as well."""
+    engine = keyed(spark, sf_dir)
+    engine.indexes.create(Index("late", "orders", (IndexPart("o_orderkey"),), mode="async"))
+    engine.execute("INSERT INTO orders(o_orderkey, o_custkey) VALUES (1, 900000011)")
+    return engine.query("SELECT COUNT(*) AS n FROM orders WHERE o_orderkey = 1").frame
+
+
+@built("sqlite_import", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def _(spark, sf_dir):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey").limit(1000).collect()]
+    with tempfile.TemporaryDirectory() as folder:  # the source file is the driver's alone
+        db = sqlite3.connect(f"{folder}/source.db")
+        db.execute("CREATE TABLE nation(n_nationkey INTEGER PRIMARY KEY, n_name TEXT, n_regionkey INTEGER)")
+        db.executemany("INSERT INTO nation VALUES (?, ?, ?)", rows)
+        db.commit()
+        db.close()
+        root = f"{shared_root(spark)}/tessella-{spark.sparkContext.applicationId}/import-{uuid.uuid4().hex[:8]}"
+        import_sqlite(spark, f"{folder}/source.db", root, ImportPlan([sharded("nation", "n_nationkey", "int64")]), SHARDS)
+    return Engine(spark, root, SHARDS).query("SELECT n_nationkey, n_name, n_regionkey FROM nation").frame.selectExpr("CAST(n_nationkey AS INT) AS n_nationkey", "n_name", "CAST(n_regionkey AS INT) AS n_regionkey")
+
+
+@built("compaction_keeps_rows", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(o_orderkey) AS BIGINT) AS s FROM (SELECT o_orderkey FROM orders UNION ALL SELECT 900000021 UNION ALL SELECT 900000022)")
+def _(spark, sf_dir):
+    engine = keyed(spark, sf_dir)
+    for k in (900000021, 900000022):
+        engine.execute("INSERT INTO orders(o_orderkey, o_custkey) VALUES (?, 7)", [k])
+    engine.compact("orders")
+    return engine.query("SELECT COUNT(*) AS n, SUM(o_orderkey) AS s FROM orders").frame
+
+
+@built("server_probe", "SELECT 'UTF8' AS server_encoding")
+def _(spark, sf_dir):
+    return system_probe(spark, "SHOW server_encoding")
