@@ -98,7 +98,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_C
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "toxic", "f"])
 
     kinds = dict(docs.select("doc_id").dtypes) | dict(labels.select("toxic").dtypes)
-    rows = docs.join(drawn, "doc_id").select("doc_id", "toxic", "text").mapInArrow(hashed, f"doc_id {kinds['doc_id']}, toxic {kinds['toxic']}, f array<int>")
+    rows = docs.select("doc_id", "text").join(drawn, "doc_id").select("doc_id", "toxic", "text").mapInArrow(hashed, f"doc_id {kinds['doc_id']}, toxic {kinds['toxic']}, f array<int>")
     rows = rows.withColumn("o", F.xxhash64("doc_id", F.lit(7))).repartition(1).sortWithinPartitions("o", "doc_id", "f")
 
     def train(batches):
