@@ -59,10 +59,7 @@ def shared_dir(spark: SparkSession) -> str:
     one machine, a temporary folder takes its place.
     """
     root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if not root:
-        root = "file://" + os.path.join(tempfile.gettempdir(), "tessella-shared")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return root or "file://" + os.path.join(tempfile.gettempdir(), "tessella-shared")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
