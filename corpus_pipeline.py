@@ -1,8 +1,15 @@
 """The training-data pipeline: five stages, each on all that the one before kept.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
-return the columns of documents, also extra ones that the input has. Nulls:
-a null text has no letter and leaves at the first stage.
+return the columns of documents, also extra ones that the input has, whatever
+their names.
+
+Defined results: a null or empty text has no letter and leaves at the first
+stage. A null lang, source or n_chars is carried along; null sources are a
+source of their own in the mix. Rows with a null id stay through the
+near-duplicate stage. Of rows with one id and near-equal texts one stays. Tables
+without rows give a result without rows, tables without labels no learned rule,
+and without benchmark items nothing is contaminated.
 """
 
 from __future__ import annotations
