@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +38,17 @@ def folded_words(text: bytes) -> list[bytes]:
     return text.translate(FOLDED).split()
 
 
-def utf8(column: pa.Array) -> list:
-    """The column's texts as UTF-8 bytes, None where null."""
-    large = pa.types.is_large_string(column.type)
-    return column.cast(pa.large_binary() if large else pa.binary()).to_pylist()
+def utf8(column: pa.Array, step: int = 500) -> Iterator[bytes | None]:
+    """The column's texts as UTF-8 bytes, None where null; few are copied out of the batch at a time."""
+    kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
+    for at in range(0, len(column), step):
+        yield from column.slice(at, step).cast(kind).to_pylist()
+
+
+def strings(column: pa.Array, step: int = 500) -> Iterator[str | None]:
+    """The column's texts as str, likewise."""
+    for at in range(0, len(column), step):
+        yield from column.slice(at, step).to_pylist()
 
 
 def fold_of(doc_id: Column, n: int) -> Column:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import fold_of, mixed, table
+from tessella.llm.common import fold_of, mixed, strings, table
 
 UNDETERMINED = "und"
 ORDER = 3
@@ -146,7 +146,7 @@ def fit(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE) -> Prof
     def count(batches):
         for batch in batches:
             by: dict[str, Counter] = {}
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+            for lang, text in zip(batch.column("lang").to_pylist(), strings(batch.column("text"))):
                 own = by.setdefault(lang, Counter())
                 for g in grams(text):
                     u, n = np.unique(g, return_counts=True)
@@ -176,7 +176,7 @@ def identified(docs: DataFrame, profiles: Profiles, keep: tuple[str, ...] = ())
 
     def run(batches):
         for batch in batches:
-            said = [held.value.judge(t) for t in batch.column("text").to_pylist()]
+            said = [held.value.judge(t) for t in strings(batch.column("text"))]
             cols = [batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays(
                 [*cols, pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())],
@@ -193,7 +193,7 @@ def with_language(docs: DataFrame, profiles: Profiles, name: str) -> DataFrame:
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
     def judge(text: pa.Array) -> pa.Array:
-        said = [held.value.judge(t) for t in text.to_pylist()]
+        said = [held.value.judge(t) for t in strings(text)]
         return pa.StructArray.from_arrays(
             [pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())], ["lang_pred", "score"]
         )
