@@ -320,6 +320,7 @@ class Engine:
             kept, new = writes.with_conflicts(table, old, new, statement.conflict)
             affected = new.count()
             writes.checked_insert(table, kept, new)
+            self._with_parents(table, shard, new, staged)
             folders = self.store.write(table, new).get(shard, [])
             if statement.conflict == "replace":
                 folders = self.store.write(table, kept).get(shard, []) + folders
@@ -332,6 +333,8 @@ class Engine:
                 return WriteResult(shard, 0)
             if isinstance(statement, Update):
                 writes.checked_update(table, after, touched, columns)
+                self._with_parents(table, shard, touched, staged, columns)
+            self._with_children(table, shard, old, after, staged, columns)
             folders = self.store.write(table, after).get(shard, [])
         now = {**before.folders, shard: folders}
         result = WriteResult(shard, affected, (table.generated_column, generated) if generated is not None else None)
@@ -344,6 +347,28 @@ class Engine:
                 self.indexes.changed(table, [shard], before, snapshot)
         return result
 
+    def _now(self, table: Table, shard: int, staged: dict | None) -> DataFrame:
+        snapshot = (staged or {}).get(table.name, {}).get("now")
+        return self.rows(table, [shard] if table.placement == "sharded" else None, snapshot)
+
+    def _with_parents(self, table: Table, shard: int, rows: DataFrame, staged: dict | None, columns: set[str] | None = None) -> None:
+        """New rows, and rows whose foreign key was assigned, have parents."""
+        catalog = self.catalog
+        for f in table.foreign:
+            if columns is None or columns & set(f.columns):
+                writes.checked_children(f.columns, rows, self._now(catalog.tables[f.parent], shard, staged), f.parent_columns)
+
+    def _with_children(self, table: Table, shard: int, old: DataFrame, after: DataFrame, staged: dict | None, columns: set[str]) -> None:
+        """Rows that were deleted, or lost their key by an update, have no children left."""
+        for child in self.catalog.tables.values():
+            for f in child.foreign:
+                if child.columns and f.parent == table.name and (not columns or columns & set(f.parent_columns)):
+                    every = None if table.placement == "global" else [shard]
+                    children = self.rows(child, every, (staged or {}).get(child.name, {}).get("now"))
+                    gone = old.select(*f.parent_columns).distinct().join(after.select(*f.parent_columns), list(f.parent_columns), "left_anti")
+                    lost = children.join(gone.toDF(*f.columns), list(f.columns), "left_semi")
+                    writes.checked_children(f.columns, lost, after, f.parent_columns)
+
     def next_id(self, table: Table, shards: list[int] | None) -> tuple[int, list[int]]:
         """A new id of the table's policy, and the shard that it lives on.
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.errors import CheckViolation, InvalidQuery, NotNullViolation, TypeMismatch, UniqueViolation
+from tessella.errors import CheckViolation, ForeignKeyViolation, InvalidQuery, NotNullViolation, TypeMismatch, UniqueViolation
 from tessella.plans.compiler import Scope, as_truth, kind_of, literal, scope
 from tessella.plans.parser import parse_one
 from tessella.plans.syntax import Delete, Insert, Update
@@ -115,6 +115,13 @@ def checked_update(table: Table, after: DataFrame, hit: DataFrame, assigned_colu
     doubled(table, after, [k for k in unique_keys(table) if assigned_columns & set(k)])
 
 
+def checked_children(columns: tuple[str, ...], rows: DataFrame, parents: DataFrame, parent_columns: tuple[str, ...]) -> None:
+    """Raises ForeignKeyViolation where a row with no null in the key has no parent."""
+    parents = parents.select(*[F.col(f"`{p}`").alias(c) for c, p in zip(columns, parent_columns)])
+    if _known(rows, columns).join(parents, list(columns), "left_anti").limit(1).count():
+        raise ForeignKeyViolation("a row's parent does not exist")
+
+
 def changed(table: Table, statement: Update | Delete, rows: DataFrame, params: list) -> tuple[DataFrame, DataFrame, set[str]]:
     """(the shard's rows after the statement, the rows it touches as they become, the columns it assigns)."""
     at = scope(rows, table.names, params, statement.table.name, statement.table.alias)

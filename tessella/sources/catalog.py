@@ -24,6 +24,15 @@ class Column:
     default: str | None = None
 
 
+@dataclass(frozen=True)
+class ForeignKey:
+    """Columns that name a row of a parent: one on the same shard, or of a global table."""
+
+    columns: tuple[str, ...]
+    parent: str
+    parent_columns: tuple[str, ...]
+
+
 @dataclass(frozen=True)
 class Table:
     """A table's declaration; columns may be filled in by a migration."""
@@ -38,6 +47,7 @@ class Table:
     primary: tuple[str, ...] = ()
     uniques: tuple[tuple[str, ...], ...] = ()
     checks: tuple[str, ...] = ()
+    foreign: tuple[ForeignKey, ...] = ()
     #: path of a read-only table that others wrote
     attached: str | None = None
 
@@ -83,7 +93,7 @@ class Table:
 
     @classmethod
     def from_json(cls, x: dict) -> Table:
-        x = dict(x, columns=tuple(Column(**c) for c in x["columns"]), primary=tuple(x["primary"]), uniques=tuple(map(tuple, x["uniques"])), checks=tuple(x["checks"]))
+        x = dict(x, columns=tuple(Column(**c) for c in x["columns"]), primary=tuple(x["primary"]), uniques=tuple(map(tuple, x["uniques"])), checks=tuple(x["checks"]), foreign=tuple(ForeignKey(tuple(f["columns"]), f["parent"], tuple(f["parent_columns"])) for f in x.get("foreign", ())))
         return cls(**x)
 
 
@@ -113,11 +123,22 @@ class Catalog:
     generation: int = 0
     migrations: list[str] = field(default_factory=list)
 
+    def placed_foreign(self, table: Table) -> None:
+        """A foreign key's parent must be global, or lie with its children: shard key to shard key."""
+        for f in table.foreign:
+            parent = self.tables.get(f.parent)
+            if parent is None or len(f.columns) != len(f.parent_columns):
+                raise InvalidArgument("a foreign key names no declared table or unequal columns")
+            together = table.placement == parent.placement == "sharded" and (table.shard_key, parent.shard_key) in zip(f.columns, f.parent_columns)
+            if parent.placement != "global" and not together:
+                raise Unsupported("a foreign key's parent must lie on the same shard")
+
     def add(self, table: Table) -> None:
         if table.name in self.tables:
             raise InvalidArgument("the table is declared already")
         if len(self.tables) >= MAX_TABLES:
             raise InvalidArgument(f"a catalog holds {MAX_TABLES} tables")
+        self.placed_foreign(table)
         self.tables[table.name] = table
 
     def put(self, table: Table) -> None:
@@ -134,4 +155,4 @@ class Catalog:
         return Catalog(dict(self.tables), self.generation, list(self.migrations))
 
 
-__all__ = ["Catalog", "Column", "Table", "catalog_only", "global_", "identifier", "replace", "sharded"]
+__all__ = ["Catalog", "Column", "ForeignKey", "Table", "catalog_only", "global_", "identifier", "replace", "sharded"]

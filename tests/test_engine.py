@@ -11,7 +11,7 @@ from tessella.operators.authority import Authority
 from tessella.operators.global_index import Index, IndexPart, sample_ordinals
 from tessella.operators.pages import slices
 from tessella.operators.results import Budget, bound_json, json_value
-from tessella.sources.catalog import catalog_only, global_, sharded
+from tessella.sources.catalog import ForeignKey, catalog_only, global_, sharded
 from tessella.sources.importer import ImportPlan, import_sqlite
 from tessella.streaming.outbox import Outbox
 
@@ -173,6 +173,23 @@ def test_transactions_and_portals(spark, root):
         s.query("SELECT 1")
 
 
+def test_foreign_keys_lie_together(spark, root):
+    engine = Engine(spark, root, SHARDS)
+    engine.register_tables([sharded("p", "k", "int64"), global_("g")])
+    with pytest.raises(errors.Unsupported):
+        engine.register_tables([sharded("bad", "x", "int64", foreign=(ForeignKey(("y",), "p", ("k",)),))])
+    engine.register_tables([sharded("c", "k", "int64", foreign=(ForeignKey(("k", "n"), "p", ("k", "n")), ForeignKey(("code",), "g", ("code",))))])
+    engine.migrate("CREATE TABLE p(k INTEGER NOT NULL, n INTEGER NOT NULL, PRIMARY KEY(k, n)); CREATE TABLE g(code TEXT PRIMARY KEY); CREATE TABLE c(k INTEGER NOT NULL, n INTEGER, code TEXT)")
+    engine.execute("INSERT INTO g(code) VALUES ('a')")
+    engine.execute("INSERT INTO p(k, n) VALUES (1, 1), (1, 2)")
+    engine.execute("INSERT INTO c(k, n, code) VALUES (1, 1, 'a'), (1, NULL, NULL)")
+    for sql in ("INSERT INTO c(k, n) VALUES (1, 9)", "INSERT INTO c(k, n, code) VALUES (1, 1, 'z')", "UPDATE c SET n = 7 WHERE k = 1 AND n = 1", "DELETE FROM p WHERE k = 1 AND n = 1", "UPDATE p SET n = 5 WHERE k = 1 AND n = 1", "DELETE FROM g WHERE code = 'a'"):
+        with pytest.raises(errors.ForeignKeyViolation):
+            engine.execute(sql)
+    assert engine.execute("DELETE FROM p WHERE k = 1 AND n = 2").rows_affected == 1
+    assert engine.execute("UPDATE c SET n = NULL WHERE k = 1").rows_affected == 2 and engine.execute("DELETE FROM p WHERE k = 1").rows_affected == 1
+
+
 def test_generated_ids(spark, root):
     engine = Engine(spark, root, SHARDS)
     engine.register_tables([sharded("a", "id", "int64", generated="block", generated_column="id"), sharded("b", "id", "int64", generated="range", generated_column="id")])
