@@ -254,14 +254,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) ->
     possible = F.coalesce((100 + percent) * common_at_most("x_", "z_") >= percent * (F.col("x_n") + F.col("z_n")), F.lit(True))
     late = strays.join(others, "y").where((F.col("x_root") != F.col("z_root")) & once & similar("x_", "z_", threshold) & possible)
     late = written(late.select(F.col("x_k").alias("x"), F.col("z_k").alias("y")).distinct(), "late")
-    late_links = written(compared(late, held, width, threshold).where("linked").select(F.col("x").alias("u"), F.col("y").alias("v")), "late-links")
-
-    ways = roots.where(F.col("node") != F.col("root")).select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(late_links)
-    joined = written(components(ways), "joined")
+    joined = roots
+    if not late.isEmpty():
+        late_links = written(compared(late, held, width, threshold).where("linked").select(F.col("x").alias("u"), F.col("y").alias("v")), "late-links")
+        if not late_links.isEmpty():
+            ways = roots.where(F.col("node") != F.col("root")).select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(late_links)
+            joined = written(components(ways), "joined")
     named = written(classes.select("k", "id").join(joined, classes["k"] == joined["node"], "left").select("k", "id", F.coalesce("root", "k").alias("root")), "named")
     least = written(named.groupBy("root").agg(F.min("id").alias("component_id")), "least-ids")
     of_class = written(named.join(least, "root").select("k", "component_id"), "of-class")
-    dropped(spark, classes, around, held, facts, stars, told, roots, rooted, placed, torn, open_, late, late_links, joined, named, least)
+    dropped(spark, classes, around, held, facts, stars, told, roots, rooted, placed, torn, open_, late, joined, named, least)
     out = rows.select("doc_id", "n_shingles", "k").join(of_class, "k", "left")
     component = F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
