@@ -159,8 +159,35 @@ def part_for(spark_type: str, descending: bool = False, nulls_last: bool | None
     return Part(kinds[spark_type], descending, nulls_last)
 
 
+HEX, COMPLEMENT = "0123456789ABCDEF", "FEDCBA9876543210"
+
+
+def _hex_payload(c: Column, kind: str) -> Column:
+    """A payload as hexadecimal text; zero bytes of texts are escaped pair by pair."""
+    if kind in ("int64", "timestamp"):
+        return F.lpad(F.hex(c.bitwiseXOR(F.lit(-SIGN))), 16, "0")
+    if kind == "date":
+        return F.lpad(F.hex(c + F.lit(1 << 31)), 8, "0")
+    if kind == "bool":
+        return F.when(c, "01").otherwise("00")
+    raw = F.hex(c)
+    pairs = F.replace(F.regexp_replace(raw, "(..)", "$1,"), F.lit("00,"), F.lit("00FF,"))
+    return F.concat(F.when(raw.contains("00"), F.replace(pairs, F.lit(","), F.lit(""))).otherwise(raw), F.lit("0000"))
+
+
+def _hex_part(c: Column, part: Part) -> Column:
+    head, value_rank = f"{part.options:02X}{BINARY_COLLATION:02X}", f"{int(not part.last):02X}"
+    body = F.concat(F.lit(f"{TAGS[part.kind]:02X}"), _hex_payload(c, part.kind))
+    if part.descending:
+        body = F.translate(body, HEX, COMPLEMENT)
+    return F.when(c.isNull(), f"{head}{int(part.last):02X}").otherwise(F.concat(F.lit(head + value_rank), body))
+
+
 def key_column(columns: list[tuple[Column, Part]], unique: bool = False, nulls_distinct: bool = True) -> Column:
-    """The encoded key of each row; null where ``encode_unique`` gives none."""
+    """The encoded key of each row; null where ``encode_unique`` gives none.
+
+    Built-in functions make it, but for floats, whose bits no built-in function tells: then a batch encodes each distinct key once.
+    """
     parts = [p for _, p in columns]
     plain = {"bool": "boolean", "int64": "bigint", "float64": "double", "text": "string", "binary": "binary"}
 
@@ -171,17 +198,41 @@ def key_column(columns: list[tuple[Column, Part]], unique: bool = False, nulls_d
             return F.unix_micros(c.cast("timestamp"))
         return c.cast(plain.get(p.kind, "bigint"))
 
+    values = [plain_value(c, p) for c, p in columns]
+    if all(p.kind not in ("float64", "uint64") for p in parts):
+        key = F.unhex(F.concat(F.lit(HEADER.hex().upper()), *(_hex_part(c, p) for c, p in zip(values, parts))))
+        if unique and nulls_distinct:
+            whole = F.lit(True)
+            for c in values:
+                whole = whole & c.isNotNull()
+            key = F.when(whole, key)
+        return key
+
     @F.arrow_udf("binary")
     def run(*arrays: pa.Array) -> pa.Array:
         known: dict[tuple, bytes | None] = {}
         out = []
-        for values in zip(*(a.to_pylist() for a in arrays)):
+        for row in zip(*(a.to_pylist() for a in arrays)):
             # -0.0 and 0.0 are equal keys and encode alike; NaN never equals itself and is encoded each time
-            if values not in known:
+            if row not in known:
                 if len(known) > 100_000:
                     known.clear()
-                known[values] = encode_unique(parts, list(values), nulls_distinct) if unique else encode(parts, list(values))
-            out.append(known[values])
+                known[row] = encode_unique(parts, list(row), nulls_distinct) if unique else encode(parts, list(row))
+            out.append(known[row])
         return pa.array(out, pa.binary())
 
-    return run(*(plain_value(c, p) for c, p in columns))
+    return run(*values)
+
+
+ARROW = {"bool": ("boolean", pa.bool_()), "int64": ("bigint", pa.int64()), "float64": ("double", pa.float64()), "date": ("bigint", pa.int64()), "timestamp": ("bigint", pa.int64()), "text": ("string", pa.string()), "binary": ("binary", pa.binary())}
+
+
+def value_column(key: Column, ordinal: int, kind: str) -> Column:
+    """The value of one part of encoded keys, a batch at a time; dates are days and timestamps microseconds."""
+    spark_type, arrow_type = ARROW[kind]
+
+    @F.arrow_udf(spark_type)
+    def run(keys: pa.Array) -> pa.Array:
+        return pa.array([None if k is None else decode(k)[ordinal][1] for k in keys.to_pylist()], arrow_type)
+
+    return run(key)

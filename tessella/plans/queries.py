@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessella.engine import Engine, system_probe
 from tessella.functions import generated_id
-from tessella.functions.index_key import decode, key_column, part_for
+from tessella.functions.index_key import decode, key_column, part_for, value_column
 from tessella.operators.global_index import Index, IndexPart
 from tessella.operators.pages import page
 from tessella.plans.parser import parse_one
@@ -186,8 +186,7 @@ def _(spark, sf_dir):
 @built("candidate_verification", "SELECT o_orderkey, 'verified' AS outcome FROM orders WHERE o_orderkey IN (1, 2, 3, 4, 5, 6, 7)")
 def _(spark, sf_dir):
     engine = orders(spark, sf_dir)
-    key = F.udf(lambda k: decode(bytes(k))[0][1], "long")
-    return engine.indexes.verify("orders_by_key", [(k,) for k in range(1, 8)]).select(key("key").alias("o_orderkey"), "outcome")
+    return engine.indexes.verify("orders_by_key", [(k,) for k in range(1, 8)]).select(value_column(F.col("key"), 0, "int64").alias("o_orderkey"), "outcome")
 
 
 @built("index_validation_report", "SELECT 'stale_entry' AS issue, CAST(0 AS BIGINT) AS n WHERE 1 = 0")
@@ -264,8 +263,7 @@ def _(spark, sf_dir):
     engine.execute("INSERT INTO orders(o_orderkey, o_custkey) VALUES (900000003, 11)")
     engine.execute("DELETE FROM orders WHERE o_custkey = 7")
     Outbox(engine, "late").process()
-    key = F.udf(lambda k: decode(bytes(k))[0][1], "long")
-    return engine.indexes.entries(engine.indexes.get("late")).select(key("key").alias("o_orderkey"))
+    return engine.indexes.entries(engine.indexes.get("late")).select(value_column(F.col("key"), 0, "int64").alias("o_orderkey"))
 
 
 def fresh(spark: SparkSession, sf_dir: str) -> Engine:

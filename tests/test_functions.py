@@ -89,6 +89,28 @@ def test_index_key_order_is_the_values_order(data):
     assert [v for _, v in index_key.decode(a)] == [0.0 if v == 0 and p.kind == "float64" else v for p, v in zip(parts, rows[0])]
 
 
+def test_key_columns_equal_the_codec(spark):
+    import datetime as dt
+
+    rows = [(i, t, b, f, d, o, s) for i, t, b, f, d, o, s in [
+        (0, "", b"", 0.0, dt.date(1970, 1, 1), True, dt.datetime(1970, 1, 1)), (-1, "a\0b", b"\0\0\xff", -0.0, dt.date(1900, 2, 3), False, dt.datetime(1950, 5, 6, 7, 8, 9, 10)),
+        (2**63 - 1, "é☃", b"\x10\x00\x01", float("nan"), dt.date(2100, 1, 1), None, None), (-(2**63), None, None, None, None, True, dt.datetime(2030, 1, 1)), (None, "x" * 100, bytes(range(256)), 1.5, dt.date(1969, 12, 31), False, None)]]
+    df = spark.createDataFrame(rows, "i long, t string, b binary, f double, d date, o boolean, s timestamp")
+    kinds = {"i": "int64", "t": "text", "b": "binary", "f": "float64", "d": "date", "o": "bool", "s": "timestamp"}
+    day, second = dt.date(1970, 1, 1), dt.datetime(1970, 1, 1)
+    plain = lambda v: (v - second) // dt.timedelta(microseconds=1) if isinstance(v, dt.datetime) else (v - day).days if isinstance(v, dt.date) else bytes(v) if isinstance(v, bytearray) else v
+    for names in (["i"], ["t"], ["b"], ["f"], ["d"], ["o"], ["s"], ["t", "i"], ["d", "o", "s", "b"], ["f", "i"]):
+        for down in (False, True):
+            for last in (None, False, True):
+                parts = [Part(kinds[n], down, last) for n in names]
+                pairs = [(F.col(n), p) for n, p in zip(names, parts)]
+                got = df.select(index_key.key_column(pairs).alias("k"), index_key.key_column(pairs, unique=True).alias("u"), *names).collect()
+                for r in got:
+                    values = [plain(r[n]) for n in names]
+                    assert bytes(r.k) == index_key.encode(parts, values), (names, values)
+                    assert (None if r.u is None else bytes(r.u)) == index_key.encode_unique(parts, values)
+
+
 def test_index_key_nan_nulls_and_corruption():
     nan = index_key.encode([Part("float64")], [float("nan")])
     assert nan > index_key.encode([Part("float64")], [float("inf")])
