@@ -76,7 +76,6 @@ class Symbols:
     words: dict[bytes, int]
     counts: np.ndarray
     symbols: np.ndarray
-    n_own: int
 
     @property
     def size(self) -> int:
@@ -105,7 +104,7 @@ def head_of(counts: DataFrame) -> tuple[Symbols, object]:
     chosen = usual & (step >= least)
     rows = sorted(((bytes(r["word"]), r["c"]) for r in counts.where(chosen).collect()), key=lambda x: (-x[1], x[0]))
     symbols = np.array([k if k < OWN else OWN + group_of(w) for k, (w, _) in enumerate(rows)], dtype=np.int64)
-    return Symbols({w: k for k, (w, _) in enumerate(rows)}, np.array([c for _, c in rows], dtype=np.float64), symbols, min(OWN, len(rows))), chosen
+    return Symbols({w: k for k, (w, _) in enumerate(rows)}, np.array([c for _, c in rows], dtype=np.float64), symbols), chosen
 
 
 def bigrams(docs: DataFrame, symbols: Symbols) -> np.ndarray:

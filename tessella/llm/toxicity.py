@@ -7,8 +7,8 @@ of (feature, weight).
 
 Defined results: a null or wordless text scores as the bias alone. Documents
 labelled more than once are toxic if any label says so; null labels teach
-nothing, and without any training row every score is 0.5 of an untrained model
-lowered to 0. Repeated rows get equal scores. Extra columns are not read.
+nothing, and without any training row every score is next to 0. Repeated rows
+get equal scores. Extra columns are not read.
 """
 
 from __future__ import annotations
