@@ -43,6 +43,15 @@ BLOCKED_GLOBS = [
     "*/**porn*/**", "*/**viagra*", "*/**casino*",
 ]
 
+#: The same subjects where the globs above miss them: at the root of a host, without a path or behind a port,
+#: as the path's last part or before further parts. ORACLE_SQL states BLOCKED_GLOBS alone.
+PLAIN_GLOBS = [
+    "*.xxx", "*.xxx:*", "*.xxx:*/**", "*.casino", "*.casino:*", "*.casino:*/**", "ads.*", "adserver.*", "tracker.*", "doubleclick.*",
+    "*/wp-login*", "*/adclick*", "**/wp-login*/**", "**/adclick*/**",
+    *(g for word in ("wp-admin", "cgi-bin", "banner", "cart", "checkout", "login", "signup") for g in (f"*/{word}/**", f"**/{word}")),
+    "*/**porn*", "*/**viagra*/**", "*/**casino*/**",
+]
+
 
 def tokens(glob: str) -> list[tuple[str, str]]:
     """(kind, byte char): kind is 'lit', 'one' (``?``), 'run' (``*``) or 'any' (``**``)."""
@@ -136,7 +145,7 @@ def filtered_urls(
     keep: tuple[str, ...] = (),
     url: str = "url",
     rules: list[tuple[str, str, str]] = HOST_RULES,
-    globs: list[str] = BLOCKED_GLOBS,
+    globs: list[str] = BLOCKED_GLOBS + PLAIN_GLOBS,
 ) -> DataFrame:
     """(keep..., host, path, rule, verdict) of each row."""
     by_length = sorted(rules, key=lambda r: -len(r[0] + r[1]))

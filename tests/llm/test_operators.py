@@ -102,6 +102,20 @@ def test_url_rules_against_regular_expressions(spark):
     assert url_filter.filtered_urls(pages.limit(0), keep=("page_id",)).count() == 0
 
 
+PLAIN = {
+    "block": "foo.xxx foo.xxx?q foo.xxx/ foo.xxx:8080 foo.xxx:8080/a foo.casino foo.casino/a ads.h.org ads.h.org#f ads.h.org/a adserver.h.org tracker.h.org a.tracker.h.org doubleclick.net.org "
+    "h.org/wp-login.php h.org/a/wp-login.php h.org/a/wp-login/b h.org/wp-admin/ h.org/wp-admin h.org/a/wp-admin/x h.org/cgi-bin/x h.org/adclick?x h.org/adclick/1 h.org/a/adclick/1 h.org/banner/1 h.org/cart/1 h.org/cart h.org/a/cart "
+    "h.org/checkout/ h.org/login/ h.org/login h.org/signup/a h.org/a/b/signup h.org/a.exe h.org/a.zip h.org/a.tar.gz h.org/a.iso h.org/a.apk h.org/a.dmg h.org/porn h.org/porn.html h.org/a/porn/b h.org/viagra h.org/viagra/buy h.org/casino/a/b",
+    "allow": "h.org h.org/ h.org/a h.org/cartoon h.org/carts/1 h.org/relogin h.org/logins h.org/exe h.org/a.xxx h.org/a?u=/login/ xxx.org loads.h.org h.org/ads.x/ tracker h.org/bannered/1 h.org/bad-wp-admin/",
+}
+
+
+def test_own_globs_fit_the_plain_cases(spark):
+    told = [(verdict, f"http://{u}") for verdict, urls in PLAIN.items() for u in urls.split()]
+    got = url_filter.filtered_urls(spark.createDataFrame(told, "said string, url string"), keep=("said", "url")).collect()
+    assert [(r.said, r.url) for r in got if r.verdict != r.said] == [] and len(got) == len(told)
+
+
 def test_automaton_of_many_words_against_regular_expressions():
     rng = random.Random(1)
     globs = ["".join(rng.choice(["a", "b", "/", "*", "**", "?"]) for _ in range(rng.randint(1, 12))) for _ in range(60)]
