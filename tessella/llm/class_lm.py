@@ -1,14 +1,20 @@
 """Scores of a Brown class-based bigram model.
 
-Exchange clustering moves the most frequent words, and suffix groups of all
-others, between classes while that raises the likelihood of the class bigrams.
-A token then costs log10 P(class | class before) + log10 P(word | class); a word
-of a suffix group costs its group's share of the class and its own smoothed
-share of the group.
+Every training word is a symbol of its own and moves between classes while that
+raises the likelihood of the class bigrams. A token then costs
+log10 P(class | class before) + log10 P(word | class).
+
+The first classes come from an exact exchange of the OWN most frequent words and
+of suffix groups of all others. Then passes over all words move each by itself:
+a pass counts the classes before and after each word and the class bigrams,
+exactly, under the classes it begins with; all words move against these counts.
+The classes of the likeliest pass are the model's.
 
 All training tokens are counted. Words whose counts are among the greatest
-HEAD travel to the tasks as a bounded table; every other word's count is
-found by a join, so no table that grows with the corpus is broadcast or collected.
+HEAD travel to the tasks as a bounded table, with their classes; every other
+word's count, neighbours and class are found by joins, so no table that grows
+with the corpus is broadcast or collected. A word without a training row has no
+neighbours to tell its class: it takes the one of most rare words of its suffix group.
 
 Defined results: a null or empty text has one token, the end. Without training
 rows N and V are 0, nothing is known and every probability is uniform. Repeated
@@ -23,14 +29,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import fold_of, plain_words, table, utf8, written
+from tessella.llm.common import dropped, fold_of, plain_words, table, utf8, written
 
-#: Words with a symbol of their own; groups of the other words, by their last SUFFIX bytes; classes.
+#: For the first classes: words with a symbol of their own; groups of the other words, by their last SUFFIX bytes. Classes.
 OWN, GROUPS, SUFFIX, CLASSES = 768, 256, 3, 48
 ROUNDS = 6
+#: Passes over all words, at most; none follows one that raised the log-likelihood by less than LEAST a token.
+PASSES, LEAST = 4, 0.002
+#: Classes with the end's; counts kept of a word (classes after it, before it, itself after itself); words a block of them.
+ALL = CLASSES + 1
+CELLS, BLOCK = 2 * ALL + 1, 500
+#: Words outside the head that a task moves at a time.
+TOGETHER = 200
 #: Words that travel to the tasks, at most, each of at most LONGEST bytes.
 HEAD, LONGEST = 100_000, 64
 #: Distinct words that a task holds before it passes their counts on.
@@ -81,18 +95,22 @@ class Symbols:
     def size(self) -> int:
         return OWN + GROUPS + 1
 
-    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Head index (-1: not in it) and symbol of each word."""
-        get = self.words.get
-        at = np.array([get(w, -1) for w in words], dtype=np.int64)
-        sym = self.symbols[at] if len(self.symbols) else np.zeros(len(at), np.int64)
-        for i in np.flatnonzero(at < 0):
-            sym[i] = OWN + group_of(words[i])
-        return at, sym
+    @property
+    def end(self) -> int:
+        return len(self.counts)
+
+    def codes(self, words: list[bytes]) -> np.ndarray:
+        """Of each word its index, or that of the end plus 1 plus its suffix group."""
+        get, other = self.words.get, self.end + 1
+        return np.array([other + group_of(w) if (k := get(w)) is None else k for w in words], dtype=np.int32)
+
+    def first(self) -> np.ndarray:
+        """The first exchange's symbol of each code."""
+        return np.concatenate([self.symbols, [OWN + GROUPS], OWN + np.arange(GROUPS)])
 
 
-def head_of(counts: DataFrame) -> tuple[Symbols, object]:
-    """The most frequent words and the condition that tells them from the others."""
+def head_of(counts: DataFrame) -> Symbols:
+    """The most frequent words."""
     step = F.floor(F.log2("c") * 16)
     usual = (F.length("word") > 0) & (F.length("word") <= LONGEST)
     steps = sorted(((r["s"], r["n"]) for r in counts.where(usual).groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
@@ -104,33 +122,80 @@ def head_of(counts: DataFrame) -> tuple[Symbols, object]:
     chosen = usual & (step >= least)
     rows = sorted(((bytes(r["word"]), r["c"]) for r in counts.where(chosen).collect()), key=lambda x: (-x[1], x[0]))
     symbols = np.array([k if k < OWN else OWN + group_of(w) for k, (w, _) in enumerate(rows)], dtype=np.int64)
-    return Symbols({w: k for k, (w, _) in enumerate(rows)}, np.array([c for _, c in rows], dtype=np.float64), symbols), chosen
+    return Symbols({w: k for k, (w, _) in enumerate(rows)}, np.array([c for _, c in rows], dtype=np.float64), symbols)
 
 
-def bigrams(docs: DataFrame, symbols: Symbols) -> np.ndarray:
-    """Counts of neighbouring symbols over all training rows; a text begins and ends with the end."""
-    held, size = docs.sparkSession.sparkContext.broadcast(symbols), symbols.size
+def passed(docs: DataFrame, symbols: Symbols) -> DataFrame:
+    """Codes of all texts, with the end around each, and what stands around each word outside the head.
+
+    Rows have either ``seq``, or ``word`` with its count ``c``, its pairs with itself ``s`` and ``around``: 2 * code of
+    the word before, 2 * code + 1 of the word after; or ``word`` and ``after``, where both are outside the head.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(symbols)
+    kinds = {"seq": pa.list_(pa.int32()), "word": pa.binary(), "c": pa.int64(), "s": pa.int64(), "around": pa.list_(pa.int32()), "after": pa.binary()}
 
     def run(batches):
-        symbols, total, waiting, n = held.value, np.zeros(size * size, np.int64), [], 0
+        symbols = held.value
+        end = symbols.end
+        seqs, n, own, pairs = [], 0, {}, []
+
+        def out(**columns):
+            size = len(next(iter(columns.values())))
+            return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(size, k) for c, k in kinds.items()], list(kinds))
+
+        def flushed():
+            if seqs:
+                yield out(seq=[np.concatenate([[end], *seqs]).astype(np.int32)])
+            if own:
+                told = list(own.values())
+                yield out(word=list(own), c=[t[0] for t in told], s=[t[1] for t in told], around=[t[2] for t in told])
+            if pairs:
+                yield out(word=[a for a, _ in pairs], after=[b for _, b in pairs])
+            seqs.clear(), own.clear(), pairs.clear()
+
         for batch in batches:
             for text in utf8(batch.column("text")):
-                _, s = symbols.of(tokens(text))
-                s = np.concatenate([[size - 1], s, [size - 1]])
-                waiting.append(s[:-1] * size + s[1:])
-                n += len(s)
-                if n > 4_000_000:
-                    total += np.bincount(np.concatenate(waiting), minlength=size * size)
-                    waiting, n = [], 0
-        if waiting:
-            total += np.bincount(np.concatenate(waiting), minlength=size * size)
+                words = tokens(text)
+                codes = np.append(symbols.codes(words), np.int32(end))
+                seqs.append(codes)
+                n += len(codes)
+                for i in np.flatnonzero(codes > end).tolist():
+                    told = own.setdefault(words[i], [0, 0, []])
+                    told[0] += 1
+                    before, after = codes[i - 1] if i else end, codes[i + 1]
+                    if before <= end:
+                        told[2].append(2 * int(before))
+                    if after <= end:
+                        told[2].append(2 * int(after) + 1)
+                    elif words[i + 1] == words[i]:
+                        told[1] += 1
+                    else:
+                        pairs.append((words[i], words[i + 1]))
+                if n > 500_000:
+                    yield from flushed()
+                    n = 0
+        yield from flushed()
+
+    return docs.select("text").mapInArrow(run, "seq array<int>, word binary, c long, s long, around array<int>, after binary")
+
+
+def bigrams(seqs: DataFrame, symbols: Symbols) -> np.ndarray:
+    """Counts of neighbouring symbols of the first exchange over all training rows."""
+    held, size = seqs.sparkSession.sparkContext.broadcast(symbols.first()), symbols.size
+
+    def run(batches):
+        first, total = held.value, np.zeros(size * size, np.int64)
+        for batch in batches:
+            for seq in batch.column("seq"):
+                s = first[seq.values.to_numpy()]
+                total += np.bincount(s[:-1] * size + s[1:], minlength=size * size)
         some = np.flatnonzero(total)
         for at in range(0, len(some), 200_000):
             part = some[at : at + 200_000]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["pair", "n"])
 
     out = np.zeros(size * size, np.int64)
-    got = docs.select("text").mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most size * size rows
+    got = seqs.select("seq").mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most size * size rows
     out[got.column("pair").to_numpy()] = got.column("n").to_numpy()
     return out.reshape(size, size)
 
@@ -183,6 +248,186 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) ->
     return of
 
 
+def likelihood(m: np.ndarray) -> float:
+    """Of the class bigrams; what does not depend on the classes is left out."""
+    return float(_xlogx(m).sum() - _xlogx(m.sum(axis=1)).sum() - _xlogx(m.sum(axis=0)).sum())
+
+
+def _put(m: np.ndarray, of: np.ndarray, right: np.ndarray, left: np.ndarray, itself: np.ndarray, sign: int) -> None:
+    one_hot = np.zeros(right.shape)
+    one_hot[np.arange(len(of)), of] = sign
+    m += one_hot.T @ right + left.T @ one_hot
+    m[np.diag_indices(len(m))] += itself @ one_hot
+
+
+def placed(m: np.ndarray, of: np.ndarray, right: np.ndarray, left: np.ndarray, itself: np.ndarray) -> np.ndarray:
+    """The best class of each word (row) against what is left of ``m`` without these words; ``m`` then has them there."""
+    right, left, itself = right.astype(np.float64), left.astype(np.float64), itself.astype(np.float64)
+    _put(m, of, right, left, itself, -1)
+    np.maximum(m, 0, out=m)  # pairs of two of these words went twice
+    fm = _xlogx(m)
+    gain = np.zeros(right.shape)
+    for side, by, f in ((right, m.T, fm.T), (left, m, fm)):
+        at, k = side.nonzero()
+        if len(at):
+            more = _xlogx(by[k] + side[at, k][:, None]) - f[k]
+            more[np.arange(len(k)), k] = 0
+            starts = np.flatnonzero(np.diff(at, prepend=-1))
+            gain[at[starts]] += np.add.reduceat(more, starts, axis=0)
+    both = right + left + itself[:, None]
+    gain += _xlogx(np.diag(m) + both) - np.diag(fm)
+    rows, cols = m.sum(axis=1) + left, m.sum(axis=0) + right
+    r, l = (right.sum(axis=1) + itself)[:, None], (left.sum(axis=1) + itself)[:, None]
+    gain -= _xlogx(rows + r) - _xlogx(rows) + _xlogx(cols + l) - _xlogx(cols)
+    best = gain[:, :CLASSES].argmax(axis=1)
+    every = np.arange(len(of))
+    best = np.where(gain[every, best] > gain[every, of] + 1e-6, best, of)
+    _put(m, best, right, left, itself, 1)
+    return best
+
+
+def _blobs(cells: np.ndarray, size: int):
+    """(block, places and counts) of what is not 0."""
+    for block, at in enumerate(range(0, len(cells), size)):
+        part = cells[at : at + size]
+        some = np.flatnonzero(part)
+        if len(some):
+            yield block, some.astype(np.uint16).tobytes() + part[some].tobytes()
+
+
+def _add(cells: np.ndarray, blob: bytes) -> None:
+    n = len(blob) // 10
+    cells[np.frombuffer(blob, np.uint16, n)] += np.frombuffer(blob, np.int64, n, 2 * n)
+
+
+def _summed(blobs: DataFrame) -> DataFrame:
+    def run(group: pa.Table) -> pa.Table:
+        cells = np.zeros(1 << 16, np.int64)
+        for blob in group.column("blob"):
+            _add(cells, blob.as_py())
+        return pa.table({"block": group.column("block")[:1], "blob": pa.array([next(_blobs(cells, len(cells)))[1]], pa.binary())})
+
+    return blobs.groupBy("block").applyInArrow(run, "block int, blob binary")
+
+
+def _head_cells(seqs: DataFrame, of: np.ndarray) -> DataFrame:
+    """Blobs of the counts around head words (and the end) where both of a pair are head words; ``of`` has their classes."""
+    held = seqs.sparkSession.sparkContext.broadcast(of)
+
+    def run(batches):
+        of = held.value
+        total = np.zeros(len(of) * CELLS, np.int64)
+        for batch in batches:
+            for seq in batch.column("seq"):
+                s = seq.values.to_numpy().astype(np.int64)
+                a, b = s[:-1], s[1:]
+                both = (a < len(of)) & (b < len(of))
+                a, b = a[both], b[both]
+                same, others = a[a == b], a != b
+                a, b = a[others], b[others]
+                np.add.at(total, np.concatenate([a * CELLS + of[b], b * CELLS + ALL + of[a], same * CELLS + 2 * ALL]), 1)
+        got = list(_blobs(total, BLOCK * CELLS))
+        yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.binary())], ["block", "blob"])
+
+    return seqs.select("seq").mapInArrow(run, "block int, blob binary")
+
+
+def _rare_moves(rare: DataFrame, of: np.ndarray, m: np.ndarray) -> DataFrame:
+    """(word, c, k, then) of the words outside the head, and blobs of their share in the head's counts (block -1: of class bigrams)."""
+    held = rare.sparkSession.sparkContext.broadcast((of, m))
+    names = ["word", "c", "k", "then", "block", "blob"]
+
+    def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat(np.arange(len(column)), pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False)), column.flatten().to_numpy().astype(np.int64)
+
+    def run(batches):
+        of, m = held.value[0], held.value[1].copy()  # the task's own moves show in it
+        total, own = np.zeros(len(of) * CELLS, np.int64), np.zeros(ALL * ALL, np.int64)
+        for batch in batches:
+            n = batch.num_rows
+            k, s = batch.column("k").to_numpy().astype(np.int64), batch.column("s").to_numpy()
+            i, x = lists(batch.column("around"))
+            j, y = lists(batch.column("classes"))
+            word, after = x >> 1, (x & 1) == 1
+            np.add.at(total, word * CELLS + np.where(after, ALL, 0) + k[i], 1)
+            at = np.concatenate([i * ALL + of[word], j * ALL + (y >> 1)])
+            follows = np.concatenate([after, (y & 1) == 1])
+            right = np.bincount(at[follows], minlength=n * ALL).reshape(n, ALL)
+            left = np.bincount(at[~follows], minlength=n * ALL).reshape(n, ALL)
+            np.add.at(own.reshape(ALL, ALL), k, right)
+            np.add.at(own.reshape(ALL, ALL), (k, k), s)
+            then = np.concatenate([placed(m, k[a : a + TOGETHER], right[a : a + TOGETHER], left[a : a + TOGETHER], s[a : a + TOGETHER]) for a in range(0, n, TOGETHER)]) if n else k
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), batch.column("k"), pa.array(then.astype(np.int32)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+        got = [*_blobs(total, BLOCK * CELLS), *((-1, b) for _, b in _blobs(own, len(own)))]
+        size = len(got)
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(size, pa.binary()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.int32()), pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.binary())], names
+        )
+
+    return rare.select("word", "c", "s", "around", "classes", "k").mapInArrow(run, "word binary, c long, k int, then int, block int, blob binary")
+
+
+def clustered(docs: DataFrame, symbols: Symbols) -> tuple[np.ndarray, np.ndarray, DataFrame, list[float]]:
+    """Classes of all codes, class bigrams, (word, c, k) of the words outside the head, and each pass's log-likelihood."""
+    got = written(passed(docs, symbols), "passed")
+    seqs = got.where(F.col("seq").isNotNull())
+    pairs = bigrams(seqs, symbols)
+    of = exchange(pairs)[symbols.first()]
+    end = symbols.end
+    one_hot = np.zeros((symbols.size, ALL))
+    one_hot[symbols.first(), of] = 1
+    m = one_hot.T @ pairs @ one_hot
+    group = F.pmod(F.crc32(F.expr(f"CASE WHEN length(word) > {SUFFIX} THEN substring(word, -{SUFFIX}, {SUFFIX}) ELSE word END")), F.lit(GROUPS))
+    start = F.element_at(F.array(*(F.lit(int(k)) for k in of[end + 1 :])), (group + 1).cast("int"))
+    words = got.where(F.col("around").isNotNull()).groupBy("word").agg(F.sum("c").alias("c"), F.sum("s").alias("s"), F.flatten(F.collect_list("around")).alias("around"))
+    words = written(words, "rare")
+    mixed_pairs = got.where(F.col("after").isNotNull()).select("word", "after")
+    classes = words.select("word", start.alias("k"))
+    best, told = None, []
+    for turn in range(PASSES + 1):
+        a = mixed_pairs.join(classes.select(F.col("word").alias("after"), "k"), "after").select("word", (F.col("k") * 2 + 1).alias("x"))
+        b = mixed_pairs.join(classes, "word").select(F.col("after").alias("word"), (F.col("k") * 2).alias("x"))
+        near = a.unionByName(b).groupBy("word").agg(F.collect_list("x").alias("classes"))
+        moves = written(_rare_moves(words.join(classes, "word").join(near, "word", "left"), of[: end + 1], m), "moves")
+        cells, m = np.zeros((end + 1 + BLOCK) * CELLS, np.int64), np.zeros((ALL, ALL))
+        blobs = moves.where(F.col("block").isNotNull()).select("block", "blob").unionByName(_head_cells(seqs, of[: end + 1]))
+        for r in _summed(blobs).coalesce(8).toLocalIterator():  # a job for each of its partitions
+            if r["block"] < 0:
+                part = np.zeros(ALL * ALL, np.int64)
+                _add(part, bytes(r["blob"]))
+                m += part.reshape(ALL, ALL)
+            else:
+                _add(cells[r["block"] * BLOCK * CELLS :], bytes(r["blob"]))
+        cells = cells[: (end + 1) * CELLS].reshape(end + 1, CELLS)
+        right, left, itself = cells[:, :ALL], cells[:, ALL : 2 * ALL], cells[:, 2 * ALL]
+        np.add.at(m, of[: end + 1], right)
+        np.add.at(m, (of[: end + 1], of[: end + 1]), itself)
+        told.append(likelihood(m))
+        gained = told[-1] - max(told[:-1], default=-np.inf)
+        if gained > 0:
+            if best is not None:
+                dropped(docs.sparkSession, best[2])
+            best = of, m.copy(), moves
+        if turn == PASSES or gained <= LEAST * m.sum():
+            break
+        of, at = of.copy(), 0
+        while at < end:  # the more frequent, the fewer at a time
+            to = min(end, at + max(1, min(BLOCK, at // 100)))
+            of[at:to] = placed(m, of[at:to], right[at:to], left[at:to], itself[at:to])
+            at = to
+        classes = moves.where(F.col("word").isNotNull()).select("word", F.col("then").alias("k"))
+    of, m, moves = best
+    rare = moves.where(F.col("word").isNotNull()).select("word", "c", "k")
+    of = of.copy()
+    usual: dict[int, tuple[int, int]] = {}
+    for r in rare.groupBy(group.alias("g"), "k").agg(F.count(F.lit(1)).alias("n")).collect():
+        usual[r["g"]] = max(usual.get(r["g"], (0, 0)), (r["n"], r["k"]))
+    for g, (_, k) in usual.items():
+        of[end + 1 + g] = k
+    dropped(docs.sparkSession, got, words)
+    return of, m, rare, told
+
+
 def transitions(m: np.ndarray) -> np.ndarray:
     """P(class | class before): Witten-Bell interpolation of class bigrams with class unigrams."""
     single = (m.sum(axis=0) + ADD) / (m.sum() + ADD * len(m))
@@ -192,91 +437,106 @@ def transitions(m: np.ndarray) -> np.ndarray:
 
 @dataclass
 class ClassModel:
+    """Arrays by code: head words, the end, then a word not seen in training by its suffix group."""
+
     symbols: Symbols
     classes: np.ndarray
     step: np.ndarray
     emit: np.ndarray
-    group_floor: np.ndarray
+    mass: np.ndarray
     base_floor: float
     end_count: float
     n: int
-
-    def parts(self, words: list[bytes]) -> tuple[int, float, float, dict[bytes, int]]:
-        """Known tokens, base and model score without the log10(c + 0.5) of the words returned."""
-        at, sym = self.symbols.of(words)
-        last = self.symbols.size - 1
-        chain = np.concatenate([[last], sym, [last]])
-        k = self.classes[chain]
-        score = self.step[k[:-1], k[1:]].sum() + self.emit[chain[1:]].sum() + self.group_floor[sym].sum()
-        base = self.base_floor * (len(words) + 1) + np.log10(self.end_count + ADD)
-        head = at[at >= 0]
-        logs = np.log10(self.symbols.counts[head] + ADD)
-        base += logs.sum()
-        score += logs[self.symbols.symbols[head] >= OWN].sum()
-        rest = Counter(words[i] for i in np.flatnonzero(at < 0))
-        return len(head) + (self.end_count > 0), float(base), float(score), rest
+    told: list[float]
+
+    def parts(self, words: list[bytes]) -> tuple[int, float, float, dict[bytes, int], list[int], list[int], list[int]]:
+        """Known tokens, base and model score of the head words among themselves; the other words with the class of
+        one not seen; the place in them of each occurrence; the classes before and after it, or -1."""
+        end = self.symbols.end
+        codes = np.concatenate([[end], self.symbols.codes(words), [end]])
+        k, head = self.classes[codes], codes <= end
+        both = head[:-1] & head[1:]
+        known = codes[1:][head[1:]]
+        counts = np.append(self.symbols.counts, self.end_count)
+        score = self.step[k[:-1], k[1:]][both].sum() + self.emit[known].sum()
+        base = self.base_floor * (len(words) + 1) + np.log10(counts[known] + ADD).sum()
+        others, slots, at = {}, [], np.flatnonzero(~head)
+        for i in at.tolist():
+            slots.append(others.setdefault(words[i - 1], (len(others), int(k[i])))[0])
+        before, after = (np.where(head[at + d], k[at + d], -1).tolist() for d in (-1, 1))
+        return len(known) - (self.end_count == 0), float(base), float(score), {w: c for w, (_, c) in others.items()}, slots, before, after
+
+    def rest(self, slots: np.ndarray, before: np.ndarray, after: np.ndarray, k: np.ndarray, c: np.ndarray) -> tuple[int, float, float]:
+        """What the other words add, from their classes and counts."""
+        k, c = k[slots], c[slots]
+        logs = np.log10(c + ADD).sum()
+        before = np.where(before < 0, np.roll(k, 1), before)
+        closed = after >= 0
+        return int((c > 0).sum()), float(logs), float(logs - self.mass[k].sum() + self.step[before, k].sum() + self.step[k[closed], after[closed]].sum())
 
 
 def fit(docs: DataFrame) -> tuple[ClassModel, DataFrame]:
-    """The model of all rows, and the counts (word, c) of the words outside its head."""
+    """The model of all rows, and (word, c, k) of the words outside its head."""
     counts = written(counted(docs), "counts")
     totals = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.sum(F.when(F.length("word") == 0, F.col("c"))).alias("ends")).first()
     n, v, ends = totals["n"] or 0, totals["v"], totals["ends"] or 0
-    symbols, chosen = head_of(counts)
-    group = F.pmod(F.crc32(F.expr(f"CASE WHEN length(word) > {SUFFIX} THEN substring(word, -{SUFFIX}, {SUFFIX}) ELSE word END")), F.lit(GROUPS))
-    sums = np.zeros((GROUPS, 2))
-    for r in counts.where(F.length("word") > 0).groupBy(group.alias("g")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():
-        sums[r["g"]] = r["c"], r["v"]
-    for w, k in symbols.words.items():
-        if k < OWN:
-            sums[group_of(w)] -= symbols.counts[k], 1
-    pairs = bigrams(docs, symbols)
-    of = exchange(pairs)
-    total = CLASSES + 1
-    one_hot = np.zeros((symbols.size, total))
-    one_hot[np.arange(symbols.size), of] = 1
-    m = one_hot.T @ pairs @ one_hot
-    step = np.log10(transitions(m))
-    seen = pairs.sum(axis=0).astype(np.float64)
-    emit = np.log10((seen + ADD) / ((one_hot.T @ (seen + ADD))[of]))
-    floor = np.zeros(symbols.size)
-    floor[OWN : OWN + GROUPS] = -np.log10(sums[:, 0] + ADD * (sums[:, 1] + 1))
+    symbols = head_of(counts)
+    dropped(docs.sparkSession, counts)
+    of, m, rare, told = clustered(docs, symbols)
+    seen = np.concatenate([symbols.counts, [ends], np.zeros(GROUPS)]) + ADD
+    mass = np.bincount(of, weights=seen, minlength=ALL)
+    for r in rare.groupBy("k").agg(F.sum(F.col("c") + ADD).alias("c")).collect():
+        mass[r["k"]] += r["c"]
+    mass = np.log10(np.maximum(mass, ADD))
     base_floor = -float(np.log10(n + ADD * (v + 1)))
-    return ClassModel(symbols, of, step, emit, floor, base_floor, float(ends), n), counts.where(~chosen & (F.length("word") > 0))
+    return ClassModel(symbols, of, np.log10(transitions(m)), np.log10(seen) - mass[of], mass, base_floor, float(ends), n, told), rare
 
 
 def scored(docs: DataFrame, model: ClassModel, rare: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each row."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     kind = dict(docs.dtypes)["doc_id"]
+    ints = pa.list_(pa.int32())
 
     def run(batches):
         model = held.value
         for batch in batches:
-            cols: list[list] = [[] for _ in range(6)]
+            cols: list[list] = [[] for _ in range(9)]
             for text in utf8(batch.column("text")):
                 words = tokens(text)
-                known, base, score, rest = model.parts(words)
-                for c, x in zip(cols, (len(words) + 1, known, base, score, list(rest), list(rest.values()))):
+                known, base, score, others, *places = model.parts(words)
+                for c, x in zip(cols, (len(words) + 1, known, base, score, list(others), list(others.values()), *places)):
                     c.append(x)
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
-            names = ["doc_id", "n_tokens", "n_known", "base", "score", "words", "times"]
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), ints, ints, ints, ints]
+            names = ["doc_id", "n_tokens", "n_known", "base", "score", "words", "unseen", "slots", "before", "after"]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds))], names)
 
-    shape = f"doc_id {kind}, n_tokens long, n_known long, base double, score double, words array<binary>, times array<int>"
+    def close(batches):
+        model = held.value
+        for batch in batches:
+            more = [(0, 0.0, 0.0)] * batch.num_rows
+            places = [batch.column(c) for c in ("slots", "before", "after", "j", "k", "c")]
+            for i in np.flatnonzero(pa.compute.fill_null(pa.compute.list_value_length(places[3]), 0).to_numpy(zero_copy_only=False)):
+                slots, before, after, j, k, c = (p[int(i)].values.to_numpy() for p in places)
+                order = np.argsort(j)
+                more[i] = model.rest(slots, before, after, k[order], c[order])
+            known, base, score = (np.array([x[d] for x in more]) for d in range(3))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"), batch.column("n_tokens"), pa.array(batch.column("n_known").to_numpy() + known.astype(np.int64)), pa.array(np.full(batch.num_rows, model.n, np.int64)),
+                    pa.array(batch.column("base").to_numpy() + base), pa.array(batch.column("score").to_numpy() + score),
+                ],
+                ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
+
+    shape = f"doc_id {kind}, n_tokens long, n_known long, base double, score double, words array<binary>, unseen array<int>, slots array<int>, before array<int>, after array<int>"
     parts = written(docs.select("doc_id", "text").mapInArrow(run, shape).withColumn("row", F.monotonically_increasing_id()), "parts")
-    rest = parts.select("row", F.explode(F.arrays_zip("words", "times")).alias("t")).select("row", F.col("t.words").alias("word"), F.col("t.times").alias("times"))
-    c = F.coalesce(F.col("c"), F.lit(0))
-    found = rest.join(rare, "word", "left").groupBy("row").agg(F.sum(F.col("times") * F.log10(c + ADD)).alias("more"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("known"))
-    more = F.coalesce(F.col("more"), F.lit(0.0))
-    return parts.drop("words", "times").join(found, "row", "left").select(
-        "doc_id",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(model.n).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"),
-        (F.col("score") + more).alias("score"),
-    )
+    rest = parts.select("row", F.posexplode(F.arrays_zip("words", "unseen")).alias("j", "t")).select("row", "j", F.col("t.words").alias("word"), F.col("t.unseen").alias("unseen"))
+    found = rest.join(rare, "word", "left").select("row", "j", F.coalesce("k", "unseen").alias("k"), F.coalesce(F.col("c"), F.lit(0)).alias("c"))
+    t = F.col("t")
+    found = found.groupBy("row").agg(F.collect_list(F.struct("j", "k", "c")).alias("t")).select("row", t.j.alias("j"), t.k.alias("k"), t.c.alias("c"))
+    whole = parts.drop("words", "unseen").join(found, "row", "left").drop("row")
+    return whole.mapInArrow(close, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op9_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -419,6 +419,42 @@ def test_class_lm_is_a_distribution(spark):
         assert np.isclose((10 ** model.emit[model.classes == c]).sum(), 1)
 
 
+@pytest.mark.parametrize("head", [100_000, 1_200])
+def test_class_lm_clusters_every_word(spark, tmp_path, monkeypatch, head):
+    """Two kinds of 1,200 words that alternate and end alike: suffixes tell nothing, most words are beyond the OWN first."""
+    monkeypatch.setattr(class_lm, "HEAD", head)
+    rng = random.Random(5)
+    kinds = [[f"{x}{k}same" for k in range(1200)] for x in "pq"]
+    rows = [(i, " ".join(rng.choice(kinds[j % 2]) for j in range(i % 2, 80)) + (" " if i % 9 else " never%dseen X X %s" % (i, "y" * 70)), "en", "s", 1, 0.0, "c", "c") for i in range(500)]
+    train = [r for r in rows if fold(r[0], 5) != 1]
+    split = lambda t: t.lower().encode().split()
+    counts = Counter(w for r in train for w in [*split(r[1]), b""])
+    df = frame(spark, rows)
+    model, rare = class_lm.fit(frame(spark, train))
+    of = {w: int(model.classes[k]) for w, k in model.symbols.words.items()} | {b"": class_lm.CLASSES} | {bytes(r.word): r.k for r in rare.collect()}
+    assert set(of) == set(counts) and (rare.count() > 1000) == (head == 1_200)
+    alike = Counter((k, w[:1]) for w, k in of.items() if w.endswith(b"same"))
+    assert sum(max(alike[k, b"p"], alike[k, b"q"]) for k in set(of.values())) > 0.95 * sum(alike.values())
+    assert len(model.told) > 1 and max(model.told) > model.told[0]
+
+    m = np.zeros((class_lm.ALL, class_lm.ALL))
+    for r in train:
+        chain = [of[w] for w in [b"", *split(r[1]), b""]]
+        np.add.at(m, (chain[:-1], chain[1:]), 1)
+    assert np.allclose(model.step, np.log10(class_lm.transitions(m)))
+    unseen = lambda w: int(model.classes[model.symbols.end + 1 + class_lm.group_of(w)])
+    mass = Counter(model.classes[model.symbols.end + 1 :].tolist())
+    mass = {k: sum(c + 0.5 for w, c in counts.items() if of[w] == k) + 0.5 * mass[k] for k in set(of.values()) | set(mass)}
+    got = {r.doc_id: r for r in class_lm.scored(df, model, rare).collect()}
+    for r in rows:
+        words = [b"", *split(r[1]), b""]
+        k = [of.get(w, unseen(w)) for w in words]
+        want = sum(model.step[a, b] + math.log10((counts[w] + 0.5) / mass[b]) for a, b, w in zip(k, k[1:], words[1:]))
+        assert abs(got[r[0]].score - want) < 1e-6 and got[r[0]].n_known == sum(counts[w] > 0 for w in words[1:])
+    told = class_lm.op9_class_lm(spark, tables(spark, tmp_path, documents=df)).where("held_out").collect()
+    assert sum(r.score - r.base_score for r in told) > 0.2 * sum(r.n_tokens for r in told)
+
+
 def test_exchange_separates_what_alternates():
     size = 41
     pairs = np.zeros((size, size), np.int64)
