@@ -102,9 +102,9 @@ def signatures() -> list[Rule]:
         ("zlib", "zlib", "zlib(?: libpng)? license", 50, 0.9), ("unlicense", "unlicense", "(?:the )?unlicense", 50, 0.85), ("unlicense", "unencumbered", "free and unencumbered software released into the public domain", 80, 1.0),
         ("cc0-1.0", "cc0", "cc0(?: 1 0)?(?: universal)?", 70, 0.95), ("cc0-1.0", "publicdomain", "creativecommons org publicdomain zero 1 0", 90, 1.0), ("public-domain", "public domain", "(?:released |placed |dedicated )?(?:in|into|to) the public domain", 35, 0.7),
         ("gpl", "general public license", "general public license", 20, 0.6), ("apache", "apache license", "apache license", 30, 0.8), ("creative-commons", "creative commons", "creative commons(?: license)?", 20, 0.5),
-        ("proprietary", "all rights reserved", "all rights reserved", 10, 0.3), ("proprietary", "proprietary", "proprietary and confidential", 30, 0.7), ("beerware", "beer ?ware", "beer ?ware license", 50, 0.8), ("json", "good not evil", "shall be used for good not evil", 60, 0.9),
+        ("proprietary", "all rights reserved", "all rights reserved", 10, 0.3), ("proprietary", "proprietary", "proprietary and confidential", 30, 0.7), ("beerware", "ware license", "beer ?ware license", 50, 0.8), ("json", "good not evil", "shall be used for good not evil", 60, 0.9),
     ):
-        add(label, keyword.replace(" ?", ""), pattern, priority, confidence)
+        add(label, keyword, pattern, priority, confidence)
     return out
 
 

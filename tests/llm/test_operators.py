@@ -499,6 +499,39 @@ def test_license_base_against_brute_force(spark, tmp_path):
     assert len(license_scan.signatures()) > 300
 
 
+def wording(parsed, rng):
+    """A random text that the parsed pattern fits, without what it looks at around itself."""
+    out = ""
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(arg)
+        elif op == "IN":
+            out += "7" if "CATEGORY_DIGIT" in str(arg) else "x" if "CATEGORY" in str(arg) else chr(rng.choice(arg)[1])
+        elif op == "BRANCH":
+            out += wording(rng.choice(arg[1]), rng)
+        elif op == "SUBPATTERN":
+            out += wording(arg[3], rng)
+        elif op == "MAX_REPEAT":
+            out += "".join(wording(arg[2], rng) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 2))))
+        else:
+            assert op in ("ASSERT", "ASSERT_NOT"), op
+    return out
+
+
+def test_keywords_are_in_all_that_their_patterns_fit():
+    rng = random.Random(1)
+    for r in license_scan.signatures():
+        parsed = re._parser.parse(r.pattern.decode())
+        for _ in range(20):
+            text = b" " + wording(parsed, rng).encode() + b" "
+            assert re.search(r.pattern, text), (r, text)
+            assert r.keyword in text, (r, text)
+            told, plain = (license_scan.Scanner([x]).detections(text) for x in (r, license_scan.Rule(r.label, b"", r.pattern, r.priority, r.confidence)))
+            assert [d[1:] for d in told] == [d[1:] for d in plain] != []
+    assert "beerware" in license_scan.Scanner(license_scan.signatures()).scan(b"The Beer-Ware License (Revision 42)")[5]
+
+
 def test_contained_detections_are_suppressed():
     scanner = license_scan.Scanner(license_scan.signatures())
     kept = scanner.detections(b" under the apache license version 2 0 ")
