@@ -377,11 +377,11 @@ def _(spark, sf_dir):
 
 @built("sqlite_import", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def _(spark, sf_dir):
-    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey").limit(1000).collect()]
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey")
     with tempfile.TemporaryDirectory() as folder:  # the source file is the driver's alone
         db = sqlite3.connect(f"{folder}/source.db")
         db.execute("CREATE TABLE nation(n_nationkey INTEGER PRIMARY KEY, n_name TEXT, n_regionkey INTEGER)")
-        db.executemany("INSERT INTO nation VALUES (?, ?, ?)", rows)
+        db.executemany("INSERT INTO nation VALUES (?, ?, ?)", (tuple(r) for r in rows.toLocalIterator()))
         db.commit()
         db.close()
         root = f"{shared_root(spark)}/tessella-{spark.sparkContext.applicationId}/import-{uuid.uuid4().hex[:8]}"

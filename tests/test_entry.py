@@ -32,3 +32,9 @@ def test_query_equals_its_sql(spark, con, name):
 
 def test_entry_runs(spark):
     assert entry.entry(spark).columns == ["o_orderkey", "o_totalprice"]
+
+
+def test_import_takes_every_row(spark, tmp_path):
+    spark.range(1500).selectExpr("CAST(id AS INT) AS n_nationkey", "concat('n', id) AS n_name", "CAST(id % 5 AS INT) AS n_regionkey").write.parquet(f"{tmp_path}/nation.parquet")
+    got = entry.queries()["sqlite_import"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == [(i, f"n{i}", i % 5) for i in range(1500)]
