@@ -7,7 +7,7 @@ their names.
 Defined results: a null or empty text has no letter and leaves at the first
 stage. A null lang, source or n_chars is carried along; null sources are a
 source of their own in the mix. Rows with a null id stay through the
-near-duplicate stage. Of rows with one id and near-equal texts one stays. Tables
+near-duplicate stage. Of rows with one id and near-equal texts one stays; with unlike texts each is judged by its own. Tables
 without rows give a result without rows, tables without labels no learned rule,
 and without benchmark items nothing is contaminated.
 """
@@ -41,12 +41,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate group: the one with the smallest id.
 
-    Rows without an id cannot stand for a group by name; they all stay.
+    Rows without an id cannot stand for a group by name; they all stay. Rows that repeat an id are told apart by
+    their sets of shingles, so each group keeps its own one.
     """
-    judged = near_dup.near_duplicates(docs.select("doc_id", "text"), width=5, threshold=0.8)
-    ids = judged.where(F.col("kept")).select(F.col("doc_id").alias(OWN)).distinct()
-    once = docs.join(ids, docs["doc_id"] == ids[OWN], "left_semi")
-    return once.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    judged = near_dup.near_duplicates(docs.select("doc_id", "text"), width=5, threshold=0.8, keys=True).where(F.col("doc_id").isNotNull())
+    stands = F.col("kept") & F.col("stands")
+    ids = judged.groupBy(F.col("doc_id").alias(OWN)).agg(
+        (F.count(F.lit(1)) > 1).alias(f"{OWN}_again"), F.collect_set(F.when(stands, F.coalesce("k", F.lit(b"")))).alias(f"{OWN}_keys")
+    ).where(F.size(f"{OWN}_keys") > 0)
+    once = docs.join(ids, docs["doc_id"] == ids[OWN])
+    # where an id repeats, the texts tell its rows apart
+    once = near_dup.with_set_key(once, F.when(F.col(f"{OWN}_again"), F.col("text")), f"{OWN}_key", 5)
+    key = F.coalesce(f"{OWN}_key", F.lit(b""))
+    once = once.where(~F.col(f"{OWN}_again") | F.array_contains(f"{OWN}_keys", key)).dropDuplicates(["doc_id", f"{OWN}_key"])
+    return once.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

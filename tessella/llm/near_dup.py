@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tessella.llm.common import dropped, mixed, plain_words, table, utf8, written
 from tessella.llm.components import components
@@ -211,8 +212,11 @@ def common_at_most(x: str, y: str) -> Column:
     return centre - F.col(x + "gone") - F.col(y + "gone") + shared("gone") + shared("more")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each row of docs."""
+def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, keys: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of each row of docs.
+
+    With ``keys`` also the set key k, and whether the row's set is the one that stands for its component.
+    """
     spark, percent = docs.sparkSession, round(100 * threshold)
     rows = written(signed(docs, width), "signed")
     classes = written(
@@ -261,12 +265,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) ->
             ways = roots.where(F.col("node") != F.col("root")).select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(late_links)
             joined = written(components(ways), "joined")
     named = written(classes.select("k", "id").join(joined, classes["k"] == joined["node"], "left").select("k", "id", F.coalesce("root", "k").alias("root")), "named")
-    least = written(named.groupBy("root").agg(F.min("id").alias("component_id")), "least-ids")
-    of_class = written(named.join(least, "root").select("k", "component_id"), "of-class")
+    first = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "k")))["k"]
+    least = written(named.groupBy("root").agg(F.min("id").alias("component_id"), first.alias("first")), "least-ids")
+    of_class = written(named.join(least, "root").select("k", "component_id", (F.col("k") == F.col("first")).alias("first")), "of-class")
     dropped(spark, classes, around, held, facts, stars, told, roots, rooted, placed, torn, open_, late, joined, named, least)
-    out = rows.select("doc_id", "n_shingles", "k").join(of_class, "k", "left")
+    out = rows.select("doc_id", "n_shingles", "k").join(of_class if keys else of_class.drop("first"), "k", "left")
     component = F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    more = ["k", (F.col("k").isNull() | F.coalesce("first", F.lit(False))).alias("stands")] if keys else []
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), *more)
+
+
+def with_set_key(docs: DataFrame, text: Column, name: str, width: int) -> DataFrame:
+    """docs and the set key of the text; null where it is null or has no word."""
+
+    def run(batches):
+        for batch in batches:
+            sets = (shingle_set(t, width) for t in utf8(batch.column(batch.num_columns - 1)))
+            got = pa.array([set_key(s) if len(s) else None for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], got], [*batch.schema.names[:-1], name])
+
+    return docs.withColumn(name, text).mapInArrow(run, StructType([*docs.schema.fields, StructField(name, BinaryType())]))
 
 
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

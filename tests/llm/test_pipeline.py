@@ -79,3 +79,13 @@ def test_nothing_else_imports_the_subpackage():
         if "llm" not in f.relative_to(root).parts:
             assert "tessella.llm" not in f.read_text()
     assert decontaminate and sys.modules["tessella.llm"]
+
+
+def test_rows_that_repeat_an_id_are_judged_by_their_texts(spark):
+    text = lambda x: " ".join(f"{x}{k}" for k in range(60))
+    a, b, c = text("a"), text("b"), text("c")
+    told = [(3, a), (5, a + " end"), (5, b), (5, b), (7, c), (7, c + " end"), (8, c), (9, text("d")), (9, text("e"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 0.0, "c", "c") for i, t in told], frame(spark, []).schema)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sorted(x for x in got if x[0] != 7) == [(3, a), (5, b), (9, text("d")), (9, text("e"))]
+    assert [i for i, _ in got].count(7) == 1
