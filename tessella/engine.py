@@ -28,7 +28,7 @@ from tessella.plans.domains import bindable
 from tessella.plans.parser import parse, parse_one
 from tessella.plans.planner import Plan
 from tessella.plans.syntax import CreateIndex, CreateTable, Delete, Insert, Select, Statement, Transaction, Update, kind_of
-from tessella.sources.catalog import Catalog, Column, Table, replace
+from tessella.sources.catalog import Catalog, Column, LocalIndex, Table, replace
 from tessella.sources.files import State
 from tessella.sources.storage import Snapshot, Store
 
@@ -189,15 +189,21 @@ class Engine:
         catalog.put(replace(known, columns=columns, primary=primary, uniques=uniques, checks=tuple(rendered(c) for c in s.checks)).checked())
 
     def _create_index(self, catalog: Catalog, s: CreateIndex, source: str) -> None:
+        """An index of a table's own shards: kept by name; a unique one is a key that every write checks."""
         table = planner.found(catalog, s.table)
         text = lambda i: i.text if i.quoted else i.folded()
-        columns = [text(c) for c, _ in s.columns]
+        name, columns = text(s.name), [text(c) for c, _ in s.columns]
+        if any(i.name == name for t in catalog.tables.values() for i in t.indexes):
+            if s.if_not_exists:
+                return
+            raise InvalidQuery("the index exists already")
         if any(table.column(c) is None for c in columns):
             raise InvalidQuery("an index names a column that is not declared")
         if s.unique:
             if table.placement == "sharded" and table.shard_key not in columns:
                 raise FailedPrecondition("a unique index of a sharded table must hold the shard key")
-            catalog.put(replace(table, uniques=(*table.uniques, tuple(columns))))
+            table = replace(table, uniques=(*table.uniques, tuple(columns)))
+        catalog.put(replace(table, indexes=(*table.indexes, LocalIndex(name, tuple((text(c), down) for c, down in s.columns), s.unique))))
 
     # -- reads
     def _usable(self) -> None:
@@ -238,7 +244,10 @@ class Engine:
                 frame = select(statement, None, [], params, self.spark)
             else:
                 snapshot = (overlay or {}).get(plan.table.name)
-                rows = self.rows(plan.table, None if plan.table.placement == "global" or plan.shards is None else plan.shards, snapshot)
+                if plan.index == "routed" and plan.locators is not None and snapshot is None:
+                    rows = self.indexes.located_rows(plan.table, plan.shards, plan.locators, [k for k in plan.uncertain if k in plan.shards])
+                else:
+                    rows = self.rows(plan.table, None if plan.table.placement == "global" or plan.shards is None else plan.shards, snapshot)
                 if plan.empty:
                     rows = rows.where(F.lit(False))
                 frame = select(statement, rows, plan.table.names, params, self.spark)
@@ -314,39 +323,58 @@ class Engine:
             return WriteResult(0, 0)
         shard = plan.shards[0]
         before = (staged or {}).get(table.name, {}).get("now") or self.store.snapshot(table)
-        old = self.store.read(table, [shard], before)
+        old, own = self.store.read(table, [shard], before), before.folders.get(shard, [])
+        follow = self.indexes is not None and staged is None
+        gone, new, claims = None, None, []
         if isinstance(statement, Insert):
-            new = writes.inserted_rows(self.spark, table, statement, params, generated).withColumn("_shard", F.lit(shard))
-            kept, new = writes.with_conflicts(table, old, new, statement.conflict)
-            affected = new.count()
-            writes.checked_insert(table, kept, new)
-            self._with_parents(table, shard, new, staged)
-            folders = self.store.write(table, new).get(shard, [])
+            rows = writes.inserted_rows(self.spark, table, statement, params, generated).withColumn("_shard", F.lit(shard))
+            kept, rows = writes.with_conflicts(table, old, rows, statement.conflict)
+            if follow and statement.conflict == "ignore":
+                rows = self.indexes.without_doubles(table, before, rows)
+            affected = rows.count()
+            writes.checked_insert(table, kept, rows)
+            self._with_parents(table, shard, rows, staged)
             if statement.conflict == "replace":
-                folders = self.store.write(table, kept).get(shard, []) + folders
-            else:
-                folders = before.folders.get(shard, []) + folders
+                gone = old.join(kept.select(*self._locator(table)), self._locator(table), "left_anti")
+            if follow:
+                self.indexes.room(table)
+                claims = self.indexes.refuse_doubles(table, before, rows, gone)
+            added = self.store.write(table, rows).get(shard, [])
+            new = self.store.read(table, [shard], Snapshot(0, {shard: added}))
+            folders = (self.store.write(table, kept).get(shard, []) if statement.conflict == "replace" else own) + added
         else:
-            after, touched, columns = writes.changed(table, statement, old, params)
-            affected = touched.count()
+            after, touched, gone, columns = writes.changed(table, statement, old, params)
+            files = self.store.files_of(gone)
+            affected = sum(files.values())
             if not affected:
                 return WriteResult(shard, 0)
-            if isinstance(statement, Update):
+            new = touched if isinstance(statement, Update) else None
+            if new is not None:
                 writes.checked_update(table, after, touched, columns)
                 self._with_parents(table, shard, touched, staged, columns)
             self._with_children(table, shard, old, after, staged, columns)
-            folders = self.store.write(table, after).get(shard, [])
+            if follow:
+                self.indexes.room(table)
+                claims = self.indexes.refuse_doubles(table, before, new, gone) if new is not None else []
+            part = self.store.read(table, [shard], Snapshot(0, {shard: sorted(files)}))
+            folders = self.store.without(table, own, list(files)) + self.store.write(table, writes.changed(table, statement, part, params)[0]).get(shard, [])
         now = {**before.folders, shard: folders}
         result = WriteResult(shard, affected, (table.generated_column, generated) if generated is not None else None)
         if staged is not None:
             entry = staged.setdefault(table.name, {"table": table, "base": before})
             entry["now"] = Snapshot(before.version, now)
+        elif follow:
+            with self.indexes.claimed(claims, shard):
+                snapshot = self.store.publish(table, before, now)
+            self.indexes.changed(table, [shard], before, snapshot, gone, new)
         else:
-            snapshot = self.store.publish(table, before, now)
-            if self.indexes:
-                self.indexes.changed(table, [shard], before, snapshot)
+            self.store.publish(table, before, now)
         return result
 
+    @staticmethod
+    def _locator(table: Table) -> list[str]:
+        return list(table.primary) or ["_rid"]
+
     def _now(self, table: Table, shard: int, staged: dict | None) -> DataFrame:
         snapshot = (staged or {}).get(table.name, {}).get("now")
         return self.rows(table, [shard] if table.placement == "sharded" else None, snapshot)
@@ -407,7 +435,9 @@ class Engine:
             raise ReadOnly("an attached table is read only")
         before = self.store.snapshot(table)
         shaped = rows.select(*[F.col(f"`{c.name}`").cast(c.type).alias(c.name) for c in table.columns])
-        after, loaded = self.store.load(table, shaped)
+        if self.indexes:
+            self.indexes.room(table)
+        after, loaded = self.store.load(table, shaped, (lambda new, base: self.indexes.refuse_doubles(table, base, new)) if self.indexes else None)
         if self.indexes:
             self.indexes.changed(table, sorted(after.folders), before, after)
         return loaded
@@ -446,7 +476,12 @@ class Engine:
 
     def page(self, name: str, offset: int = 0, limit: int = pages.DEFAULT_PAGE) -> DataFrame:
         table = self.catalog.tables[name]
-        return pages.page(table, self.placed(table), offset, limit)
+        pages.checked_page(offset, limit)
+        if table.placement != "sharded" or table.attached or not self.store:
+            return pages.page(table, self.placed(table), offset, limit)
+        snapshot = self.store.snapshot(table)
+        counts = {r["shard"]: r["rows"] for r in pages.shard_counts(self.store.read(table, None, snapshot)).collect()}  # one row a shard
+        return pages.sliced_page(table, lambda k: self.store.read(table, [k], snapshot), [counts.get(k, 0) for k in range(self.shards)], offset, limit)
 
     def compact(self, name: str) -> dict:
         return self.store.compact(self.catalog.tables[name])
@@ -474,26 +509,30 @@ class Engine:
         self.close()
 
 
-PROBES = {
-    "version": "PostgreSQL 16.0 (tessella)", "current_database": "default", "current_schema": "public", "current_user": "tessella", "session_user": "tessella",
-}
+# fixed values: what clients of the wire protocol expect of a server of this family
+SERVER_VERSION, SERVER_VERSION_NUM, USER = "14.0-tessella", "140000", "tessella"
+FUNCTIONS = {"version": f"PostgreSQL 14.0 (Tessella {SERVER_VERSION})", "current_database": "default", "current_schema": "public"}
+USERS = {"current_user": USER, "session_user": USER}
 SHOWN = {
-    "server_version": "16.0", "server_encoding": "UTF8", "client_encoding": "UTF8", "datestyle": "ISO, MDY", "timezone": "UTC", "integer_datetimes": "on", "standard_conforming_strings": "on",
-    "transaction_isolation": "read committed", "default_transaction_isolation": "read committed", "search_path": "public",
+    "server_version": SERVER_VERSION, "server_version_num": SERVER_VERSION_NUM, "server_encoding": "UTF8", "client_encoding": "UTF8", "standard_conforming_strings": "on", "integer_datetimes": "on", "TimeZone": "UTC",
+    "transaction_isolation": "serializable", "transaction_read_only": "off", "search_path": "public", "DateStyle": "ISO, MDY", "IntervalStyle": "postgres", "extra_float_digits": "1",
+    "default_transaction_isolation": "serializable", "default_transaction_read_only": "off", "session_authorization": USER,
 }
+SETTINGS = ("server_version", "server_version_num", "standard_conforming_strings", "timezone")
 
 
 def system_probe(spark: SparkSession, sql: str) -> DataFrame:
     """What clients of a wire protocol ask about the server, by exact form; anything else is Unsupported."""
     text = " ".join(sql.strip().rstrip(";").lower().split())
-    for name, value in PROBES.items():
-        if text in (f"select {name}()", f"select {name}", f"select pg_catalog.{name}()"):
-            return spark.createDataFrame([(value,)], f"{name} string")
-    if text.startswith("show ") and (key := text[5:].replace("transaction isolation level", "transaction_isolation").replace("time zone", "timezone")) in SHOWN:
-        return spark.createDataFrame([(SHOWN[key],)], f"`{key}` string")
-    if text.startswith("select current_setting('") and text.endswith("')") and (key := text[24:-2]) in SHOWN:
-        return spark.createDataFrame([(SHOWN[key],)], "current_setting string")
-    raise Unsupported("this probe is not known")
+    shown = {k.lower(): (k, v) for k, v in SHOWN.items()} | {"transaction isolation level": ("transaction_isolation", SHOWN["transaction_isolation"])}
+    shown.pop("transaction_isolation")  # asked by its long name only
+    known = {f"select {prefix}{k}()": (k, v) for k, v in FUNCTIONS.items() for prefix in ("", "pg_catalog.")}
+    known |= {f"select {k}": (k, v) for k, v in USERS.items()} | {f"show {k}": x for k, x in shown.items()}
+    known |= {f"select current_setting('{k}')": ("current_setting", shown[k][1]) for k in SETTINGS}
+    if text not in known:
+        raise Unsupported("this probe is not known")
+    name, value = known[text]
+    return spark.createDataFrame([(value,)], f"`{name}` string")
 
 
 @dataclass
@@ -589,11 +628,22 @@ class Session:
             for entry in staged.values():
                 if self.engine.store.snapshot(entry["table"]).version != entry["base"].version:
                     raise Busy("another writer changed a table of the transaction")
-            for entry in staged.values():
-                after = self.engine.store.publish(entry["table"], entry["base"], entry["now"].folders)
-                if self.engine.indexes:
-                    changed = [k for k in after.folders if after.folders[k] != entry["base"].folders.get(k)]
-                    self.engine.indexes.changed(entry["table"], changed, entry["base"], after)
+            engine, claims = self.engine, {}
+            for name, entry in staged.items():
+                table, base, now = entry["table"], entry["base"], entry["now"]
+                entry["changed"] = [k for k in now.folders if now.folders[k] != base.folders.get(k)]
+                if engine.indexes and entry["changed"]:
+                    engine.indexes.room(table)
+                    new, gone = (engine.store.read(table, entry["changed"], x) for x in (now, base))
+                    claims[name] = engine.indexes.refuse_doubles(table, base, new, gone)
+            for name, entry in staged.items():
+                table, base, changed = entry["table"], entry["base"], entry["changed"]
+                if not (engine.indexes and changed):
+                    engine.store.publish(table, base, entry["now"].folders)
+                    continue
+                with engine.indexes.claimed(claims[name], changed[0]):
+                    after = engine.store.publish(table, base, entry["now"].folders)
+                engine.indexes.changed(table, changed, base, after)
 
     def _inside(self, statement: Statement, params: list, routing_key, limits: dict):
         if not isinstance(statement, (Select, Insert, Update, Delete)):

@@ -12,6 +12,8 @@ from tessella.errors import Busy, FailedPrecondition, InvalidArgument, UniqueVio
 from tessella.sources.files import State
 
 MAX_LEASE = 65_536
+#: ended reservations that the document keeps, so that their operations may ask again
+MAX_ENDED = 256
 
 
 @dataclass(frozen=True)
@@ -46,19 +48,24 @@ class Authority:
         return operation.hex()
 
     # -- reservations
-    def reserve(self, operation: bytes, key: bytes, shard: int, old_key: bytes | None = None) -> str:
-        """Claims a key for a write that is under way; the same operation may ask again."""
-        name = self._id(operation)
+    def reserve(self, operation: bytes, keys: bytes | list[bytes], shard: int, old_key: bytes | None = None) -> str:
+        """Claims keys for a write that is under way, all or none; the same operation may ask again."""
+        name, wanted = self._id(operation), sorted(k.hex() for k in ([keys] if isinstance(keys, bytes) else keys))
 
         def how(x):
             own = x["reservations"].get(name)
-            want = {"key": key.hex(), "shard": shard, "old": old_key.hex() if old_key else None, "state": "pending"}
+            want = {"keys": wanted, "shard": shard, "old": old_key.hex() if old_key else None, "state": "pending"}
             if own:
-                if {k: own[k] for k in ("key", "shard", "old")} != {k: want[k] for k in ("key", "shard", "old")}:
+                if {k: own[k] for k in ("keys", "shard", "old")} != {k: want[k] for k in ("keys", "shard", "old")}:
                     raise InvalidArgument("the operation's id was used for another reservation")
                 return own["state"], False
-            if any(r["state"] == "pending" and r["key"] == key.hex() for r in x["reservations"].values()):
+            taken = {k for r in x["reservations"].values() if r["state"] == "pending" for k in r["keys"]}
+            if taken & set(wanted):
                 raise UniqueViolation("the key is reserved")
+            # what ended long ago answers no one any more
+            ended = [n for n, r in x["reservations"].items() if r["state"] != "pending"]
+            for n in ended[: max(0, len(ended) - MAX_ENDED)]:
+                del x["reservations"][n]
             x["reservations"][name] = want
             return "pending", True
 
@@ -90,7 +97,7 @@ class Authority:
         """Shards of pending reservations of the keys, on either side of a change."""
         want = {k.hex() for k in keys}
         _, x = self.at.read({"reservations": {}})
-        return sorted({r["shard"] for r in x["reservations"].values() if r["state"] == "pending" and (r["key"] in want or r["old"] in want)})
+        return sorted({r["shard"] for r in x["reservations"].values() if r["state"] == "pending" and (want & set(r["keys"]) or r["old"] in want)})
 
     # -- value leases
     def lease(self, operation: bytes, sequence: str, count: int) -> Lease:

@@ -11,14 +11,18 @@ from __future__ import annotations
 
 import itertools
 import uuid
-from dataclasses import asdict, dataclass, field
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.errors import FailedPrecondition, InvalidArgument, UniqueViolation
-from tessella.functions.index_key import MAX_PARTS, Part, encode, encode_unique, key_column, part_for
+from tessella.functions.blake3 import digests
+from tessella.functions.index_key import MAX_PARTS, Part, decode, encode, encode_unique, key_column, part_for
 from tessella.operators.authority import Authority
 from tessella.operators.summary import SHAPE, Summary, collected, exclusion, numbered, summarised
 from tessella.plans import planner
@@ -32,6 +36,11 @@ from tessella.sources.storage import Snapshot
 
 #: shards noted for repair by reads, at most
 MAX_REPAIRS = 64
+#: located rows that a read names one by one, at most; beyond, it reads the candidates' shards by its condition alone
+MAX_LOCATED = 4096
+#: new keys that a write reserves by name; beyond, the table's version alone decides between two writers
+MAX_RESERVED = 4096
+PARTITION_DOMAIN = b"tessella index partition 1\0"
 ENTRY = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("locator", T.BinaryType())])
 #: lifecycle: what each state may become
 STATES = {
@@ -68,6 +77,25 @@ class Index:
             raise InvalidArgument("an index is sync or async and has a power of two partitions")
 
 
+def partitions_of(index: Index, keys: list[bytes]) -> list[int]:
+    """The partition of each key: the low bits of a digest of the index's name and the key."""
+    if index.partitions == 1 or not keys:
+        return [0] * len(keys)
+    low = digests([PARTITION_DOMAIN + index.name.encode() + b"\0" + k for k in keys])[:, 0]
+    return [int(x) & (index.partitions - 1) for x in low]
+
+
+def partition_column(index: Index, key: Column) -> Column:
+    if index.partitions == 1:
+        return F.lit(0)
+
+    @F.arrow_udf("int")
+    def run(keys: pa.Array) -> pa.Array:
+        return pa.array(partitions_of(index, [bytes(k) for k in keys.to_pylist()]), pa.int32())
+
+    return run(key)
+
+
 @dataclass
 class IndexState:
     index: Index
@@ -147,7 +175,7 @@ class Indexes:
         if table.primary:
             locator = key_column([(F.col(f"`{c}`"), part_for(kinds[c])) for c in table.primary])
         else:
-            locator = F.col("_rid").cast("binary")
+            locator = (F.col("_rid") if "_rid" in kinds else F.lit(None)).cast("binary")
         return rows.select("_shard", key.alias("key"), locator.alias("locator")).where(F.col("key").isNotNull())
 
     # -- lifecycle
@@ -194,18 +222,53 @@ class Indexes:
     def _apply(self, s: IndexState, table: Table, snapshot: Snapshot, shards: list[int]) -> None:
         """Makes the entries and summaries of shards from one snapshot; other shards keep theirs."""
         if shards:
-            base = f"{self.root}/{s.index.name}/data/{uuid.uuid4().hex}"
-            made = self.keyed(s.index, self.engine.store.read(table, shards, snapshot))
-            bucket = F.pmod(F.xxhash64("key"), F.lit(s.index.partitions)) if s.index.partitions > 1 else F.lit(0)
-            made.hint("rebalance", F.col("_shard")).withColumn("_part", bucket.cast("int")).sortWithinPartitions("_shard", "_part", "key").write.partitionBy("_shard", "_part").parquet(base)
-            found = {int(n[7:]) for n in self.files.names(base) if n.startswith("_shard=")}
+            self.write(s, self.keyed(s.index, self.engine.store.read(table, shards, snapshot)), shards)
             for k in shards:
-                s.entries.pop(k, None)
-                if k in found:
-                    s.entries[k] = f"{base}/_shard={k}"
                 s.applied[k] = list(snapshot.folders.get(k, []))
         self.summarise(s, shards)
 
+    def write(self, s: IndexState, entries: DataFrame, shards: list[int]) -> None:
+        """Writes all entries (_shard, key, locator) of the shards; adaptive execution splits a large shard."""
+        base = f"{self.root}/{s.index.name}/data/{uuid.uuid4().hex}"
+        dealt = entries.select("_shard", "key", "locator").hint("rebalance", F.col("_shard")).withColumn("_part", partition_column(s.index, F.col("key")))
+        dealt.sortWithinPartitions("_shard", "_part", "key").write.partitionBy("_shard", "_part").parquet(base)
+        found = {int(n[7:]) for n in self.files.names(base) if n.startswith("_shard=")}
+        for k in shards:
+            s.entries.pop(k, None)
+            if k in found:
+                s.entries[k] = f"{base}/_shard={k}"
+
+    def _merge(self, s: IndexState, after: Snapshot, shards: list[int], gone: DataFrame | None, new: DataFrame | None) -> None:
+        """Entries and summaries of shards that one statement changed: no other row's key is encoded again.
+
+        Summaries only gain: bits and bounds of rows that are gone stay until a rebuild, which excludes less, never more.
+        """
+        kept, lost, added = self.entries(s, shards), 0, None
+        if gone is not None:
+            out = self.keyed(s.index, gone).select("_shard", "locator")
+            lost = out.count()
+            kept = kept.join(out, ["_shard", "locator"], "left_anti")
+        if new is not None:
+            added = self.keyed(s.index, new)
+            kept = kept.select("_shard", "key", "locator").unionByName(added)
+        self.write(s, kept, shards)
+        for k in shards:
+            s.applied[k] = list(after.folders.get(k, []))
+        known = dict(self.summaries(s))
+        more = collected(summarised(added)) if added is not None else {}
+        for k in shards:
+            x = known.pop(k, None)
+            if x is None and k in more:
+                known[k] = more[k]
+            elif x is not None:
+                y = x.merged(more[k]) if k in more else x
+                known[k] = replace(y, keys=max(0, y.keys - lost)) if len(shards) == 1 else y
+        rows = [(x.shard, x.keys, x.words.view("int64").tolist(), x.least, x.greatest) for x in known.values()]
+        path = f"{self.root}/{s.index.name}/summaries/{uuid.uuid4().hex}"
+        self.spark.createDataFrame(rows, SHAPE).coalesce(1).write.parquet(path)
+        s.summaries = path
+        self._summaries.pop(s.index.name, None)
+
     def summarise(self, s: IndexState, shards: list[int]) -> None:
         """Writes the summaries of the shards' entries beside those of all other shards."""
         rows = summarised(self.entries(s, shards))
@@ -216,17 +279,91 @@ class Indexes:
         s.summaries = path
         self._summaries.pop(s.index.name, None)
 
-    def changed(self, table: Table, shards: list[int], before: Snapshot, after: Snapshot) -> None:
-        """Called after each commit: sync indexes follow, async ones have their change log."""
+    # -- writes
+    def unique(self, table: Table) -> list[IndexState]:
+        return [s for s in self.all(table.name) if s.index.unique and s.state == "ready"]
+
+    def _others(self, s: IndexState, table: Table, before: Snapshot, gone: DataFrame | None) -> DataFrame:
+        """(key, locator, _shard) of all rows of the version but those that are gone, uncertain shards from the rows themselves."""
+        late = [k for k in range(self.engine.shards) if s.applied.get(k, []) != before.folders.get(k, [])]
+        out = self.entries(s, [k for k in range(self.engine.shards) if k not in late]).select("_shard", "key", "locator")
+        if late:
+            out = out.unionByName(self.keyed(s.index, self.engine.store.read(table, late, before)))
+        if gone is not None:
+            out = out.join(self.keyed(s.index, gone).select("_shard", "locator"), ["_shard", "locator"], "left_anti")
+        return out
+
+    def refuse_doubles(self, table: Table, before: Snapshot, new: DataFrame, gone: DataFrame | None = None) -> list[tuple[str, list[bytes]]]:
+        """Raises UniqueViolation where new rows repeat a unique key, among themselves or of any shard; else the new keys by index.
+
+        Rows without a key (nulls that are distinct, or outside a partial index) claim nothing.
+        """
+        out = []
+        for s in self.unique(table):
+            fresh = self.keyed(s.index, new).select("key")
+            some = [bytes(r["key"]) for r in fresh.limit(MAX_RESERVED + 1).collect()]
+            few = len(some) <= MAX_RESERVED
+            doubled = len(set(some)) < len(some) if few else fresh.groupBy("key").count().where("count > 1").limit(1).count()
+            others = self._others(s, table, before, gone)
+            met = others.where(F.col("key").isin([bytearray(k) for k in some])) if few else others.join(fresh, "key", "left_semi")
+            if doubled or some and met.limit(1).count():
+                raise UniqueViolation("a key of a unique index stands twice")
+            out.append((s.index.name, some if few else []))
+        return out
+
+    def without_doubles(self, table: Table, before: Snapshot, new: DataFrame) -> DataFrame:
+        """The new rows of an INSERT OR IGNORE whose unique keys no row has yet."""
+        for s in self.unique(table):
+            keyed = self._with_key(s.index, new)
+            some = [bytearray(r["_key"]) for r in keyed.select("_key").where(F.col("_key").isNotNull()).collect()]  # bounded by the statement's length
+            taken = [bytearray(r["key"]) for r in self._others(s, table, before, None).where(F.col("key").isin(some)).select("key").distinct().collect()] if some else []
+            if taken:
+                new = keyed.where(F.col("_key").isNull() | ~F.col("_key").isin(taken)).drop("_key")
+        return new
+
+    @contextmanager
+    def claimed(self, claims: list[tuple[str, list[bytes]]], shard: int) -> Iterator[None]:
+        """Reserves the keys while the block publishes; what fails leaves no reservation."""
+        held = []
+        try:
+            for name, keys in claims:
+                if keys:
+                    operation = uuid.uuid4().bytes
+                    Authority(self.engine, name).reserve(operation, keys, shard)
+                    held.append((name, operation))
+            yield
+        except BaseException:
+            for name, operation in held:
+                Authority(self.engine, name).rollback(operation)
+            raise
+        for name, operation in held:
+            Authority(self.engine, name).finalize(operation)
+
+    def room(self, table: Table) -> None:
+        """Raises Busy, before anything is published, where a change log of the table is full."""
         from tessella.streaming.outbox import Outbox
 
         for s in self.all(table.name):
             if s.index.mode == "async":
-                Outbox(self.engine, s.index.name).append(table, shards, before, after)
+                Outbox(self.engine, s.index.name).room()
+
+    def changed(self, table: Table, shards: list[int], before: Snapshot, after: Snapshot, gone: DataFrame | None = None, new: DataFrame | None = None) -> None:
+        """Called after each commit: sync indexes follow, async ones have their change log.
+
+        gone, new: the rows that one statement took out and put in; without both, whole versions are compared.
+        """
+        from tessella.streaming.outbox import Outbox
+
+        told = gone is not None or new is not None
+        for s in self.all(table.name):
+            if s.index.mode == "async":
+                Outbox(self.engine, s.index.name).append(table, shards, before, after, gone, new)
             elif s.state == "ready":
-                self._apply(s, table, after, shards)
-                if s.index.unique and self._doubles(s).limit(1).count():
-                    s.moved("failed")
+                certain = all(s.applied.get(k, []) == before.folders.get(k, []) for k in shards)
+                if told and certain and len(shards) == 1:
+                    self._merge(s, after, shards, gone, new)
+                else:
+                    self._apply(s, table, after, shards)
                 self._put(s)
 
     def drop(self, name: str) -> None:
@@ -234,17 +371,20 @@ class Indexes:
         s.moved("dropping") if s.state != "declared" else None
         s.moved("dropped")
         self._put(s)
-        for folder in ("data", "summaries"):
+        for folder in ("data", "summaries", "orders"):
             self.files.delete(f"{self.root}/{name}/{folder}")
 
     # -- entries
-    def entries(self, s: IndexState, shards: list[int] | None = None) -> DataFrame:
-        """(key, locator, _shard) of the shards, all by default."""
+    def entries(self, s: IndexState, shards: list[int] | None = None, keys: list[bytes] | None = None) -> DataFrame:
+        """(key, locator, _shard) of the shards, all by default; of the keys, all by default, only their partitions are read."""
         out = None
         for base, folders in itertools.groupby(sorted((p.rsplit("/", 1)[0], k) for k, p in s.entries.items() if shards is None or k in shards), key=lambda x: x[0]):
             paths = [s.entries[k] for _, k in folders]
             shape = T.StructType([*ENTRY.fields, T.StructField("_shard", T.IntegerType()), T.StructField("_part", T.IntegerType())])
-            part = self.spark.read.schema(shape).option("basePath", base).parquet(*paths).drop("_part")
+            part = self.spark.read.schema(shape).option("basePath", base).parquet(*paths)
+            if keys is not None:
+                part = part.where(F.col("_part").isin(sorted(set(partitions_of(s.index, keys)))) & F.col("key").isin([bytearray(k) for k in keys]))
+            part = part.drop("_part")
             out = part if out is None else out.unionByName(part)
         return out if out is not None else self.spark.createDataFrame([], T.StructType([*ENTRY.fields, T.StructField("_shard", T.IntegerType())]))
 
@@ -268,16 +408,43 @@ class Indexes:
     def candidates(self, s: IndexState, values: list[tuple]) -> DataFrame:
         """Entries of the keys; the filter reaches the Parquet scan."""
         keys = self.keys(s.index, values)
-        rows = self.entries(s)
-        return rows.where(F.col("key").isin([bytearray(k) for k in keys])) if keys else rows.where(F.lit(False))
+        return self.entries(s, keys=keys) if keys else self.entries(s).where(F.lit(False))
+
+    def located(self, s: IndexState, values: list[tuple]) -> tuple[list[int], list[bytes] | None]:
+        """Shards of the candidates, and their locators; None in place of more than MAX_LOCATED."""
+        found = self.candidates(s, values)
+        some = found.select("_shard", "locator").limit(MAX_LOCATED + 1).collect()
+        if len(some) > MAX_LOCATED:
+            return sorted(r["_shard"] for r in found.select("_shard").distinct().collect()), None
+        return sorted({r["_shard"] for r in some}), [bytes(r["locator"]) for r in some if r["locator"] is not None]
+
+    def located_rows(self, table: Table, shards: list[int], locators: list[bytes] | None, late: list[int], snapshot: Snapshot | None = None) -> DataFrame:
+        """Rows of the shards that the locators name, and all rows of the shards that are late.
+
+        Locators become values of the primary key's columns, or row ids, in a filter that the scan takes; files are sorted
+        by the shard key, so it reads few row groups. The caller's own condition decides between what the filter lets in.
+        """
+        store, snapshot = self.engine.store, snapshot or self.engine.store.snapshot(table)
+        sure = [k for k in shards if k not in late]
+        if locators is None or not sure:
+            return store.read(table, sorted({*shards, *late}), snapshot)
+        rows = store.read(table, sure, snapshot)
+        if table.primary:
+            found = [[v for _, v in decode(x)] for x in locators]
+            for i, c in enumerate(table.primary):
+                kind = table.column(c).type
+                if kind in ("bigint", "int", "smallint", "tinyint", "string", "binary", "boolean"):
+                    rows = rows.where(F.col(f"`{c}`").isin(sorted({x[i] for x in found if x[i] is not None})) if found else F.lit(False))
+        else:
+            rows = rows.where(F.col("_rid").isin(sorted({x.decode() for x in locators})) if locators else F.lit(False))
+        return rows.unionByName(store.read(table, late, snapshot)) if late else rows
 
     def lookup(self, name: str, values: list[tuple]) -> DataFrame:
         """The table's rows that the index finds, uncertain shards read whole and filtered by key."""
         s = self.get(name)
         table, keys = self._table(s.index), self.keys(s.index, values)
-        found, late = self.candidates(s, values), self.uncertain(s)
-        shards = sorted({r["_shard"] for r in found.select("_shard").distinct().collect()} | set(late))
-        rows = self.engine.store.read(table, shards)
+        late = self.uncertain(s)
+        rows = self.located_rows(table, *self.located(s, values), late)
         return self._with_key(s.index, rows).where(F.col("_key").isin([bytearray(k) for k in keys]) if keys else F.lit(False)).select(*table.names)
 
     def _with_key(self, index: Index, rows: DataFrame) -> DataFrame:
@@ -313,7 +480,7 @@ class Indexes:
             # what is uncertain is read before the entries, so a commit between the two is not missed
             # and shards of pending reservations may get the key at any time
             plan.uncertain = sorted({*self.uncertain(s), *Authority(self.engine, s.index.name).shards(keys)})
-            plan.candidates = sorted(r["_shard"] for r in self.candidates(s, values).select("_shard").distinct().collect()) if keys else []
+            plan.candidates, plan.locators = self.located(s, values) if keys else ([], [])
             plan.index_name = s.index.name
             routed = {*plan.candidates, *plan.uncertain}
             plan.shards = sorted(k for k in routed if plan.shards is None or k in plan.shards)
@@ -398,7 +565,7 @@ class Indexes:
         if sample is not None:
             total = have.count()
             picked = sample_ordinals(total, sample)
-            return numbered(have, "key", "_shard", "locator").where(F.col("n").isin(picked)).drop("n").join(want, ["_shard", "key", "locator"], "left").where(F.col("want").isNull()).select(F.lit("stale_entry").alias("issue"), "_shard", "key", "locator")
+            return numbered(have, "key", "_shard", "locator", path=f"{self.root}/{name}/orders/{uuid.uuid4().hex}").where(F.col("n").isin(picked)).drop("n").join(want, ["_shard", "key", "locator"], "left").where(F.col("want").isNull()).select(F.lit("stale_entry").alias("issue"), "_shard", "key", "locator")
         met = want.join(have, ["_shard", "key", "locator"], "full")
         return met.where(F.col("want").isNull() | F.col("have").isNull()).select(F.when(F.col("have").isNull(), "missing_entry").otherwise("stale_entry").alias("issue"), "_shard", "key", "locator")
 

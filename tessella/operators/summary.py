@@ -61,14 +61,18 @@ def summarised(entries: DataFrame) -> DataFrame:
     return bounds.join(filters, "shard").select("shard", "keys", words.alias("words"), "least", "greatest")
 
 
-def numbered(rows: DataFrame, *order: str, first: int = 0) -> DataFrame:
+def numbered(rows: DataFrame, *order: str, path: str, first: int = 0) -> DataFrame:
     """rows with ``n``, their ordinal in the order, from first.
 
     A range partitioning and a count for each partition give it; no task sees
-    more than its partition, and the driver holds one number for each.
+    more than its partition, and the driver holds one number for each. The dealt
+    rows are written at path, as a second sampling of the ranges could deal them otherwise.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    dealt.write.parquet(path)
+    dealt = spark.read.schema(dealt.schema).parquet(path)
     start, at = [], first
     for r in sorted(dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("n"), F.min("_i").alias("least")).collect(), key=lambda r: r["_p"]):
         start += [F.lit(r["_p"]), F.lit(at - r["least"])]

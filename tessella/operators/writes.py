@@ -1,8 +1,8 @@
 """Row changes as copy-on-write of one shard.
 
-Every check is a DataFrame over the one shard that a statement touches; what it
-leaves is written beside the old files, and a new manifest version makes it
-visible. A change that fails a check publishes nothing.
+Every check is a DataFrame over the one shard that a statement touches; the rows of
+the files it touches are written anew beside the old files, and a new manifest
+version makes them visible. A change that fails a check publishes nothing.
 """
 
 from __future__ import annotations
@@ -122,12 +122,12 @@ def checked_children(columns: tuple[str, ...], rows: DataFrame, parents: DataFra
         raise ForeignKeyViolation("a row's parent does not exist")
 
 
-def changed(table: Table, statement: Update | Delete, rows: DataFrame, params: list) -> tuple[DataFrame, DataFrame, set[str]]:
-    """(the shard's rows after the statement, the rows it touches as they become, the columns it assigns)."""
+def changed(table: Table, statement: Update | Delete, rows: DataFrame, params: list) -> tuple[DataFrame, DataFrame, DataFrame, set[str]]:
+    """(the rows after the statement, those it touches as they become and as they were, the columns it assigns)."""
     at = scope(rows, table.names, params, statement.table.name, statement.table.alias)
     hit = F.coalesce(as_truth(at.of(statement.where)), F.lit(False)) if statement.where is not None else F.lit(True)
     if isinstance(statement, Delete):
-        return rows.where(~hit), rows.where(hit), set()
+        return rows.where(~hit), rows.where(hit), rows.where(hit), set()
     new = {}
     for ident, value in statement.sets:
         column = next((c for c in table.columns if ident.names(c.name)), None)
@@ -135,7 +135,7 @@ def changed(table: Table, statement: Update | Delete, rows: DataFrame, params: l
             raise InvalidQuery("an assigned column is not known")
         new[column.name] = F.when(hit, assigned(at.of(value), column.type)).otherwise(F.col(f"`{column.name}`"))
     become = [new.get(c, F.col(f"`{c}`")).alias(c) for c in rows.columns]
-    return rows.select(*become), rows.where(hit).select(*become), set(new)
+    return rows.select(*become), rows.where(hit).select(*become), rows.where(hit), set(new)
 
 
 def with_conflicts(table: Table, old: DataFrame, new: DataFrame, action: str) -> tuple[DataFrame, DataFrame]:

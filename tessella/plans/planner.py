@@ -33,6 +33,8 @@ class Plan:
     index: str = "not_applicable"
     index_name: str | None = None
     candidates: list[int] = field(default_factory=list)
+    #: where the index finds the rows of its candidates; None where it names shards only
+    locators: list[bytes] | None = None
     uncertain: list[int] = field(default_factory=list)
     #: shard -> why a summary excludes it
     pruned: dict[int, str] = field(default_factory=dict)

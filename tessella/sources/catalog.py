@@ -33,6 +33,15 @@ class ForeignKey:
     parent_columns: tuple[str, ...]
 
 
+@dataclass(frozen=True)
+class LocalIndex:
+    """A declared index of a table's own shards: columns, each with whether it descends."""
+
+    name: str
+    columns: tuple[tuple[str, bool], ...]
+    unique: bool = False
+
+
 @dataclass(frozen=True)
 class Table:
     """A table's declaration; columns may be filled in by a migration."""
@@ -48,6 +57,7 @@ class Table:
     uniques: tuple[tuple[str, ...], ...] = ()
     checks: tuple[str, ...] = ()
     foreign: tuple[ForeignKey, ...] = ()
+    indexes: tuple[LocalIndex, ...] = ()
     #: path of a read-only table that others wrote
     attached: str | None = None
 
@@ -93,7 +103,7 @@ class Table:
 
     @classmethod
     def from_json(cls, x: dict) -> Table:
-        x = dict(x, columns=tuple(Column(**c) for c in x["columns"]), primary=tuple(x["primary"]), uniques=tuple(map(tuple, x["uniques"])), checks=tuple(x["checks"]), foreign=tuple(ForeignKey(tuple(f["columns"]), f["parent"], tuple(f["parent_columns"])) for f in x.get("foreign", ())))
+        x = dict(x, columns=tuple(Column(**c) for c in x["columns"]), primary=tuple(x["primary"]), uniques=tuple(map(tuple, x["uniques"])), checks=tuple(x["checks"]), foreign=tuple(ForeignKey(tuple(f["columns"]), f["parent"], tuple(f["parent_columns"])) for f in x.get("foreign", ())), indexes=tuple(LocalIndex(i["name"], tuple((c, down) for c, down in i["columns"]), i["unique"]) for i in x.get("indexes", ())))
         return cls(**x)
 
 
@@ -155,4 +165,4 @@ class Catalog:
         return Catalog(dict(self.tables), self.generation, list(self.migrations))
 
 
-__all__ = ["Catalog", "Column", "ForeignKey", "Table", "catalog_only", "global_", "identifier", "replace", "sharded"]
+__all__ = ["Catalog", "Column", "ForeignKey", "LocalIndex", "Table", "catalog_only", "global_", "identifier", "replace", "sharded"]

@@ -8,6 +8,7 @@ and publishes the next version. Shards that a plan excludes are not even listed.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +25,7 @@ ROW_ID = "_rid"
 
 @dataclass
 class Snapshot:
-    """One version: folders of each shard, relative to the table's folder."""
+    """One version: folders, or single files, of each shard, relative to the table's folder."""
 
     version: int
     folders: dict[int, list[str]]
@@ -103,10 +104,32 @@ class Store:
                 raise StorageUnavailable("a write left files outside its shards")
         return out
 
-    def load(self, table: Table, rows: DataFrame) -> tuple[Snapshot, int]:
-        """Appends rows of any shards, as one version; also tells how many, from the footers of the new files."""
+    def files_of(self, rows: DataFrame) -> dict[str, int]:
+        """Rows by the file that holds them, relative to the table's folder."""
+        found = rows.groupBy(F.input_file_name().alias("f")).agg(F.count(F.lit(1)).alias("n")).collect()  # one row a file of a shard
+        return {"data/" + r["f"].rsplit("/data/", 1)[1]: r["n"] for r in found}
+
+    def without(self, table: Table, folders: list[str], files: list[str]) -> list[str]:
+        """A shard's folders less some files; a folder that holds one of them is named by its other files."""
+        gone, out = set(files), []
+        for f in folders:
+            if f in gone:
+                continue
+            if any(g.startswith(f + "/") for g in gone):
+                out += [x for n in self.files.names(f"{self.folder(table)}/{f}") if n.endswith(".parquet") and (x := f"{f}/{n}") not in gone]
+            else:
+                out.append(f)
+        return out
+
+    def load(self, table: Table, rows: DataFrame, checked: Callable[[DataFrame, Snapshot], None] | None = None) -> tuple[Snapshot, int]:
+        """Appends rows of any shards, as one version; also tells how many, from the footers of the new files.
+
+        checked: is asked, with the new rows as written, before they are published.
+        """
         before = self.snapshot(table)
         new = self.write(table, self.placed(table, rows), spread=True)
+        if checked and new:
+            checked(self.read(table, snapshot=Snapshot(0, new)), before)
         after = self.publish(table, before, {k: before.folders.get(k, []) + new.get(k, []) for k in {*before.folders, *new}})
         return after, self.read(table, snapshot=Snapshot(0, new)).count() if new else 0
 

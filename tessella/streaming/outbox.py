@@ -1,9 +1,13 @@
 """The change log of an asynchronous index, and the stream that applies it.
 
-A commit appends one Parquet file of events: cursor, shard, kind, old and new
-key, locator. A Structured Streaming query reads the log as a file source,
-applies each batch to the index's entries and moves the durable cursor; its
-checkpoint and the cursor make a batch that runs twice apply once.
+A commit appends one segment of events: ordinal, shard, kind, old and new key,
+locator. The state document names each segment and its first cursor; a segment
+that it does not name was never committed. It is written aside, named, and only
+then moved into the log, so a Structured Streaming query that reads the log as a
+file source sees committed events alone, applies each batch to the index's entries
+and moves the durable cursor; its checkpoint and the cursor make a batch that runs
+twice apply once. A commit whose events were lost with its writer leaves its shard
+uncertain, which costs pruning but hides no row.
 """
 
 from __future__ import annotations
@@ -21,6 +25,10 @@ from tessella.sources.storage import Snapshot
 
 MAX_BATCH, MAX_EVENTS = 4096, 1_000_000
 EVENT = "cursor long, shard int, kind string, old_key binary, new_key binary, locator binary"
+STORED = "n long, shard int, kind string, old_key binary, new_key binary, locator binary, seg string"
+
+
+EVENT_COLUMNS = ["shard", "kind", "old_key", "new_key", "locator"]
 
 
 def changes(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -39,37 +47,77 @@ class Outbox:
         self.state = State(engine.store.files, f"{self.root}/versions")
 
     def _read(self) -> tuple[int, dict]:
-        return self.state.read({"high": {}, "applied": {}, "base": {}, "paused": False, "poison": {}, "fence": 0, "owner": None, "pruned": 0, "next": 1, "files": 0})
+        return self.state.read({"high": {}, "applied": {}, "base": {}, "paused": False, "poison": {}, "fence": 0, "owner": None, "pruned": 0, "next": 1, "segments": []})
 
     # -- writers
-    def append(self, table: Table, shards: list[int], before: Snapshot, after: Snapshot) -> int:
-        """Logs what a commit changed in the shards; returns the last cursor."""
-        indexes = self.engine.indexes
-        s = indexes.get(self.index)
-        version, x = self._read()
+    def room(self) -> None:
+        """Raises Busy where the log is full; asked before a write is published, so that none is refused afterwards."""
+        _, x = self._read()
         if x["next"] - x["pruned"] > MAX_EVENTS:
             raise Busy("the change log is full")
-        old = indexes.keyed(s.index, self.engine.store.read(table, shards, before))
-        new = indexes.keyed(s.index, self.engine.store.read(table, shards, after))
-        made = changes(old, new)
-        first = x["next"]
-        rows = numbered(made, "shard", "locator", first=first).withColumnRenamed("n", "cursor")
-        path = f"{self.root}/log"
-        rows.select("cursor", "shard", "kind", "old_key", "new_key", "locator").write.mode("append").parquet(path)
-        n = self.log().where(F.col("cursor") >= first).count()
-        for k in shards:
-            x["base"][str(k)] = after.folders.get(k, [])
+
+    def append(self, table: Table, shards: list[int], before: Snapshot, after: Snapshot, gone: DataFrame | None = None, new: DataFrame | None = None) -> int:
+        """Logs what a commit changed in the shards; returns the last cursor.
+
+        gone, new: the rows that the write took out and put in; without both, the shards' versions are compared.
+        """
+        indexes, store = self.engine.indexes, self.engine.store
+        s = indexes.get(self.index)
+        if gone is None and new is None:
+            gone, new = store.read(table, shards, before), store.read(table, shards, after)
+        empty = store.read(table, [], Snapshot(0, {}))
+        made = changes(*(indexes.keyed(s.index, empty if x is None else x) for x in (gone, new)))
+        name = uuid.uuid4().hex
+        aside = f"{self.root}/aside/seg={name}"
+        order = f"{self.root}/orders/{name}"
+        numbered(made, "shard", "locator", path=order).select("n", "shard", "kind", "old_key", "new_key", "locator").write.parquet(aside)
+        store.files.delete(order)
+        n = self.engine.spark.read.schema(STORED.rsplit(",", 1)[0]).parquet(aside).count()  # from the footers
+        for _ in range(20):
+            version, x = self._read()
+            first = x["next"]
+            for k in shards:
+                x["base"][str(k)] = after.folders.get(k, [])
+                if n:
+                    x["high"][str(k)] = first + n - 1
             if n:
-                x["high"][str(k)] = first + n - 1
-        x["next"], x["files"] = first + n, x["files"] + 1
-        self.state.write(version, x)
+                x["segments"].append({"name": name, "first": first, "n": n})
+            x["next"] = first + n
+            try:
+                self.state.write(version, x)
+                break
+            except Busy:
+                continue
+        else:
+            raise Busy("the change log is in demand")
+        self._settle(x)
         return first + n - 1
 
+    def _settle(self, x: dict) -> None:
+        """Moves named segments into the log; also those whose writer ended in between."""
+        files = self.engine.store.files
+        waiting = set(files.names(f"{self.root}/aside"))
+        for g in x["segments"]:
+            if f"seg={g['name']}" in waiting:
+                files.make(f"{self.root}/log")
+                files.rename(f"{self.root}/aside/seg={g['name']}", f"{self.root}/log/seg={g['name']}")
+
+    def _placed(self, events: DataFrame, x: dict) -> DataFrame:
+        """Stored events with their cursors; segments that the state does not name are left out."""
+        first = [F.lit(v) for g in x["segments"] for v in (g["name"], g["first"])]
+        if not first:
+            return events.where(F.lit(False)).select(F.col("n").alias("cursor"), *EVENT_COLUMNS)
+        at = F.create_map(*first)[F.col("seg")]
+        return events.where(at.isNotNull()).select((at + F.col("n")).alias("cursor"), *EVENT_COLUMNS)
+
     def log(self) -> DataFrame:
         spark = self.engine.spark
-        if not self.engine.store.files.exists(f"{self.root}/log"):
+        _, x = self._read()
+        self._settle(x)
+        if not x["segments"]:
             return spark.createDataFrame([], EVENT)
-        return spark.read.schema(EVENT).parquet(f"{self.root}/log")
+        paths = [f"{self.root}/log/seg={g['name']}" for g in x["segments"]]
+        return self._placed(spark.read.schema(STORED).option("basePath", f"{self.root}/log").parquet(*paths), x)
 
     def read(self, after: int, limit: int = MAX_BATCH) -> DataFrame:
         """Events past a cursor, in order."""
@@ -104,12 +152,13 @@ class Outbox:
     def process(self, owner: str = "applier", checkpoint: str | None = None) -> int:
         """Applies what the log has now, by an available-now stream; returns the events applied."""
         files = self.engine.store.files
+        self._settle(self._read()[1])
         if not files.exists(f"{self.root}/log"):
             return 0
         fence, applied = self.acquire(owner), []
-        stream = self.engine.spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 16).parquet(f"{self.root}/log")
+        stream = self.engine.spark.readStream.schema(STORED).option("maxFilesPerTrigger", 16).parquet(f"{self.root}/log")
         query = (
-            stream.writeStream.foreachBatch(lambda batch, n: applied.append(self.apply(batch, fence)))
+            stream.writeStream.foreachBatch(lambda batch, n: applied.append(self.apply(self._placed(batch, self._read()[1]), fence)))
             .option("checkpointLocation", checkpoint or f"{self.root}/checkpoint")
             .trigger(availableNow=True)
             .start()
@@ -151,24 +200,22 @@ class Outbox:
 
     def _write(self, s, entries: DataFrame, shards: list[int], x: dict) -> None:
         indexes = self.engine.indexes
-        base = f"{indexes.root}/{s.index.name}/data/{uuid.uuid4().hex}"
-        entries.withColumn("_part", F.lit(0)).repartition("_shard").sortWithinPartitions("_shard", "key").write.partitionBy("_shard", "_part").parquet(base)
-        found = {int(n[7:]) for n in indexes.files.names(base) if n.startswith("_shard=")}
+        indexes.write(s, entries, shards)
         for k in shards:
-            s.entries.pop(k, None)
-            if k in found:
-                s.entries[k] = f"{base}/_shard={k}"
             s.applied[k] = x["base"].get(str(k), [])
         indexes.summarise(s, shards)
         indexes._put(s)
 
     def prune(self) -> int:
-        """Forgets events that every shard has applied; returns the new lowest cursor."""
+        """Deletes the segments that every shard has applied; returns the new lowest cursor."""
         version, x = self._read()
-        reached = [x["applied"].get(k, 0) for k in x["high"]]
-        least = min(reached, default=x["pruned"])
-        x["pruned"] = max(x["pruned"], least)
+        reached = [x["applied"].get(k, 0) for k in x["high"] if x["applied"].get(k, 0) < x["high"][k]]
+        x["pruned"] = max(x["pruned"], min(reached, default=x["next"] - 1))
+        gone = [g for g in x["segments"] if g["first"] + g["n"] - 1 <= x["pruned"]]
+        x["segments"] = [g for g in x["segments"] if g not in gone]
         self.state.write(version, x)
+        for g in gone:
+            self.engine.store.files.delete(f"{self.root}/log/seg={g['name']}")
         return x["pruned"]
 
     def status(self) -> DataFrame:

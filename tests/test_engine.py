@@ -346,7 +346,7 @@ def test_import_of_a_sqlite_file(spark, tmp_path):
 
 def test_small_things(spark):
     assert slices([5, 0, 3], 4, 3) == [(0, 4, 1), (2, 0, 2)] and slices([5, 5], 20, 5) == []
-    assert system_probe(spark, "SELECT version()").count() == 1 and system_probe(spark, "SHOW server_version").first()[0] == "16.0"
+    assert system_probe(spark, "SELECT version()").count() == 1 and system_probe(spark, "SHOW server_version").first()[0].startswith("14.")
     with pytest.raises(errors.Unsupported):
         system_probe(spark, "SELECT pg_sleep(1)")
     assert len(errors.KINDS) == 25 and errors.Busy.retryable and issubclass(errors.UniqueViolation, errors.IntegrityError)

@@ -52,11 +52,11 @@ def test_declarations_are_checked():
             bad.checked()
 
 
-def test_ordinals_without_a_global_window(spark):
+def test_ordinals_without_a_global_window(spark, tmp_path):
     df = spark.range(1000).selectExpr("1000 - id AS k")
-    got = {r.k: r.n for r in numbered(df, "k", first=5).collect()}
+    got = {r.k: r.n for r in numbered(df, "k", path=f"{tmp_path}/a", first=5).collect()}
     assert got == {k: k + 4 for k in range(1, 1001)}
-    assert numbered(df.limit(0), "k").count() == 0
+    assert numbered(df.limit(0), "k", path=f"{tmp_path}/b").count() == 0
 
 
 BOUND = st.none() | st.integers(-20, 20)
