@@ -10,12 +10,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.engine import Engine, system_probe
-from tessella.functions import generated_id
+from tessella.engine import CancellationToken, Engine, system_probe
+from tessella import errors
+from tessella.functions import bloom, generated_id
+from tessella.functions.routing import shard_column, shard_of
+from tessella.operators.authority import Authority
+from tessella.operators.results import Budget
+from tessella.plans.parser import parse, parse_one
 from tessella.functions.index_key import decode, key_column, part_for, value_column
 from tessella.operators.global_index import Index, IndexPart
-from tessella.operators.pages import page
-from tessella.plans.parser import parse_one
+from tessella.operators.summary import numbered
 from tessella.sources.catalog import Column, Table, global_, replace, sharded
 from tessella.sources.files import Files
 from tessella.sources.importer import ImportPlan, import_sqlite
@@ -41,7 +45,13 @@ _managed: dict[tuple, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir")
+    """A folder that driver and executors share; the warehouse's default is one only where both are one process."""
+    if root := spark.conf.get("spark.checkpoint.dir", ""):
+        return root
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[") or "spark.sql.warehouse.dir" in dict(spark.sparkContext.getConf().getAll())):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return spark.conf.get("spark.sql.warehouse.dir")
 
 
 def managed(spark: SparkSession, sf_dir: str, name: str, key: str, primary: tuple[str, ...], label: str, indexes: tuple[Index, ...] = ()) -> Engine:
@@ -100,8 +110,21 @@ def built(name: str, oracle: str | None):
     return take
 
 
-statement("point_read_orders", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = ?1", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 7", [7])
-statement("routed_multi_key_or", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = $1 OR o_custkey = $2 OR o_custkey = $1", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (7, 11)", [7, 11], "postgres")
+@built("point_read_orders", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 7")
+def _(spark, sf_dir):
+    return orders(spark, sf_dir).query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = ?1", [7]).frame
+
+
+@built("routed_multi_key_or", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (7, 11)")
+def _(spark, sf_dir):
+    return orders(spark, sf_dir).query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = $1 OR o_custkey = $2 OR o_custkey = $1", [7, 11], "postgres").frame
+
+
+@built("text_key_route", "SELECT doc_id, lang FROM documents WHERE source = 'src0'")
+def _(spark, sf_dir):
+    return managed(spark, sf_dir, "documents", "source", (), "documents").query("SELECT doc_id, lang FROM documents WHERE source = ?", ["src0"]).frame
+
+
 statement("contradiction_empty", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = 7 AND o_custkey = 11")
 statement("null_key_empty", "SELECT o_orderkey FROM orders WHERE o_custkey = NULL")
 statement("scatter_union_all", "SELECT event_id, user_id, event_type FROM events WHERE value > 1.5")
@@ -145,8 +168,6 @@ statement("limit_comma", "SELECT o_orderkey, o_custkey FROM orders ORDER BY 2, 1
 statement("order_nulls_first", "SELECT o_orderkey, CASE WHEN o_custkey > 50 THEN o_custkey END AS k FROM orders ORDER BY k, o_orderkey LIMIT 50", "SELECT o_orderkey, CASE WHEN o_custkey > 50 THEN o_custkey END AS k FROM orders ORDER BY k NULLS FIRST, o_orderkey LIMIT 50")
 statement("order_by_aggregate", "SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey ORDER BY COUNT(*) DESC, o_custkey LIMIT 15")
 statement("quoted_names", "SELECT `o_orderkey` AS `Key`, o_custkey FROM `orders` WHERE `orders`.`o_custkey` = 7", 'SELECT o_orderkey AS "Key", o_custkey FROM orders WHERE o_custkey = 7', dialect="mysql")
-statement("text_key_route", "SELECT doc_id, lang FROM documents WHERE source = 'src0'")
-
 
 @built("index_narrowed_scan", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = 33 ORDER BY o_totalprice LIMIT 5")
 def _(spark, sf_dir):
@@ -199,6 +220,21 @@ def _(spark, sf_dir):
     return orders(spark, sf_dir).shard_counts("orders").agg(F.sum("rows").alias("rows"))
 
 
+# fixed values: the kind of a key, the key, the shards of a database, and the shard that has the key there
+ROUTES = [("text", "abc", 4, 0), ("text", "customer-42", 6, 1), ("text", "tenant/alpha", 10, 3), ("binary", "000102", 6, 3), ("binary", "000102", 10, 9), ("binary", "000102FF", 63, 23), ("binary", "610062", 6, 1)]
+
+
+@built("key_routes", f"SELECT * FROM (VALUES {', '.join(map(str, ROUTES))}) t(kind, key, shards, shard)")
+def _(spark, sf_dir):
+    """The shard of some keys, by the routing column."""
+    out = None
+    for kind, text, shards, _ in ROUTES:
+        value = F.lit(text) if kind == "text" else F.unhex(F.lit(text))
+        row = spark.range(1).select(F.lit(kind).alias("kind"), F.lit(text).alias("key"), F.lit(shards).alias("shards"), shard_column(value, kind, shards).alias("shard"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @built("shard_histogram", None)
 def _(spark, sf_dir):
     return attached(spark, sf_dir, "orders").shard_counts("orders")
@@ -216,9 +252,20 @@ def _(spark, sf_dir):
 
 @built("admin_page", "SELECT n_nationkey, n_name FROM nation ORDER BY n_nationkey LIMIT 11 OFFSET 5")
 def _(spark, sf_dir):
-    engine = attached(spark, sf_dir, "nation")
-    table = engine.catalog.tables["nation"]
-    return page(replace(table, primary=("n_nationkey",)), engine.placed(table), 5, 10).select("n_nationkey", "n_name")
+    """A page over one shard's worth of rows; ``sharded_page`` crosses shards."""
+    engine = attached(spark, sf_dir)
+    engine.attached["nation"] = replace(engine.attached["nation"], primary=("n_nationkey",))
+    return engine.page("nation", 5, 10).select("n_nationkey", "n_name")
+
+
+@built("sharded_page", "SELECT CAST(count(*) AS BIGINT) AS rows, CAST(count(DISTINCT o_orderkey) AS BIGINT) AS keys FROM (SELECT o_orderkey FROM orders LIMIT 600)")
+def _(spark, sf_dir):
+    """Pages of 200 rows each, one after the other: no row is missing between two, and none stands in both."""
+    engine, out = orders(spark, sf_dir), None
+    for offset in range(0, 600, 200):
+        part = engine.page("orders", offset, 200).select("o_orderkey").limit(200)
+        out = part if out is None else out.unionByName(part)
+    return out.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("o_orderkey").alias("keys"))
 
 
 @built("insert_roundtrip", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders WHERE o_custkey = 7 UNION ALL SELECT 900000001, 7, 12.5, NULL UNION ALL SELECT 900000002, 7, 13.0, '5-LOW'")
@@ -287,14 +334,14 @@ def _(spark, sf_dir):
     return rows.select("o_orderkey", value.alias("v")).select("o_orderkey", kind.alias("kind"), sequence.alias("sequence"))
 
 
-@built("index_key_order", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders ORDER BY o_orderstatus DESC, o_totalprice, o_orderkey LIMIT 100")
+@built("index_key_order", "SELECT o_orderkey, o_orderstatus, o_totalprice, row_number() OVER (ORDER BY o_orderstatus DESC, o_totalprice, o_orderkey) AS place FROM orders")
 def _(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_totalprice")
     key = key_column([(F.col("o_orderstatus"), part_for("string", True)), (F.col("o_totalprice"), part_for("double")), (F.col("o_orderkey"), part_for("bigint"))])
-    return rows.withColumn("k", key).orderBy("k").limit(100).drop("k")
+    return numbered(rows.withColumn("k", key), "k", path=f"{shared_root(spark)}/tessella-{spark.sparkContext.applicationId}/order-{uuid.uuid4().hex[:8]}", first=1).select("o_orderkey", "o_orderstatus", "o_totalprice", F.col("n").alias("place"))
 
 
-@built("catalog_status", None)
+@built("catalog_status", f"SELECT * FROM (VALUES {', '.join(f"('{t.name}', '{t.placement}', {SHARDS}, 0, 0, 'open')" for t in TABLES)}) t(table_name, placement, shards, version, folders, state)")
 def _(spark, sf_dir):
     return attached(spark, sf_dir).status()
 
@@ -398,6 +445,287 @@ def _(spark, sf_dir):
     return engine.query("SELECT COUNT(*) AS n, SUM(o_orderkey) AS s FROM orders").frame
 
 
+PROBES = [
+    ("SHOW server_version_num", "server_version_num", "140000"), ("SHOW server_encoding", "server_encoding", "UTF8"), ("show client_encoding;", "client_encoding", "UTF8"), ("SHOW standard_conforming_strings", "standard_conforming_strings", "on"),
+    ("SHOW integer_datetimes", "integer_datetimes", "on"), ("SHOW timezone", "TimeZone", "UTC"), ("SHOW TRANSACTION ISOLATION LEVEL", "transaction_isolation", "serializable"), ("SHOW transaction_read_only", "transaction_read_only", "off"),
+    ("SHOW search_path", "search_path", "public"), ("SHOW DateStyle", "DateStyle", "ISO, MDY"), ("SHOW IntervalStyle", "IntervalStyle", "postgres"), ("SHOW extra_float_digits", "extra_float_digits", "1"), ("SHOW default_transaction_isolation", "default_transaction_isolation", "serializable"),
+    ("SHOW default_transaction_read_only", "default_transaction_read_only", "off"), ("SHOW session_authorization", "session_authorization", "tessella"), ("SELECT current_database()", "current_database", "default"), ("SELECT pg_catalog.current_schema()", "current_schema", "public"),
+    ("SELECT current_user", "current_user", "tessella"), ("SELECT session_user", "session_user", "tessella"), ("SELECT current_setting('TimeZone')", "current_setting", "UTC"), ("SELECT current_setting('server_version_num')", "current_setting", "140000"),
+    ("SELECT pg_sleep(1)", "refused", "Unsupported"), ("SELECT version", "refused", "Unsupported"),
+]
+
+
+def quoted(*values: str) -> str:
+    return "(" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + ")"
+
+
+@built("server_probes", f"SELECT * FROM (VALUES {', '.join(quoted(*x) for x in PROBES)}) t(probe, name, value)")
+def _(spark, sf_dir):
+    def told(sql: str) -> tuple[str, str]:
+        try:
+            got = system_probe(spark, sql)
+            return got.columns[0], got.first()[0]
+        except errors.EngineError as e:
+            return "refused", type(e).__name__
+
+    return spark.createDataFrame([(sql, *told(sql)) for sql, *_ in PROBES], "probe string, name string, value string")
+
+
+def outcomes(name: str, expected: list[tuple[str, str]]):
+    """Registers a query of steps and what came of each; a step gives a value or raises an error of the engine."""
+
+    def take(f: Callable[[SparkSession, str], dict[str, Callable[[], object]]]) -> None:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            rows = []
+            for step, act in f(spark, sf_dir).items():
+                try:
+                    rows.append((step, str(act())))
+                except errors.EngineError as e:
+                    rows.append((step, type(e).__name__))
+            return spark.createDataFrame(rows, "step string, outcome string")
+
+        QUERIES[name] = run
+        ORACLE_SQL[name] = f"SELECT * FROM (VALUES {', '.join(quoted(*x) for x in expected)}) t(step, outcome)"
+
+    return take
+
+
+def made(spark: SparkSession, *migrations: str, tables: tuple[Table, ...]) -> Engine:
+    """An engine with small tables of its own."""
+    engine = Engine(spark, f"{shared_root(spark)}/tessella-{spark.sparkContext.applicationId}/made-{uuid.uuid4().hex[:8]}", SHARDS)
+    engine.register_tables(list(tables))
+    for m in migrations:
+        engine.migrate(m)
+    return engine
+
+
+SEATS = "CREATE TABLE seats(show INTEGER NOT NULL, seat INTEGER NOT NULL, code TEXT, price REAL CHECK (price >= 0), PRIMARY KEY (show, seat))"
+
+
+def seats(spark: SparkSession) -> Engine:
+    engine = made(spark, SEATS, tables=(sharded("seats", "show", "int64"),))
+    engine.load("seats", spark.createDataFrame([(k, 1, f"c{k}", 1.0) for k in range(1, 9)], "show long, seat long, code string, price double"))
+    return engine
+
+
+INSERT = "INSERT INTO seats(show, seat, code, price) VALUES (?1, ?2, ?3, ?4)"
+
+
+@outcomes("unique_write_refused", [("second of another shard", "UniqueViolation"), ("or ignore", "0"), ("rows", "8"), ("index", "ready"), ("null", "1"), ("second null", "1"), ("update to a taken key", "UniqueViolation"), ("delete, then insert", "1"), ("bulk load", "UniqueViolation"), ("transaction", "UniqueViolation"), ("rows at the end", "10"), ("stale entries", "0")])
+def _(spark, sf_dir):
+    engine = seats(spark)
+    engine.indexes.create(Index("codes", "seats", (IndexPart("code"),), unique=True))
+    rows = lambda: engine.count("seats")
+
+    def transaction():
+        with engine.session() as session:
+            session.execute("BEGIN")
+            session.execute(INSERT, [1, 7, "c4", 1.0])
+            session.execute("COMMIT")
+
+    return {
+        "second of another shard": lambda: engine.execute(INSERT, [900, 1, "c3", 1.0]),
+        "or ignore": lambda: engine.execute(INSERT.replace("INSERT", "INSERT OR IGNORE"), [900, 1, "c3", 1.0]).rows_affected,
+        "rows": rows,
+        "index": lambda: engine.indexes.get("codes").state,
+        "null": lambda: engine.execute(INSERT, [1, 2, None, 1.0]).rows_affected,
+        "second null": lambda: engine.execute(INSERT, [2, 2, None, 1.0]).rows_affected,
+        "update to a taken key": lambda: engine.execute("UPDATE seats SET code = 'c5' WHERE show = 6"),
+        "delete, then insert": lambda: engine.execute("DELETE FROM seats WHERE show = 3").rows_affected * engine.execute(INSERT, [901, 1, "c3", 1.0]).rows_affected,
+        "bulk load": lambda: engine.load("seats", spark.createDataFrame([(902, 1, "c7", 1.0)], "show long, seat long, code string, price double")),
+        "transaction": transaction,
+        "rows at the end": rows,
+        "stale entries": lambda: engine.indexes.validate("codes").count(),
+    }
+
+
+@outcomes("reservation_states", [("reserve", "pending"), ("again", "pending"), ("by another", "UniqueViolation"), ("route", "[2]"), ("finalize", "finalized"), ("roll back after", "FailedPrecondition"), ("free again", "pending"), ("rolled back", "rolled_back"), ("other keys, same id", "InvalidArgument"), ("lease", "1-10"), ("next lease", "11-15"), ("same lease", "1-10"), ("consumed", "consumed"), ("abandon after", "FailedPrecondition"), ("too many", "InvalidArgument")])
+def _(spark, sf_dir):
+    engine = seats(spark)
+    index = engine.indexes.create(Index("codes", "seats", (IndexPart("code"),), unique=True)).index
+    authority, (key,) = Authority(engine, "codes"), engine.indexes.keys(index, [("new",)])
+    op = lambda n: bytes(15) + bytes([n])
+    lease = lambda x: f"{x.first}-{x.last}"
+    return {
+        "reserve": lambda: authority.reserve(op(1), key, 2),
+        "again": lambda: authority.reserve(op(1), key, 2),
+        "by another": lambda: authority.reserve(op(2), key, 1),
+        "route": lambda: engine.plan("SELECT 1 FROM seats WHERE code = 'new'").shards,
+        "finalize": lambda: authority.finalize(op(1)),
+        "roll back after": lambda: authority.rollback(op(1)),
+        "free again": lambda: authority.reserve(op(3), key, 1),
+        "rolled back": lambda: authority.rollback(op(3)),
+        "other keys, same id": lambda: authority.reserve(op(3), b"other", 1),
+        "lease": lambda: lease(authority.lease(op(4), "s", 10)),
+        "next lease": lambda: lease(authority.lease(op(5), "s", 5)),
+        "same lease": lambda: lease(authority.lease(op(4), "s", 10)),
+        "consumed": lambda: authority.transition(op(4), "consumed").state,
+        "abandon after": lambda: authority.transition(op(4), "abandoned"),
+        "too many": lambda: authority.lease(op(6), "s", 65_537),
+    }
+
+
+@outcomes("write_refusals", [("primary key", "UniqueViolation"), ("not null", "NotNullViolation"), ("check", "CheckViolation"), ("null key", "NotNullViolation"), ("two shards", "InvalidQuery"), ("no shard", "InvalidQuery"), ("moved key", "Unsupported"), ("other route", "InvalidQuery"), ("wrong type", "TypeMismatch"), ("or ignore", "0"), ("or replace", "1"), ("update", "1"), ("delete", "1"), ("rows", "7")])
+def _(spark, sf_dir):
+    engine, run = seats(spark), lambda sql, params=(), **more: lambda: engine.execute(sql, list(params), **more).rows_affected
+    other = next(k for k in range(1, 99) if shard_of(k, SHARDS) != shard_of(1, SHARDS))
+    return {
+        "primary key": run(INSERT, (1, 1, "x", 1.0)),
+        "not null": run("INSERT INTO seats(show, code) VALUES (1, 'x')"),
+        "check": run(INSERT, (1, 2, "x", -1.0)),
+        "null key": run(INSERT, (None, 2, "x", 1.0)),
+        "two shards": run(f"INSERT INTO seats(show, seat) VALUES (1, 5), ({other}, 5)"),
+        "no shard": run("UPDATE seats SET price = 2"),
+        "moved key": run("UPDATE seats SET show = 2 WHERE show = 1"),
+        "other route": run("DELETE FROM seats WHERE show = 1", routing_key=other),
+        "wrong type": run("DELETE FROM seats WHERE show = 'one'"),
+        "or ignore": run(INSERT.replace("INSERT", "INSERT OR IGNORE"), (1, 1, "x", 1.0)),
+        "or replace": run(INSERT.replace("INSERT", "INSERT OR REPLACE"), (1, 1, "new", 1.0)),
+        "update": run("UPDATE seats SET price = price + 1 WHERE show = 1"),
+        "delete": run("DELETE FROM seats WHERE show = 1"),
+        "rows": lambda: engine.count("seats"),
+    }
+
+
+@outcomes("migration_steps", [("same source again", "1"), ("other source, same table", "InvalidQuery"), ("if not exists", "2"), ("index", "3"), ("index again by name", "InvalidQuery"), ("index if not exists", "4"), ("unique without the key", "FailedPrecondition"), ("kept", "['by_code']"), ("undeclared", "FailedPrecondition"), ("a read", "InvalidQuery")])
+def _(spark, sf_dir):
+    engine = made(spark, SEATS, tables=(sharded("seats", "show", "int64"),))
+
+    def migrated(sql):
+        engine.migrate(sql)
+        return engine.catalog.generation
+
+    return {
+        "same source again": lambda: migrated(SEATS),
+        "other source, same table": lambda: migrated(SEATS + ";"),
+        "if not exists": lambda: migrated(SEATS.replace("TABLE", "TABLE IF NOT EXISTS")),
+        "index": lambda: migrated("CREATE INDEX by_code ON seats(code DESC, seat)"),
+        "index again by name": lambda: migrated("CREATE INDEX by_code ON seats(price)"),
+        "index if not exists": lambda: migrated("CREATE INDEX IF NOT EXISTS by_code ON seats(price)"),
+        "unique without the key": lambda: migrated("CREATE UNIQUE INDEX one_code ON seats(code)"),
+        "kept": lambda: [i.name for i in engine.catalog.tables["seats"].indexes],
+        "undeclared": lambda: migrated("CREATE TABLE halls(id INTEGER)"),
+        "a read": lambda: migrated("SELECT 1"),
+    }
+
+
+@outcomes("read_limits", [("rows", "8"), ("too many rows", "LimitExceeded"), ("too many bytes", "LimitExceeded"), ("no time", "DeadlineExceeded"), ("cancelled", "Cancelled"), ("first", "(1, 1)"), ("two more", "2"), ("the rest", "5"), ("then", "None"), ("streamed", "8"), ("as JSON", "8")])
+def _(spark, sf_dir):
+    engine = seats(spark)
+    read = engine.query("SELECT show, seat FROM seats ORDER BY show")
+    cursor, token = engine.collect(read).cursor(), CancellationToken()
+    token.cancel()
+    return {
+        "rows": lambda: len(engine.collect(read, Budget(8, 1000)).rows),
+        "too many rows": lambda: engine.collect(read, Budget(7, 1000)),
+        "too many bytes": lambda: engine.collect(read, Budget(8, 100)),
+        "no time": lambda: engine.collect(read, timeout=0),
+        "cancelled": lambda: engine.collect(read, token=token),
+        "first": lambda: tuple(cursor.fetchone()),
+        "two more": lambda: len(cursor.fetchmany(2)),
+        "the rest": lambda: len(cursor.fetchall()),
+        "then": cursor.fetchone,
+        "streamed": lambda: sum(1 for _ in read.stream()),
+        "as JSON": lambda: len(engine.collect(read).as_json()["rows"]),
+    }
+
+
+@outcomes("inference_kinds", [("exact", "exact 1"), ("two keys", "multiple 2"), ("contradiction", "contradiction 0"), ("null", "contradiction 0"), ("in", "unconstrained 4"), ("or", "unconstrained 4"), ("no table", "not_applicable 1"), ("text", "TypeMismatch"), ("too large", "NumericOutOfRange"), ("in a branch", "TypeMismatch")])
+def _(spark, sf_dir):
+    engine = seats(spark)
+    one, two = (next(k for k in range(1, 99) if shard_of(k, SHARDS) == n) for n in (0, 1))
+
+    def told(where):
+        plan = engine.plan(f"SELECT 1{where and f' FROM seats WHERE {where}'}")
+        return f"{plan.inference} {0 if plan.empty else len(plan.targets(SHARDS))}"
+
+    cases = {
+        "exact": f"show = {one} AND price > 1", "two keys": f"show = {one} OR {two} = show", "contradiction": f"show = {one} AND show = {two}", "null": "show = NULL", "in": "show IN (1, 2)", "or": "show = 1 OR price > 3",
+        "no table": "", "text": "show = 'one'", "too large": "show = 9223372036854775808", "in a branch": "price > 1 OR show = 'x'",
+    }
+    return {name: lambda where=where: told(where) for name, where in cases.items()}
+
+
+@outcomes("statement_batches", [("reads", "[1, 1]"), ("a write among them", "InvalidQuery"), ("a write alone", "1"), ("schema", "InvalidQuery"), ("commit without begin", "FailedPrecondition"), ("begin", "transaction"), ("begin again", "FailedPrecondition"), ("failing write", "InvalidQuery"), ("then", "TransactionAborted"), ("rollback", "ready")])
+def _(spark, sf_dir):
+    engine = seats(spark)
+    session = engine.session()
+
+    def begun(sql):
+        session.execute(sql)
+        return session.state
+
+    return {
+        "reads": lambda: [len(r.rows) for r in session.run_batch("SELECT 1; SELECT COUNT(*) FROM seats")],
+        "a write among them": lambda: session.run_batch("SELECT 1; DELETE FROM seats WHERE show = 1"),
+        "a write alone": lambda: session.execute("DELETE FROM seats WHERE show = 1").rows_affected,
+        "schema": lambda: session.execute("CREATE INDEX i ON seats(code)"),
+        "commit without begin": lambda: session.execute("COMMIT"),
+        "begin": lambda: begun("BEGIN"),
+        "begin again": lambda: session.execute("BEGIN"),
+        "failing write": lambda: session.execute("INSERT INTO seats(nothing) VALUES (1)"),
+        "then": lambda: session.execute("SELECT 1").rows,
+        "rollback": lambda: begun("ROLLBACK"),
+    }
+
+
+@outcomes("filter_figures", [("none held", "0"), ("all held", "0"), ("rate of an empty filter", "0"), ("saturated", "False True")])
+def _(spark, sf_dir):
+    keys = [f"key {k}".encode() for k in range(2000)]
+    words = bloom.bitmap(keys)
+    empty, full = bloom.bitmap([]), ~bloom.bitmap([])
+    return {
+        "none held": lambda: int(bloom.holds(empty, keys).sum()),
+        "all held": lambda: int((~bloom.holds(words, keys)).sum()),
+        "rate of an empty filter": lambda: bloom.false_positive_ppm(empty),
+        "saturated": lambda: f"{bool(bloom.saturated(words))} {bool(bloom.saturated(full))}",
+    }
+
+
+@outcomes("change_log_states", [("logged", "[1, 1]"), ("behind", "1"), ("applied", "1"), ("again", "0"), ("update and delete", "2"), ("behind then", "0"), ("pruned segments", "0"), ("before the pruned", "FailedPrecondition"), ("stale entries", "0"), ("paused", "4"), ("two appliers", "FailedPrecondition")])
+def _(spark, sf_dir):
+    engine = seats(spark)
+    engine.indexes.create(Index("late", "seats", (IndexPart("code"),), mode="async"))
+    box = Outbox(engine, "late")
+
+    def logged():
+        engine.execute(INSERT, [1, 2, "fresh", 1.0])
+        return [box.log().count(), box.log().first()["cursor"]]
+
+    def changed():
+        engine.execute("UPDATE seats SET code = 'other' WHERE show = 1 AND seat = 2")
+        engine.execute("DELETE FROM seats WHERE show = 2")
+        return box.process()
+
+    def pruned():
+        box.prune()
+        return box.log().count()
+
+    def paused():
+        box.pause()
+        return len(box.behind())
+
+    return {
+        "logged": logged,
+        "behind": lambda: len(box.behind()),
+        "applied": box.process,
+        "again": box.process,
+        "update and delete": changed,
+        "behind then": lambda: len(box.behind()),
+        "pruned segments": pruned,
+        "before the pruned": lambda: box.read(0),
+        "stale entries": lambda: engine.indexes.validate("late").count(),
+        "paused": paused,
+        "two appliers": lambda: box.apply(box.log(), fence=0),
+    }
+
+
+@built("parsed_placeholders", "SELECT * FROM (VALUES ('sqlite', 3), ('mysql', 2), ('postgres', 3)) t(dialect, needed)")
+def _(spark, sf_dir):
+    sources = {"sqlite": "SELECT ?2, ?, ?1", "mysql": "SELECT ?, ?", "postgres": "SELECT $3, $1"}
+    return spark.createDataFrame([(d, parse(q, d).parameters[0]) for d, q in sources.items()], "dialect string, needed int")
+
+
 @built("server_probe", "SELECT 'UTF8' AS server_encoding")
 def _(spark, sf_dir):
     return system_probe(spark, "SHOW server_encoding")
