@@ -663,7 +663,7 @@ def _(spark, sf_dir):
         "commit without begin": lambda: session.execute("COMMIT"),
         "begin": lambda: begun("BEGIN"),
         "begin again": lambda: session.execute("BEGIN"),
-        "failing write": lambda: session.execute("INSERT INTO seats(nothing) VALUES (1)"),
+        "failing write": lambda: session.execute("INSERT INTO seats(show, nothing) VALUES (1, 1)"),
         "then": lambda: session.execute("SELECT 1").rows,
         "rollback": lambda: begun("ROLLBACK"),
     }
