@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,9 +46,9 @@ def utf8(column: pa.Array, step: int = 500) -> Iterator[bytes | None]:
 
 
 def strings(column: pa.Array, step: int = 500) -> Iterator[str | None]:
-    """The column's texts as str, likewise."""
-    for at in range(0, len(column), step):
-        yield from column.slice(at, step).to_pylist()
+    """The column's texts as str, likewise; bytes that are not UTF-8 become replacement characters."""
+    for text in utf8(column, step):
+        yield text if text is None else text.decode("utf-8", "replace")
 
 
 def fold_of(doc_id: Column, n: int) -> Column:
@@ -63,10 +63,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it; only where that is unset, as in tests on
-    one machine, a temporary folder takes its place.
+    ``spark.checkpoint.dir`` names it; only where that is unset and driver and
+    executors are one process, as in tests, a temporary folder takes its place.
     """
     root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not root and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return root or "file://" + os.path.join(tempfile.gettempdir(), "tessella-shared")
 
 
@@ -74,11 +76,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back.
 
     It cuts the lineage, and what is written once is neither computed again for
-    a second reader nor lost with an executor.
+    a second reader nor lost with an executor. What a result still reads is
+    deleted when the application ends; all else by ``dropped``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -92,6 +97,32 @@ def dropped(spark: SparkSession, *frames: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+#: Bits of a sieve, at most: 8 MB travel to the tasks.
+SIEVE_BITS = 1 << 26
+
+
+def sieve(ids: DataFrame, column: str) -> Callable[[Column], Column]:
+    """A test that all values of the column pass, and few others: a set of hashed bits of bounded size.
+
+    It saves an exact join most of the rows that have no partner. The more values there are beyond SIEVE_BITS, the
+    fewer it saves; it never refuses a value of the column.
+    """
+    spark = ids.sparkSession
+    bits = 1 << min(SIEVE_BITS.bit_length() - 1, max(10, (16 * ids.count()).bit_length()))
+    at = ids.select(F.pmod(F.xxhash64(column), F.lit(bits)).alias("at"))
+    words = at.groupBy(F.expr("shiftright(at, 6)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at % 64 AS INT))")).alias("bits")).toArrow()  # at most SIEVE_BITS / 64 rows
+    own = np.zeros(bits // 64, np.int64)
+    own[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    held = spark.sparkContext.broadcast(own.view(np.uint64))
+
+    @F.arrow_udf("boolean")
+    def passes(hashed: pa.Array) -> pa.Array:
+        at = hashed.to_numpy(zero_copy_only=False)
+        return pa.array((held.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
+
+    return lambda value: passes(F.pmod(F.xxhash64(value), F.lit(bits)))
+
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
