@@ -6,20 +6,26 @@ packed into words. Classes that share a band key are candidates, the packed
 words give a collision-corrected estimate of their similarity, and what the
 estimate cannot rule out is confirmed on the full sets of 64-bit shingle hashes.
 
-Candidates are never all pairs of a bucket: first every member is held against
+Candidates are never all pairs of a bucket. First every member is held against
 the bucket's centre, the class that meets most others, and components are
-formed. Of pairs around one centre whose classes still lie in different
-components, those are held that sizes, estimate and an upper bound allow: what
-both lost of the centre and what both added, counted on hashed bits. So a bucket
-of n near copies costs about n confirmations, and no pair that could join two
-components goes unseen. With the default bands a pair of similarity 0.8 shares no band key
-with probability (1 - 0.8^5)^32 = 3e-6; the estimate wrongly rules it out with
+formed. Where a bucket still lies in several components its members are open,
+and pairs of open classes in different components are found by a prefix filter on
+their full sets: shingles stand from rare to common, two sets that are similar
+enough share one among the first few of each, and its places bound what the sets
+can share at all. What sizes, places and estimate leave is confirmed. So a bucket
+of n near copies costs about n confirmations, members that share only a template
+with each other cost nothing, and no pair that could join two components goes
+unseen. With the default bands a pair of similarity 0.8 shares no band key with
+probability (1 - 0.8^5)^32 = 3e-6; the estimate wrongly rules it out with
 probability 3e-7 (five standard deviations).
 
 Defined results: a text without words (null and empty ones too) has an empty set,
-links with nothing and is its own component. A null doc_id takes part in links,
-and its rows' component_id is the smallest id reachable, else null. Rows with
-the same set share a component. Extra columns are not read.
+links with nothing and is its own component. Texts are read whole at any length.
+A null doc_id takes part in links, and its rows' component_id is the smallest id
+reachable, else null. Rows with the same set share a component. Of equally met
+classes the one with the greatest set key is the centre; links do not depend on
+it but for the chances above. An empty table gives no rows. Extra columns are not
+read.
 """
 
 from __future__ import annotations
@@ -29,14 +35,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql import types as T
 
-from tessella.llm.common import dropped, mixed, plain_words, table, utf8, written
+from tessella.llm.common import dropped, mixed, plain_words, sieve, table, utf8, written
 from tessella.llm.components import components
 
 ROWS, BANDS, LANES, BITS = 5, 32, 128, 2
 #: Members of a candidate centre that one group of the confirmation holds.
 CHUNK = 32
+#: Counters in which open classes' shingles are counted to tell rare from common; a number too small costs candidates, not links.
+SLOTS = 1 << 20
 _PERMUTE = mixed(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -133,35 +141,31 @@ def similar(a: str, b: str, threshold: float) -> Column:
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (agreement(F.col(a + "sig"), F.col(b + "sig")) >= least_agreement(threshold))
 
 
-def texts_of(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """(k, text) of the classes (k, id): the one pass that moves texts, joined by sorting at every size."""
+def key_column(text: Column, width: int) -> Column:
+    """The set key of a text; null where it has no word."""
 
     @F.arrow_udf("binary")
-    def key_of(text: pa.Array) -> pa.Array:
+    def key(text: pa.Array) -> pa.Array:
         return pa.array([set_key(s) if len(s := shingle_set(t, width)) else None for t in utf8(text)], pa.binary())
 
-    texts = docs.select(F.col("doc_id").alias("row"), "text", key_of(docs["text"]).alias("tk"))
-    met = texts.join(classes.hint("merge"), (F.col("tk") == F.col("k")) & F.col("row").eqNullSafe(F.col("id")))
-    return met.select("k", "text").dropDuplicates(["k"])
-
-
-COMPARED = "x binary, y binary, linked boolean, gone long, more long, gone_slack long, more_slack long, gone_bits array<long>, more_bits array<long>"
+    # not deterministic to the optimizer: else it would look for null keys before other filters, and shingle every text
+    return key.asNondeterministic()(text)
 
 
-def bitmap(shingles: np.ndarray, words: int) -> tuple[np.ndarray, int]:
-    """Hashed bits of the shingles, and how many of them fell on a bit that was set."""
-    at = (shingles >> np.uint64(7)) % np.uint64(64 * words)
-    out = np.zeros(words, np.uint64)
-    np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-    return out.view(np.int64), len(shingles) - int(np.bitwise_count(out).sum())
+def texts_of(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """(k, text) of the classes (k, id); texts of ids that no class has are neither shingled again nor moved."""
+    passes = sieve(classes, "id")
+    texts = docs.where(passes(F.col("doc_id"))).select(F.col("doc_id").alias("row"), "text")
+    texts = texts.withColumn("tk", key_column(texts["text"], width))
+    met = texts.join(classes.hint("merge"), (F.col("tk") == F.col("k")) & F.col("row").eqNullSafe(F.col("id")))
+    return met.select("k", "text").dropDuplicates(["k"])
 
 
 def compared(pairs: DataFrame, held: DataFrame, width: int, threshold: float) -> DataFrame:
-    """Each pair (x, y) of classes held against each other on their full sets, as COMPARED.
+    """The pairs (x, y) of classes that are linked, held against each other on their full sets.
 
     Texts are dealt by y in groups of at most CHUNK members, each with y's own
-    text in front. Beside the verdict a row tells how x differs from y: what is
-    gone and what is more, as numbers and as hashed bits.
+    text in front.
     """
     percent = round(100 * threshold)
     last = F.floor((F.col("n") - 1) / CHUNK).cast("int")
@@ -173,7 +177,7 @@ def compared(pairs: DataFrame, held: DataFrame, width: int, threshold: float) ->
     dealt = dealt.repartition(parts, "c", "part").sortWithinPartitions("c", "part", "after", "k").select("c", "part", "k", "text")
 
     def run(batches):
-        centre, own, words = None, None, 4
+        centre, own = None, None
         for batch in batches:
             rows = []
             for c, part, k, text in zip(batch.column("c").to_pylist(), batch.column("part").to_pylist(), batch.column("k").to_pylist(), utf8(batch.column("text"))):
@@ -181,35 +185,84 @@ def compared(pairs: DataFrame, held: DataFrame, width: int, threshold: float) ->
                 if k == c:
                     if (c, part) != centre:
                         centre, own = (c, part), s
-                        words = min(512, max(4, 1 << (len(s) // 16).bit_length()))
                     continue
-                gone, more = np.setdiff1d(own, s, assume_unique=True), np.setdiff1d(s, own, assume_unique=True)
-                both = len(s) - len(more)
-                (gone_bits, gone_slack), (more_bits, more_slack) = bitmap(gone, words), bitmap(more, words)
-                linked = 100 * both >= percent * (len(own) + len(more))
-                rows.append((k, c, linked, len(gone), len(more), gone_slack, more_slack, gone_bits, more_bits))
-            kinds = [pa.binary(), pa.binary(), pa.bool_(), *[pa.int64()] * 4, *[pa.list_(pa.int64())] * 2]
-            names = ["x", "y", "linked", "gone", "more", "gone_slack", "more_slack", "gone_bits", "more_bits"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
+                both = int((own[np.minimum(np.searchsorted(own, s), len(own) - 1)] == s).sum())
+                if 100 * both >= percent * (len(own) + len(s) - both):
+                    rows.append((k, c))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary()) for i in range(2)], ["x", "y"])
+
+    got = written(dealt.mapInArrow(run, "x binary, y binary"), "linked")
+    dropped(pairs.sparkSession, sizes)
+    return got
 
-    return dealt.mapInArrow(run, COMPARED)
 
+def prefix_lengths(n: int, percent: int) -> tuple[int, int]:
+    """Of a set of n shingles from rare to common, how many stand for it towards sets as large at most, and as large at least."""
+    return n + (-percent * n) // 100 + 1, n + (-2 * percent * n) // (100 + percent) + 1
 
 
-def common_at_most(x: str, y: str) -> Column:
-    """Shingles that two members of a centre can share at most.
+def prefixes(texts: DataFrame, width: int, threshold: float) -> DataFrame:
+    """(token, k, root, n, i, short) of the first shingles of each class's set, from rare to common; i: place, short: also towards larger sets.
 
-    What both lost of the centre and what both added is bounded by their bits;
-    the rest of the centre they share. Null where one was not held against it.
+    Shingles are counted over all of the texts (k, root, text), in SLOTS counters; equal counts stand by their hash.
     """
+    spark, percent = texts.sparkSession, round(100 * threshold)
+
+    def count(batches):
+        n = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for text in utf8(batch.column("text")):
+                np.add.at(n, (shingle_set(text, width) & np.uint64(SLOTS - 1)).astype(np.int64), 1)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], ["slot", "n"])
 
-    def shared(what: str) -> Column:
-        a, b = F.col(f"{x}{what}_bits"), F.col(f"{y}{what}_bits")
-        bits = F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseAND(q)).cast("long")), F.lit(0).cast("long"), lambda n, v: n + v)
-        return bits + F.least(F.col(f"{x}{what}_slack"), F.col(f"{y}{what}_slack"))
+    counted = texts.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most SLOTS rows
+    counts = np.zeros(SLOTS, np.int64)
+    counts[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
+    held = spark.sparkContext.broadcast(counts)
+    names, kinds = ["token", "k", "root", "n", "i", "short"], [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.bool_()]
 
-    centre = F.col(x + "n") + F.col(x + "gone") - F.col(x + "more")
-    return centre - F.col(x + "gone") - F.col(y + "gone") + shared("gone") + shared("more")
+    def run(batches):
+        counts = held.value
+        for batch in batches:
+            cols: list[list] = [[] for _ in names]
+            for k, root, text in zip(batch.column("k").to_pylist(), batch.column("root").to_pylist(), utf8(batch.column("text"))):
+                s = shingle_set(text, width)
+                long, short = prefix_lengths(len(s), percent)
+                first = s[np.lexsort((s, counts[(s & np.uint64(SLOTS - 1)).astype(np.int64)]))[:long]].view(np.int64).tolist()
+                for c, x in zip(cols, (first, [k] * long, [root] * long, [len(s)] * long, range(long), [i < short for i in range(long)])):
+                    c.extend(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
+
+    return written(texts.select("k", "root", "text").mapInArrow(run, "token long, k binary, root binary, n long, i long, short boolean"), "prefixes")
+
+
+def torn_pairs(texts: DataFrame, width: int, threshold: float) -> DataFrame:
+    """(x, y) of the classes (k, root, text) that lie in different components and may be similar, by a prefix filter.
+
+    Of each shingle the component with the most classes is set apart: a pair of different components has a
+    class outside it, so classes of one large component never meet each other here.
+    """
+    spark, percent = texts.sparkSession, round(100 * threshold)
+    rows = prefixes(texts, width, threshold)
+    roots = rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("token")
+    main = written(roots.agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > 1).select("token", "main"), "main-roots")
+    met = written(rows.join(main, "token"), "met")
+    own = ["k", "root", "n", "i"]
+    side = lambda df, name: df.select("token", *[F.col(c).alias(f"{name}_{c}") for c in own])
+    larger, smaller = met, met.where("short")
+    apart = F.col("root") != F.col("main")
+    order = (F.col("y_n") < F.col("x_n")) | ((F.col("y_n") == F.col("x_n")) & (F.col("y_k") < F.col("x_k")))
+    # the places of a shared shingle bound what two sets can share from there on; of their first one, at all
+    bound = (100 + percent) * F.least(F.col("x_n") - F.col("x_i"), F.col("y_n") - F.col("y_i")) >= percent * (F.col("x_n") + F.col("y_n"))
+    possible = (F.col("x_root") != F.col("y_root")) & order & (100 * F.col("y_n") >= percent * F.col("x_n")) & bound
+    pairs = None
+    for x, y in ((larger.where(apart), smaller), (larger.where(~apart), smaller.where(apart))):
+        part = side(x, "x").join(side(y, "y"), "token").where(possible).select(F.col("x_k").alias("x"), F.col("y_k").alias("y"))
+        pairs = part if pairs is None else pairs.unionByName(part)
+    got = written(pairs.distinct(), "torn-pairs")
+    dropped(spark, rows, main, met)
+    return got
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, keys: bool = False) -> DataFrame:
@@ -240,51 +293,58 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, key
 
     stars = around.where(F.col("k") != F.col("y")).select(F.col("k").alias("x"), "y")
     stars = written(stars.join(side("x"), "x").join(side("y"), "y").where(similar("x_", "y_", threshold)).select("x", "y"), "stars")
-    told = written(compared(stars, held, width, threshold), "compared")
-    links = told.where("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
+    told = compared(stars, held, width, threshold)
+    links = told.select(F.col("x").alias("u"), F.col("y").alias("v"))
 
     roots = written(components(links), "roots")
     rooted = written(around.join(roots, around["k"] == roots["node"], "left").select("k", "y", F.coalesce("root", "k").alias("root")), "rooted")
     home = rooted.where(F.col("k") == F.col("y")).select("y", F.col("root").alias("home"))
     placed = written(rooted.join(written(home, "home"), "y"), "placed")
-    torn = written(placed.where(F.col("root") != F.col("home")).select("y").distinct(), "torn")
-    delta = told.select(F.col("x").alias("k"), "y", "gone", "more", "gone_slack", "more_slack", "gone_bits", "more_bits")
-    open_ = written(placed.join(torn, "y").join(facts, "k").join(delta, ["k", "y"], "left").where(F.col("k") != F.col("y")), "open")
-    own = ["k", "n", "sig", "root", "gone", "more", "gone_slack", "more_slack", "gone_bits", "more_bits"]
-    strays = open_.where(F.col("root") != F.col("home")).select("y", *[F.col(c).alias("x_" + c) for c in own])
-    others = open_.select("y", "home", *[F.col(c).alias("z_" + c) for c in own])
-    # a pair of two strays is seen from its greater class only
-    once = (F.col("z_root") == F.col("home")) | (F.col("x_k") > F.col("z_k"))
-    possible = F.coalesce((100 + percent) * common_at_most("x_", "z_") >= percent * (F.col("x_n") + F.col("z_n")), F.lit(True))
-    late = strays.join(others, "y").where((F.col("x_root") != F.col("z_root")) & once & similar("x_", "z_", threshold) & possible)
-    late = written(late.select(F.col("x_k").alias("x"), F.col("z_k").alias("y")).distinct(), "late")
+    torn = placed.where(F.col("root") != F.col("home")).select("y").distinct()
+    open_ = placed.join(torn, "y").select("k", "root").distinct()
+    open_ = written(open_.join(held, "k"), "open")
     joined = roots
-    if not late.isEmpty():
-        late_links = written(compared(late, held, width, threshold).where("linked").select(F.col("x").alias("u"), F.col("y").alias("v")), "late-links")
+    if not open_.isEmpty():
+        late = torn_pairs(open_, width, threshold)
+        likely = written(late.join(side("x"), "x").join(side("y"), "y").where(similar("x_", "y_", threshold)).select("x", "y"), "late")
+        late_links = compared(likely, held, width, threshold).select(F.col("x").alias("u"), F.col("y").alias("v"))
         if not late_links.isEmpty():
             ways = roots.where(F.col("node") != F.col("root")).select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(late_links)
             joined = written(components(ways), "joined")
+        dropped(spark, late, likely)
     named = written(classes.select("k", "id").join(joined, classes["k"] == joined["node"], "left").select("k", "id", F.coalesce("root", "k").alias("root")), "named")
     first = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "k")))["k"]
     least = written(named.groupBy("root").agg(F.min("id").alias("component_id"), first.alias("first")), "least-ids")
     of_class = written(named.join(least, "root").select("k", "component_id", (F.col("k") == F.col("first")).alias("first")), "of-class")
-    dropped(spark, classes, around, held, facts, stars, told, roots, rooted, placed, torn, open_, late, joined, named, least)
+    dropped(spark, classes, around, held, facts, stars, told, roots, rooted, placed, open_, joined, named, least)
     out = rows.select("doc_id", "n_shingles", "k").join(of_class if keys else of_class.drop("first"), "k", "left")
     component = F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     more = ["k", (F.col("k").isNull() | F.coalesce("first", F.lit(False))).alias("stands")] if keys else []
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), *more)
 
 
-def with_set_key(docs: DataFrame, text: Column, name: str, width: int) -> DataFrame:
-    """docs and the set key of the text; null where it is null or has no word."""
-
-    def run(batches):
-        for batch in batches:
-            sets = (shingle_set(t, width) for t in utf8(batch.column(batch.num_columns - 1)))
-            got = pa.array([set_key(s) if len(s) else None for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], got], [*batch.schema.names[:-1], name])
+def one_of_each(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
+    """The rows of docs that stand for their near-duplicate groups: one of each group, that with the smallest id.
 
-    return docs.withColumn(name, text).mapInArrow(run, StructType([*docs.schema.fields, StructField(name, BinaryType())]))
+    Rows are told apart by id and set of shingles, so each text of an id that repeats is judged by itself. Of rows
+    with equal id and set the smallest one stays, by text and then the other columns that have an order. Rows without
+    an id cannot stand for a group by name; they all stay. Texts of ids that keep their only row are not moved.
+    """
+    key, own = "__near_key", "__near_id"
+    judged = written(near_duplicates(docs.select("doc_id", "text"), width, threshold, keys=True).where(F.col("doc_id").isNotNull()).select("doc_id", "k", (F.col("kept") & F.col("stands")).alias("stands")), "judged")
+    doubt = judged.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("stands").alias("stay")).where((F.col("n") > 1) | ~F.col("stay")).select("doc_id")
+    doubt = written(doubt, "doubt")
+    passes = sieve(doubt, "doc_id")
+    known = F.col("doc_id").isNotNull()
+    sure, maybe = docs.where(~known | ~passes(F.col("doc_id"))), docs.where(known & passes(F.col("doc_id")))
+    stand = judged.where("stands").select(F.col("doc_id").alias(own), F.col("k").alias(f"{own}_k")).distinct()
+    maybe = maybe.withColumn(key, key_column(F.col("text"), width))
+    stay = maybe.join(stand, (F.col("doc_id") == F.col(own)) & F.col(key).eqNullSafe(F.col(f"{own}_k")))
+    names = [f.name for f in docs.schema.fields]
+    ordered = ["text", *(f.name for f in docs.schema.fields if f.name != "text" and isinstance(f.dataType, T.AtomicType) and not isinstance(f.dataType, T.VariantType))]
+    row, order = F.struct(*[F.col(f"`{c}`") for c in names]), F.struct(*[F.col(f"`{c}`") for c in ordered])
+    once = stay.groupBy(own, key).agg(F.min_by(row, order).alias("__near_row")).select("__near_row.*")
+    return sure.unionByName(once)
 
 
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
