@@ -7,9 +7,12 @@ their names.
 Defined results: a null or empty text has no letter and leaves at the first
 stage. A null lang, source or n_chars is carried along; null sources are a
 source of their own in the mix. Rows with a null id stay through the
-near-duplicate stage. Of rows with one id and near-equal texts one stays; with unlike texts each is judged by its own. Tables
-without rows give a result without rows, tables without labels no learned rule,
-and without benchmark items nothing is contaminated.
+near-duplicate stage. Rows that repeat an id are judged by their own texts: unlike
+texts stay side by side, and of rows with equal id and equal set of shingles the
+smallest one stays, by text and then by the other columns. Texts are read whole at
+any length; ties are settled as each operator states. Tables without rows give a
+result without rows, tables without labels no learned rule, and without benchmark
+items nothing is contaminated.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import decontaminate, language, mixing, near_dup, quality
-from tessella.llm.common import table, written
+from tessella.llm.common import dropped, table, written
 
 OWN = "__corpus_stage"
 
@@ -42,19 +45,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps one document of each near-duplicate group: the one with the smallest id.
 
     Rows without an id cannot stand for a group by name; they all stay. Rows that repeat an id are told apart by
-    their sets of shingles, so each group keeps its own one.
+    their sets of shingles, so each is judged by its own text, and only one of those with equal id and set stays.
     """
-    judged = near_dup.near_duplicates(docs.select("doc_id", "text"), width=5, threshold=0.8, keys=True).where(F.col("doc_id").isNotNull())
-    stands = F.col("kept") & F.col("stands")
-    ids = judged.groupBy(F.col("doc_id").alias(OWN)).agg(
-        (F.count(F.lit(1)) > 1).alias(f"{OWN}_again"), F.collect_set(F.when(stands, F.coalesce("k", F.lit(b"")))).alias(f"{OWN}_keys")
-    ).where(F.size(f"{OWN}_keys") > 0)
-    once = docs.join(ids, docs["doc_id"] == ids[OWN])
-    # where an id repeats, the texts tell its rows apart
-    once = near_dup.with_set_key(once, F.when(F.col(f"{OWN}_again"), F.col("text")), f"{OWN}_key", 5)
-    key = F.coalesce(f"{OWN}_key", F.lit(b""))
-    once = once.where(~F.col(f"{OWN}_again") | F.array_contains(f"{OWN}_keys", key)).dropDuplicates(["doc_id", f"{OWN}_key"])
-    return once.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    return near_dup.one_of_each(docs, width=5, threshold=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -81,7 +74,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            dropped(spark, before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
