@@ -7,19 +7,22 @@ rarest shingle. Where a document has it, the position inside the window fixes
 where the window would begin (positional bound), begin and end must lie in the
 text (length bound), and the window's words are then compared one by one.
 
-Items go in blocks of bounded size: a block's windows are broadcast, every
-document is read whole against it, and the findings of earlier blocks travel
-with the row, so the method holds at any number of items.
+Items go in blocks of bounded size, long ones in pieces that overlap by all but
+one word of a window: a block's windows are broadcast, every document is read
+whole against it, and the findings of earlier blocks travel with the row, so the
+method holds at any number and length of items.
 
 Defined results: a null or wordless text has no words and no hits; an item
-without words has no window. Windows of an item with a null id mark words but
-are listed under no id; repeated ids count once. Extra columns are not read.
+without words has no window. Texts are read whole at any length. Windows of an
+item with a null id mark words but are listed under no id; repeated ids count
+once. Of a window's equally rare shingles the one first numbered, then the
+leftmost, is its prefix; the result does not depend on it. Without items nothing
+is hit; an empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,75 +30,97 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import folded_words, table, utf8, written
+from tessella.llm.common import dropped, folded_words, table, utf8, written
 
 WINDOW = 10
 SHINGLE = 3
 #: UTF-8 bytes of item texts that one block holds, as an expectation of a hashed split.
 BLOCK_BYTES = 8_000_000
+#: Windows that begin in one piece of an item.
+PIECE = 50_000
 
 
 @dataclass
 class Index:
     """A block's windows over the ids of its own words.
 
-    prefix: shingle -> (window number, offset of the shingle in the window).
+    A window is a stretch of ``flat``. Shingles are numbered step by step: of n words, ``levels[n]`` has for each
+    further word the sorted codes (number so far, word); a code's place is the next number, so none outgrows 64 bits.
     """
 
     words: dict[bytes, int] = field(default_factory=dict)
-    windows: list[np.ndarray] = field(default_factory=list)
-    owners: list[list[str]] = field(default_factory=list)
-    shingles: dict[int, dict[tuple, int]] = field(default_factory=dict)
-    prefix: dict[int, dict[int, list[tuple[int, int]]]] = field(default_factory=dict)
+    flat: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    starts: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    lengths: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    owners: list[set[str]] = field(default_factory=list)
+    levels: dict[int, list[np.ndarray]] = field(default_factory=dict)
+    #: of each shingle size: the prefix's number, sorted, and the window and the prefix's place in it
+    prefix: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
 
     @classmethod
     def build(cls, items: list[tuple[str | None, bytes | None]], window: int) -> Index:
-        self, at = cls(), {}
+        self, at, texts, starts, lengths, total = cls(), {}, [], [], [], 0
         for item, text in items:
-            ids = tuple(self.words.setdefault(w, len(self.words)) for w in folded_words(text or b""))
-            if not ids:
+            ids = np.array([self.words.setdefault(w, len(self.words)) for w in folded_words(text or b"")], dtype=np.int64)
+            if not len(ids):
                 continue
             size = min(window, len(ids))
             for i in range(len(ids) - size + 1):
-                if (w := ids[i : i + size]) not in at:
-                    at[w] = len(self.windows)
-                    self.windows.append(np.array(w, dtype=np.int64))
-                    self.owners.append([])
-                own = self.owners[at[w]]
-                if item is not None and item not in own:
-                    own.append(item)
-        for w in at:
-            n = min(SHINGLE, len(w))
-            known = self.shingles.setdefault(n, {})
-            for i in range(len(w) - n + 1):
-                known.setdefault(w[i : i + n], len(known))
+                k = at.setdefault(ids[i : i + size].tobytes(), len(starts))
+                if k == len(starts):
+                    starts.append(total + i)
+                    lengths.append(size)
+                    self.owners.append(set())
+                if item is not None:
+                    self.owners[k].add(item)
+            texts.append(ids)
+            total += len(ids)
+        self.flat = np.concatenate([np.empty(0, np.int64), *texts])
+        self.starts, self.lengths = np.array(starts, dtype=np.int64), np.array(lengths, dtype=np.int64)
+        for n in sorted({min(SHINGLE, x) for x in lengths}):
+            own = [w for _, w in self.stacked() if min(SHINGLE, w.shape[1]) == n]
+            rows = np.concatenate([np.lib.stride_tricks.sliding_window_view(w, n, axis=1).reshape(-1, n) for w in own])
+            self.levels[n], number = [], rows[:, 0]
+            for k in range(1, n):
+                known, number = np.unique(number * (len(self.words) + 1) + rows[:, k], return_inverse=True)
+                self.levels[n].append(known)
         return self
 
-    def codes(self, ids: np.ndarray, n: int) -> np.ndarray:
-        """A number for each n-word shingle of ids; -1 where a word is foreign to the block."""
-        base, size = len(self.words) + 1, len(ids) - n + 1
+    def stacked(self):
+        """(window numbers, their words as a matrix) of each length."""
+        for size in np.unique(self.lengths).tolist():
+            k = np.flatnonzero(self.lengths == size)
+            yield k, self.flat[self.starts[k][:, None] + np.arange(size)]
+
+    def kinds(self, n: int) -> int:
+        return len(self.levels[n][-1]) if n > 1 else len(self.words)
+
+    def numbers(self, ids: np.ndarray, n: int) -> np.ndarray:
+        """The number of each n-word shingle along the last axis; -1 where the block has it not."""
+        size = ids.shape[-1] - n + 1
         if size < 1:
-            return np.empty(0, np.int64)
-        out, own = np.zeros(size, np.int64), np.ones(size, dtype=bool)
-        for k in range(n):
-            part = ids[k : k + size]
-            own &= part >= 0
-            out = out * base + part
-        return np.where(own, out, -1)
+            return np.empty((*ids.shape[:-1], 0), np.int64)
+        out = ids[..., :size]
+        for k, known in enumerate(self.levels[n], 1):
+            word = ids[..., k : k + size]
+            code = out * (len(self.words) + 1) + word
+            at = np.minimum(np.searchsorted(known, code), len(known) - 1)
+            out = np.where((out >= 0) & (word >= 0) & (known[at] == code), at, -1)
+        return out
 
     def arm(self, found_in: dict[int, np.ndarray]) -> None:
         """Picks each window's prefix. found_in: documents that hold each shingle, by size and number."""
-        base = len(self.words) + 1
-        for k, w in enumerate(self.windows):
-            n = min(SHINGLE, len(w))
-            each = [tuple(w[i : i + n].tolist()) for i in range(len(w) - n + 1)]
-            rarest = min(range(len(each)), key=lambda i: (int(found_in[n][self.shingles[n][each[i]]]), self.shingles[n][each[i]], i))
-            code = 0
-            for x in each[rarest]:
-                code = code * base + x
-            self.prefix.setdefault(n, defaultdict(list))[code].append((k, rarest))
-        self.shingles = {}
-        self.sorted = {n: np.array(sorted(p), dtype=np.int64) for n, p in self.prefix.items()}
+        parts: dict[int, list] = {}
+        for k, words in self.stacked():
+            n = min(SHINGLE, words.shape[1])
+            each = self.numbers(words, n)
+            often = found_in[n][each]
+            place = np.where(often == often.min(axis=1, keepdims=True), each, np.iinfo(np.int64).max).argmin(axis=1)
+            parts.setdefault(n, []).append((each[np.arange(len(k)), place], k, place))
+        for n, some in parts.items():
+            number, k, place = (np.concatenate([p[i] for p in some]) for i in range(3))
+            order = np.argsort(number, kind="stable")
+            self.prefix[n] = number[order], k[order], place[order]
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         get = self.words.get
@@ -104,14 +129,15 @@ class Index:
     def spans(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
         """(begin, end, window) of each verified occurrence."""
         out = []
-        for n, codes in self.sorted.items():
-            got = self.codes(ids, n)
-            near = np.minimum(np.searchsorted(codes, got), len(codes) - 1)
-            for p in np.flatnonzero(codes[near] == got):
-                for k, offset in self.prefix[n][int(got[p])]:
-                    begin, w = int(p) - offset, self.windows[k]
-                    if begin >= 0 and begin + len(w) <= len(ids) and np.array_equal(ids[begin : begin + len(w)], w):
-                        out.append((begin, begin + len(w), k))
+        for n, (number, windows, places) in self.prefix.items():
+            got = self.numbers(ids, n)
+            first, last = np.searchsorted(number, got, "left"), np.searchsorted(number, got, "right")
+            for p in np.flatnonzero((got >= 0) & (first < last)):
+                for j in range(first[p], last[p]):
+                    k = int(windows[j])
+                    begin, size, start = int(p - places[j]), int(self.lengths[k]), int(self.starts[k])
+                    if begin >= 0 and begin + size <= len(ids) and np.array_equal(ids[begin : begin + size], self.flat[start : start + size]):
+                        out.append((begin, begin + size, k))
         return out
 
 
@@ -125,46 +151,50 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def pieces(items: DataFrame, window: int) -> DataFrame:
+    """(i, t) of the items (item_id, text): stretches of at most PIECE windows; the windows of an item are those of its stretches."""
+
+    def run(batches):
+        for batch in batches:
+            for item, text in zip(batch.column("i").to_pylist(), utf8(batch.column("t"))):
+                words = folded_words(text or b"")
+                at = range(0, max(1, len(words) - window + 1), PIECE) if words else ()
+                said = [b" ".join(words[a : a + PIECE + window - 1]) for a in at]
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(said), pa.string()), pa.array(said, pa.binary())], ["i", "t"])
+
+    return items.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("binary").alias("t")).mapInArrow(run, "i string, t binary")
+
+
 def blocks(items: DataFrame, window: int, block_bytes: int = BLOCK_BYTES):
-    """Indexes over all of (item_id, text), each of a bounded share of the items."""
-    rows = items.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("binary").alias("t"))
+    """Indexes over all of (item_id, text), each of a bounded share of the items' pieces."""
+    rows = written(pieces(items, window), "pieces")
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, -(-size // block_bytes))
     for k in range(n):
         part = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) if n > 1 else rows
-        got = sorted(((r["i"], bytes(r["t"]) if r["t"] is not None else None) for r in part.collect()), key=lambda x: (x[0] or "", x[1] or b""))
+        got = sorted(((r["i"], bytes(r["t"])) for r in part.collect()), key=lambda x: (x[0] or "", x[1]))
         yield Index.build(got, window)
+    dropped(items.sparkSession, rows)
 
 
 def rarity(docs: DataFrame, index: Index) -> dict[int, np.ndarray]:
     """Documents that hold each of the index's shingles, counted over all documents."""
     held = docs.sparkSession.sparkContext.broadcast(index)
-    base = len(index.words) + 1
-
-    def code(s: tuple) -> int:
-        out = 0
-        for x in s:
-            out = out * base + x
-        return out
 
     def run(batches):
         index = held.value
-        order = {n: np.array([code(s) for s in known], dtype=np.int64) for n, known in index.shingles.items()}
-        rank = {n: np.argsort(c) for n, c in order.items()}
-        counts = {n: np.zeros(len(c), np.int64) for n, c in order.items()}
+        counts = {n: np.zeros(index.kinds(n), np.int64) for n in index.levels}
         for batch in batches:
             for text in utf8(batch.column("text")):
                 ids = index.ids(folded_words(text or b""))
-                for n, codes in order.items():
-                    got = np.unique(index.codes(ids, n))
-                    at = np.minimum(np.searchsorted(codes, got, sorter=rank[n]), len(codes) - 1)
-                    hit = rank[n][at]
-                    counts[n][hit[codes[hit] == got]] += 1
+                for n, c in counts.items():
+                    got = np.unique(index.numbers(ids, n))
+                    c[got[got >= 0]] += 1
         for n, c in counts.items():
             some = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), n, np.int32)), pa.array(some), pa.array(c[some])], ["size", "shingle", "n"])
 
-    out = {n: np.zeros(len(known), np.int64) for n, known in index.shingles.items()}
+    out = {n: np.zeros(index.kinds(n), np.int64) for n in index.levels}
     summed = docs.select("text").mapInArrow(run, "size int, shingle long, n long").groupBy("size", "shingle").agg(F.sum("n").alias("n"))
     for r in summed.toLocalIterator():
         out[r["size"]][r["shingle"]] = r["n"]
@@ -178,7 +208,7 @@ def with_hits(docs: DataFrame, items: DataFrame, name: str, window: int = WINDOW
     """docs with a struct column ``name`` of n_words, spans (begin, end, begin, ...) and item ids."""
     spark, out, first = docs.sparkSession, docs, True
     for index in blocks(items, window):
-        if index.windows:
+        if index.owners:
             index.arm(rarity(docs, index))
         held = spark.sparkContext.broadcast(index)
 
@@ -191,7 +221,7 @@ def with_hits(docs: DataFrame, items: DataFrame, name: str, window: int = WINDOW
                     old = before[k].as_py()
                     spans += zip(old["spans"][::2], old["spans"][1::2])
                     owners.update(old["items"])
-                if index.windows and words:
+                if index.owners and words:
                     for a, b, w in index.spans(index.ids(words)):
                         spans.append((a, b))
                         owners.update(index.owners[w])
