@@ -3,17 +3,21 @@
 Tokens are summed per source, each source's target over its tokens is its
 repetition rate, and a document is emitted floor(rate) times, and once more
 with probability equal to the fraction. The coin is a hash of seed, id and
-text, so reruns agree and copies of a row fall alike.
+text, so reruns agree. Rows of a source with equal id and text would all have one
+coin: n of them take floor(n * fraction) more copies for certain, and the coin
+decides on one further copy only.
 
 Targets: sources take weights 1, 2, 3 in turn by name (null last) and share
 all tokens by weight; none goes over CAP times its own tokens, and what is over
 is shared again. That fixed point is ``min(CAP * size, level * weight)``, and
 the level follows from running sums over sources ordered by ``size / weight``.
 
-Defined results: a null text has size 0. A source without tokens has target 0
-and its documents are not taken. A null source is a source of its own.
-Repeated rows get equal answers. Extra columns are not read, and are kept by
-``mixed``.
+Defined results: a null text has size 0; texts are read whole at any length. A
+source without tokens has target 0 and its documents are not taken. A null source
+is a source of its own. Equal rows get equal answers but for the further copies,
+which some of them take; which ones is not defined, as they are equal. Sources
+that are equally full when shared out are taken in order of their names. An empty
+table gives no rows. Extra columns are not read, and are kept by ``mixed``.
 """
 
 from __future__ import annotations
@@ -58,43 +62,71 @@ def targets(sized: DataFrame) -> DataFrame:
     return level.select("source", "source_size", target.alias("target"))
 
 
-def coin(doc_id: str = "doc_id", text: str = "text"):
-    """A uniform number in [0, 1) from seed, id and text: 52 bits of an md5."""
+def digest(doc_id: str = "doc_id", text: str = "text"):
+    """An md5, in hex, of seed, id and text."""
     said = F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text), F.lit("")))
-    return F.conv(F.substring(F.md5(said.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+    return F.md5(said.cast("binary"))
 
 
-#: A source table of at most this many rows is broadcast; a larger one is joined by shuffle.
+def coin(digest_: str):
+    """A uniform number in [0, 1): 52 bits of the digest."""
+    return F.conv(F.substring(digest_, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
+#: A table of at most this many rows is broadcast; a larger one is joined by shuffle.
 SMALL = 10_000
+#: Columns that are added to a row.
+OWN = ["__mix_digest", "__mix_size", "__mix_target", "__mix_copies"]
+
+
+def held(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= SMALL else df
 
 
-def goals(docs: DataFrame) -> DataFrame:
-    """(__mix_source, __mix_size, __mix_target) of each source, written once, marked for broadcast if it is small."""
-    of = targets(docs.select("source", word_count().alias("size")))
-    goal = written(of.select(F.col("source").alias("__mix_source"), F.col("source_size").alias("__mix_size"), F.col("target").alias("__mix_target")), "mix-targets")
-    return F.broadcast(goal) if goal.count() <= SMALL else goal
+def facts(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, size, __mix_digest) of each row of docs, written once: the only pass that counts words."""
+    return written(docs.select("doc_id", "source", word_count().alias("size"), digest().alias("__mix_digest")), "mix-facts")
 
 
-def with_copies(docs: DataFrame) -> DataFrame:
-    """docs with its source's figures and ``__mix_copies``: floor(rate), and one more where the coin falls under the fraction."""
-    goal = goals(docs)
-    met = docs.join(goal, docs["source"].eqNullSafe(goal["__mix_source"]))
+def with_copies(rows: DataFrame, facts_: DataFrame) -> DataFrame:
+    """rows of (source, __mix_digest, ...) with OWN: its source's figures and how often the mix takes the row."""
+    goal = held(written(targets(facts_).select(F.col("source").alias("__mix_source"), F.col("source_size").alias("__mix_size"), F.col("target").alias("__mix_target")), "mix-targets"))
+    met = rows.join(goal, rows["source"].eqNullSafe(goal["__mix_source"]))
     rate = F.when(F.col("__mix_size") > 0, F.col("__mix_target") / F.col("__mix_size")).otherwise(F.lit(0.0))
-    whole = F.floor(rate)
-    return met.withColumn("__mix_copies", (whole + (coin() < rate - whole).cast("long")).cast("long"))
+    names, whole = [*rows.columns, *OWN[1:3]], F.floor(rate)
+    more = (coin("__mix_digest") < rate - whole).cast("long")
+    again = facts_.groupBy(F.col("source").alias("__mix_from"), F.col("__mix_digest").alias("__mix_twin")).agg(F.count(F.lit(1)).alias("__mix_n")).where(F.col("__mix_n") > 1)
+    again = held(written(again, "mix-again"))
+    if again.isEmpty():
+        return met.select(*names, (whole + more).cast("long").alias("__mix_copies"))
+    same = met["source"].eqNullSafe(again["__mix_from"]) & (met["__mix_digest"] == again["__mix_twin"])
+    alone = met.join(again, same, "left_anti").select(*names, (whole + more).cast("long").alias("__mix_copies"))
+    # equal rows are numbered within each part of the table they were written in, and the parts one after the other, so a group of any size is dealt out
+    twins = written(met.join(again, same).select(*names, "__mix_n", F.spark_partition_id().alias("__mix_part")), "mix-twins")
+    group = ["source", "__mix_digest"]
+    before = F.sum("__mix_c").over(Window.partitionBy(*group).orderBy("__mix_part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = twins.groupBy(*group, "__mix_part").agg(F.count(F.lit(1)).alias("__mix_c")).withColumn("__mix_before", F.coalesce(before, F.lit(0)))
+    parts = parts.select(F.col("source").alias("__mix_s"), F.col("__mix_digest").alias("__mix_d"), F.col("__mix_part").alias("__mix_p"), "__mix_before")
+    at = F.row_number().over(Window.partitionBy(*group, "__mix_part").orderBy("__mix_digest")) + F.col("__mix_before")
+    numbered = twins.join(parts, twins["source"].eqNullSafe(parts["__mix_s"]) & (twins["__mix_digest"] == parts["__mix_d"]) & (twins["__mix_part"] == parts["__mix_p"])).withColumn("__mix_at", at)
+    share = F.col("__mix_n") * (rate - whole)
+    sure = F.floor(share)
+    more = ((F.col("__mix_at") <= sure) | ((F.col("__mix_at") == sure + 1) & (coin("__mix_digest") < share - sure))).cast("long")
+    return alone.unionByName(numbered.select(*names, (whole + more).cast("long").alias("__mix_copies")))
 
 
 def planned(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, copies, taken) of each row of (doc_id, text, source)."""
-    met = with_copies(docs.select("doc_id", "source", "text")).withColumn("size", word_count())
+    rows = facts(docs)
+    met = with_copies(rows, rows)
     return met.select("doc_id", "size", F.col("__mix_size").alias("source_size"), F.col("__mix_target").alias("target"), F.col("__mix_copies").alias("copies"), (F.col("__mix_copies") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """Every row of docs as often as the mix takes it, with all its columns and the number of the copy."""
     at = "__mix_copy" if "copy" in docs.columns else "copy"
-    taken = with_copies(docs).where(F.col("__mix_copies") > 0)
-    return taken.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int"))).alias(at))
+    taken = with_copies(docs.withColumn("__mix_digest", digest()), facts(docs)).where(F.col("__mix_copies") > 0)
+    return taken.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__mix_copies").cast("int"))).alias(at))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +136,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = rf"""
 WITH sized AS (
   SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '{PLAIN_WORD}')) END AS size,
-         CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 13) AS BIGINT) / 4503599627370496.0 AS coin
+         md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS digest
   FROM documents
 ), sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
 ), weighed AS (
@@ -122,9 +154,12 @@ WITH sized AS (
               ELSE CAST(weight * (SELECT rest FROM level) AS DOUBLE) / CAST((SELECT open FROM level) AS DOUBLE) END AS target
   FROM run
 ), rated AS (
-  SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, g.source_size, g.target, d.coin, CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0.0 END AS rate
-  FROM sized d JOIN goal g ON d.source IS NOT DISTINCT FROM g.source
+  SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, g.source_size, g.target, CAST('0x' || substr(d.digest, 1, 13) AS BIGINT) / 4503599627370496.0 AS coin,
+         CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0.0 END AS rate,
+         count(*) OVER same AS n, row_number() OVER (same ORDER BY d.doc_id) AS place
+  FROM sized d JOIN goal g ON d.source IS NOT DISTINCT FROM g.source WINDOW same AS (PARTITION BY d.source, d.digest)
+), shared AS (SELECT *, n * (rate - floor(rate)) AS share FROM rated
 )
 SELECT doc_id, size, source_size, target,
-       CAST((CAST(floor(rate) AS BIGINT) + CASE WHEN coin < rate - floor(rate) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM rated
+       CAST((CAST(floor(rate) AS BIGINT) + CASE WHEN place <= floor(share) OR place = floor(share) + 1 AND coin < share - floor(share) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM shared
 """
