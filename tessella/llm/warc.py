@@ -5,9 +5,13 @@ record (title, language, links) and a conversion record (the page's plain
 text). Both refer to the response by its identifier and carry its target URI
 and date; digests are SHA-1 in base 32 as in WARC files.
 
+Pages are read whole at any length, in time that grows with their length: each
+search that fails once is not made again further on.
+
 Defined results: a null url leaves the target URI out, a null html is an empty
-page; both still give three records. Repeated rows give equal records. Extra
-columns are not read.
+page; both still give three records. Bytes that are not UTF-8 become replacement
+characters. Of several titles the first counts. Repeated rows give equal records;
+an empty table gives none. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -23,19 +27,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import table
+from tessella.llm.common import strings, table
 
 DATE = "1970-01-01T00:00:00Z"
 SPACE = uuid.UUID("7f3c2d52-7f0e-5a3b-9c39-6a7f5f5a7c11")
 END = "\r\n\r\n"
 
-_HIDDEN = re.compile(r"<!--.*?-->|<(script|style|noscript|template|head)\b[^>]*>.*?</\1\s*>", re.S | re.I)
-_BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|main|blockquote|pre|hr|title|body|html)\b[^>]*>", re.I)
-_CELL = re.compile(r"</?(?:td|th|option|select|button|input|label|img|iframe)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[!/?a-zA-Z][^>]*>")
-_TITLE = re.compile(r"<title[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*\blang\s*=\s*[\"']?([\w-]+)", re.I)
-_HREF = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_HIDDEN = re.compile(r"<!--|<(script|style|noscript|template|head)\b", re.I)
+_CLOSED = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "noscript", "template", "head", "title")}
+_TAG = re.compile(r"<(?:/?([a-zA-Z][a-zA-Z0-9]*)|[!/?])[^>]*>")
+_BREAK = frozenset("p div br li ul ol h1 h2 h3 h4 h5 h6 tr table section article header footer nav main blockquote pre hr title body html".split())
+_CELL = frozenset("td th option select button input label img iframe".split())
+_TITLE = re.compile(r"<title[^>]*>", re.I)
+_HTML = re.compile(r"<html\b[^>]*>", re.I)
+_LANG = re.compile(r"\blang\s*=\s*[\"']?([\w-]+)", re.I)
+_ANCHOR = re.compile(r"<a\b[^>]*", re.I)
+_HREF = re.compile(r"\bhref\s*=\s*", re.I)
+_VALUE = re.compile(r"[^\s>]+")
 _BLANKS, _LINES = re.compile(r"[^\S\n]+"), re.compile(r"\s*\n\s*")
 
 
@@ -43,12 +51,78 @@ def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def shown(page: str) -> str:
+    """The page with a blank in place of each comment and each element whose content is not shown; unclosed ones stay."""
+    out, at, gone = [], 0, set()
+    for m in _HIDDEN.finditer(page):
+        kind = (m[1] or "!").lower()
+        if m.start() < at or kind in gone:
+            continue
+        if kind == "!":
+            end = page.find("-->", m.end()) + 3
+            closed = end > 2
+        else:
+            opened = page.find(">", m.end()) if ">" not in gone else -1
+            if opened < 0:
+                gone.add(">")
+                continue
+            c = _CLOSED[kind].search(page, opened + 1)
+            closed, end = c is not None, c.end() if c else 0
+        if not closed:
+            gone.add(kind)
+            continue
+        out += [page[at : m.start()], " "]
+        at = end
+    return "".join(out) + page[at:]
+
+
+def _instead(tag: re.Match) -> str:
+    kind = (tag[1] or "").lower()
+    return "\n" if kind in _BREAK else " " if kind in _CELL else ""
+
+
 def plain_text(page: str) -> str:
     """The page's visible text: a line for each block, a blank between cells, nothing in place of inline tags."""
-    text = _TAG.sub("", _CELL.sub(" ", _BREAK.sub("\n", _HIDDEN.sub(" ", page))))
+    text = shown(page)
+    end = text.rfind(">") + 1  # no tag ends beyond
+    text = _TAG.sub(_instead, text[:end]) + text[end:]
     return _LINES.sub("\n", _BLANKS.sub(" ", entities.unescape(text))).strip()
 
 
+def title_of(page: str) -> str | None:
+    m = _TITLE.search(page, 0, page.rfind(">") + 1)
+    end = _CLOSED["title"].search(page, m.end()) if m else None
+    return page[m.end() : end.start()] if end else None
+
+
+def language_of(page: str) -> str | None:
+    for m in _HTML.finditer(page, 0, page.rfind(">") + 1):
+        if said := _LANG.search(m[0]):
+            return said[1].lower()
+    return None
+
+
+def links_of(page: str) -> list[str]:
+    """Targets of the page's anchors, in order; a quoted one may hold any character but its quote."""
+    out, at, gone = [], 0, set()
+    for m in _ANCHOR.finditer(page):
+        h = _HREF.search(page, m.start(), m.end()) if m.start() >= at else None
+        if h is None:
+            continue
+        start, quote = h.end(), page[h.end() : h.end() + 1]
+        if quote in ('"', "'") and quote not in gone:
+            end = page.find(quote, start + 1)
+            if end >= 0:
+                out.append(page[start + 1 : end])
+                at = end
+                continue
+            gone.add(quote)
+        if value := _VALUE.match(page, start):
+            out.append(value[0])
+            at = value.end()
+    return out
+
+
 @dataclass
 class Record:
     """A record's named fields, in order, and its block."""
@@ -85,12 +159,11 @@ def derived(source: Record) -> tuple[Record, Record]:
     head, _, body = source.block.partition(b"\r\n\r\n")
     page = body.decode("utf-8", "replace")
     uri, ident = source.fields.get("WARC-Target-URI"), source.id
-    title = _TITLE.search(page)
-    lang = _LANG.search(page)
-    lines = [("title", " ".join(entities.unescape(title[1]).split()))] if title else []
-    lines += [("language", lang[1].lower())] if lang else []
+    title, lang = title_of(page), language_of(page)
+    lines = [("title", " ".join(entities.unescape(title).split()))] if title is not None else []
+    lines += [("language", lang)] if lang else []
     lines += [("http-" + k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in head.decode("latin-1").split("\r\n")[1:])]
-    lines += [("outlink", " ".join(entities.unescape(a or b or c).split())) for a, b, c in _HREF.findall(page)]
+    lines += [("outlink", " ".join(entities.unescape(x).split())) for x in links_of(page)]
     kept = {"WARC_Refers_To": ident, "WARC_Refers_To_Date": source.fields["WARC-Date"]} | ({"WARC_Refers_To_Target_URI": uri} if uri is not None else {})
     meta = _record("metadata", uuid.uuid5(SPACE, "metadata\n" + ident), uri, "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in lines).encode(), **kept)
     said = plain_text(page).encode()
@@ -124,7 +197,7 @@ def records(pages: DataFrame, kinds: tuple[str, ...] = ("response", "metadata",
     def run(batches):
         for batch in batches:
             ids, rows = [], []
-            for page_id, url, page in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html"))):
+            for page_id, url, page in zip(batch.column("page_id").to_pylist(), strings(batch.column("url")), strings(batch.column("html"))):
                 source = response(page_id, url, page)
                 for r in (source, *derived(source)):
                     f = r.fields
@@ -146,7 +219,7 @@ def write_warc(rows: DataFrame, path: str) -> None:
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = records(table(spark, sf_dir, "pages"), kinds=("metadata", "conversion"))
     return got.select(
-        "page_id", "kind", "record_id", "refers_to", "target_uri", "block_digest", "payload_digest", "content_length",
+        "page_id", "kind", "record_id", "refers_to", "target_uri", "block_digest", "payload_digest", "content_length", "headers", "content",
         F.sha2(F.col("headers").cast("binary"), 256).alias("headers_sha256"),
         F.sha2(F.col("content").cast("binary"), 256).alias("content_sha256"),
     )
