@@ -5,10 +5,12 @@ with one between), present or absent in a text. Each coordinate has its own
 learning rate, and L1 leaves few weights, so the model travels as a short list
 of (feature, weight).
 
-Defined results: a null or wordless text scores as the bias alone. Documents
-labelled more than once are toxic if any label says so; null labels teach
-nothing, and without any training row every score is next to 0. Repeated rows
-get equal scores. Extra columns are not read.
+Defined results: a null or wordless text scores as the bias alone. Texts are read
+whole at any length. Documents labelled more than once are toxic if any label says
+so, and of rows that repeat an id the one with the smallest list of features
+teaches; null labels teach nothing, and without any training row every score is
+next to 0. Repeated rows get equal scores; an empty table gives no rows. Extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -21,11 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import fold_of, folded_words, mixed, table, utf8
+from tessella.llm.common import dropped, fold_of, folded_words, mixed, table, utf8, written
 
 DIMENSIONS = 1 << 20
 #: Labelled rows of each class that the model is fitted on, at most, as an expectation of a hashed draw.
 SAMPLE_PER_CLASS = 5000
+#: Bytes of text of the training rows of each class, at most, as an expectation of the same draw.
+SAMPLE_BYTES = 64_000_000
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 10.0, 1.0, 6
 THRESHOLD = 0.3
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -73,18 +77,20 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_CLASS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_CLASS, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """A model from (doc_id, text) and (doc_id, toxic).
 
-    The draw by a hash of the id bounds the training rows at any corpus size;
-    classes drawn at different rates are weighed back to their shares. One task
-    runs the sequential updates over this bounded table, in hash order.
+    The draw by a hash of the id bounds rows and bytes of the training rows at
+    any corpus size; classes drawn at different rates are weighed back to their
+    shares. The updates are sequential: each epoch one task reads this bounded
+    table row by row, in hash order, and hands the state on.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {int(r["toxic"]): r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return Model(np.zeros(DIMENSIONS), -30.0)
-    rates = {c: min(1.0, sample_per_class / n) for c, n in sizes.items()}
+    mean = docs.agg(F.avg(F.octet_length("text")).alias("b")).first()["b"] or 1.0
+    rates = {c: min(1.0, sample_per_class / n, sample_bytes / (mean * n)) for c, n in sizes.items()}
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     limit = F.create_map(*[F.lit(x) for c, r in rates.items() for x in (c, int(r * (1 << 30)))])
     # at most about 2 * sample_per_class rows of two numbers: small by the parameter, so it may be broadcast
@@ -99,27 +105,36 @@ def fit(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_C
 
     kinds = dict(docs.select("doc_id").dtypes) | dict(labels.select("toxic").dtypes)
     rows = docs.select("doc_id", "text").join(drawn, "doc_id").select("doc_id", "toxic", "text").mapInArrow(hashed, f"doc_id {kinds['doc_id']}, toxic {kinds['toxic']}, f array<int>")
-    rows = rows.withColumn("o", F.xxhash64("doc_id", F.lit(7))).repartition(1).sortWithinPartitions("o", "doc_id", "f")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("f").alias("f")).withColumn("o", F.xxhash64("doc_id", F.lit(7)))
+    rows = written(rows.repartition(1).sortWithinPartitions("o", "doc_id").select("o", "doc_id", "toxic", "f"), "toxic-rows")
+    state = Ftrl()
+    for _ in range(EPOCHS):
+        state = epoch(rows, state, importance)
+    dropped(docs.sparkSession, rows)
+    weights = state.weights(np.arange(DIMENSIONS + 1))
+    return Model(weights[:DIMENSIONS], float(weights[DIMENSIONS]))
 
-    def train(batches):
-        seen = [(int(y), np.append(f.astype(np.int64), DIMENSIONS)) for b in batches for y, f in zip(b.column("toxic").to_pylist(), (x.values.to_numpy() for x in b.column("f")))]
+
+def epoch(rows: DataFrame, state: Ftrl, importance: dict[int, float]) -> Ftrl:
+    """The state after one pass over the rows, in their order; what travels are the coordinates met so far."""
+    some = np.flatnonzero(state.n)
+    held = rows.sparkSession.sparkContext.broadcast((some, state.z[some], state.n[some]))
+
+    def run(batches):
+        at, z, n = held.value
         state = Ftrl()
-        for _ in range(EPOCHS):
-            for y, f in seen:
-                state.learn(f, int(y > 0), importance[y])
+        state.z[at], state.n[at] = z, n
+        for batch in batches:
+            for y, f in zip(batch.column("toxic").to_pylist(), batch.column("f")):
+                state.learn(np.append(f.values.to_numpy().astype(np.int64), DIMENSIONS), int(y > 0), importance[y])
         at = np.flatnonzero(state.n)
-        w = state.weights(at)
-        at, w = at[w != 0], w[w != 0]
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w)], ["feature", "weight"])
-
-    got = rows.select("toxic", "f").mapInArrow(train, "feature long, weight double").toPandas()
-    weights, bias = np.zeros(DIMENSIONS), 0.0
-    for f, w in zip(got["feature"], got["weight"]):
-        if f == DIMENSIONS:
-            bias = float(w)
-        else:
-            weights[int(f)] = w
-    return Model(weights, bias)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(state.z[at]), pa.array(state.n[at])], ["at", "z", "n"])
+
+    got = rows.coalesce(1).sortWithinPartitions("o", "doc_id").select("toxic", "f").mapInArrow(run, "at long, z double, n double").toArrow()  # at most DIMENSIONS + 1 rows
+    out, at = Ftrl(), got.column("at").to_numpy()
+    out.z[at], out.n[at] = got.column("z").to_numpy(), got.column("n").to_numpy()
+    held.unpersist()
+    return out
 
 
 def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
