@@ -6,8 +6,12 @@ The list becomes one ordered Spark conditional expression; a text that no rule
 rejects is kept.
 
 Defined results: a null or wordless text has measures of 0, fails the base
-rules and is not kept. Null labels and labels of unknown documents teach
-nothing; without labels the list is empty. Extra columns are not read.
+rules and is not kept. Texts are read whole at any length. Null labels and labels
+of unknown documents teach nothing; of rows that repeat an id the one with the
+smallest statistics teaches, and the worst of its labels counts. Of conditions
+that gain equally the first one grows a rule: statistics in their order, then
+lower cuts. Without labels the list is empty; an empty table gives no rows. Extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -197,13 +201,12 @@ def drawn_labels(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 def fit(measures_: DataFrame, drawn: DataFrame) -> list[Rule]:
     """Rules from (doc_id, MEASURES...) and the drawn labels; base failures teach nothing."""
+    names = list(statistics())
     once = measures_.select("doc_id", *(c.alias(s) for s, c in statistics().items()), base_failed().alias("failed"))
-    # the draw is small by its parameter, so it may be broadcast
-    rows = once.join(F.broadcast(drawn), "doc_id").where(~F.col("failed")).drop("failed").toPandas()
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
-    ids = rows["doc_id"].to_numpy(np.uint64)
-    grow = (ids * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(3) != 0
-    return learn({s: rows[s].to_numpy() for s in statistics()}, rows["quality"].to_numpy() == 0, grow)
+    # the draw is small by its parameter, so it may be broadcast; an id that repeats is one row of the draw
+    met = once.join(F.broadcast(drawn), "doc_id").where(~F.col("failed")).groupBy("doc_id", "quality").agg(F.min(F.struct(*names)).alias("x"))
+    rows = met.select("quality", "x.*", F.xxhash64("doc_id", F.lit(5)).alias("o"), F.col("doc_id").cast("string").alias("i")).toPandas().sort_values(["o", "i"])
+    return learn({s: rows[s].to_numpy() for s in names}, rows["quality"].to_numpy() == 0, rows["o"].to_numpy(np.int64) % 3 != 0)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
