@@ -7,9 +7,11 @@ A text's verdict comes from the number of trigrams whose mask has a language's
 bit, less the share that false positives add.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0.
-Without any training row every text is ``und``. Ties go to the language with
-more training rows, then to the smaller name. Repeated rows get equal answers.
-Extra columns of the input are not read.
+Without any training row every text is ``und``. Texts are read whole at any
+length, window by window. Bytes that are not UTF-8 become replacement characters,
+which are no letters. Ties go to the language with more training rows, then to the
+smaller name. Repeated rows get equal answers; an empty table gives no rows. Extra
+columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -53,21 +55,20 @@ def _letters() -> np.ndarray:
 
 def grams(text: str):
     """Hashed trigrams of the text's words, each with a blank on both sides; window by window."""
-    table_ = _letters()
+    table_, last = _letters(), np.array([32], dtype=np.uint32)
     for at in range(0, max(len(text), 1), WINDOW):
-        part = text[max(0, at - 2) : at + WINDOW]
-        cp = table_[np.frombuffer(part.encode("utf-32-le", "replace"), dtype=np.uint32)]
-        edge_left = np.array([32] if at == 0 else [], dtype=np.uint32)
-        edge_right = np.array([32] if at + WINDOW >= len(text) else [], dtype=np.uint32)
-        cp = np.concatenate([edge_left, cp, edge_right])
+        cp = table_[np.frombuffer(text[at : at + WINDOW].encode("utf-32-le", "replace"), dtype=np.uint32)]
+        edge = np.array([32] if at + WINDOW >= len(text) else [], dtype=np.uint32)
+        cp = np.concatenate([last, cp, edge])
         blank = cp == 32
         keep = np.ones(len(cp), dtype=bool)
         keep[1:] = ~(blank[1:] & blank[:-1])
-        cp = cp[keep].astype(np.uint64)
+        cp = cp[keep]
+        last = cp[-2:]  # what a trigram over the windows' edge begins with, runs of blanks being one
         if len(cp) < ORDER:
             continue
-        g = (cp[:-2] << np.uint64(42)) | (cp[1:-1] << np.uint64(21)) | cp[2:]
-        yield g
+        cp = cp.astype(np.uint64)
+        yield (cp[:-2] << np.uint64(42)) | (cp[1:-1] << np.uint64(21)) | cp[2:]
 
 
 def _slots(g: np.ndarray) -> list[np.ndarray]:

@@ -11,7 +11,11 @@ and its subdomains, and ``*`` cannot leave the host.
 
 Defined results: a null URL, or one without ``://``, has empty host and path, no
 rule, and the verdict that the method's own globs give to the empty address
-(allow). Repeated rows get equal answers; extra columns are not read.
+(allow). URLs are read whole; one is advanced byte by byte, so a batch takes as
+many steps as its longest URL has bytes, each over the URLs that still go on. Of
+rules that are equally long the first one listed decides; two that fit one URL
+cannot be equally long unless they are equal. Repeated rows get equal answers; an
+empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
