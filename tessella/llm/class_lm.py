@@ -5,92 +5,131 @@ raises the likelihood of the class bigrams. A token then costs
 log10 P(class | class before) + log10 P(word | class).
 
 The first classes come from an exact exchange of the OWN most frequent words and
-of suffix groups of all others. Then passes over all words move each by itself:
-a pass counts the classes before and after each word and the class bigrams,
-exactly, under the classes it begins with; all words move against these counts.
-The classes of the likeliest pass are the model's.
-
-All training tokens are counted. Words whose counts are among the greatest
-HEAD travel to the tasks as a bounded table, with their classes; every other
-word's count, neighbours and class are found by joins, so no table that grows
-with the corpus is broadcast or collected. A word without a training row has no
-neighbours to tell its class: it takes the one of most rare words of its suffix group.
-
-Defined results: a null or empty text has one token, the end. Without training
-rows N and V are 0, nothing is known and every probability is uniform. Repeated
-rows get equal scores. Extra columns are not read.
+of suffix groups of all others. Then the HEAD most frequent words move, one by
+one, in up to PASSES passes: each counts the class bigrams and the classes before
+and after each of these words, exactly, over all training tokens. At last every
+other word leaves its suffix group for the class that its own neighbours in the
+head, whose classes are settled, make likeliest; it moves once. Of the classes
+before and after that move the likelier ones are the model's, with their bigrams
+counted exactly.
+
+Texts are read once: from then on a word is its 64-bit hash and its suffix group,
+so a word of any length is eight bytes, and two of a billion words have one hash
+with a probability of 3 %. All training tokens are counted. The head travels to
+the tasks as a bounded table; every other word's count, neighbours and class are
+found by joins, so no table that grows with the corpus is broadcast or collected.
+A word without a training row has no neighbours to tell its class: it takes the
+one of most words of its suffix group outside the head.
+
+Defined results: a null or empty text has one token, the end. Texts are read
+whole at any length. Without training rows N and V are 0, nothing is known and
+every probability is uniform; an empty table gives no rows. Ties: of equally
+frequent words the one with the smaller hash comes first in the head; of classes that gain equally
+a word takes the first, and it moves only for a gain. Repeated rows get equal
+scores. Extra columns are not read.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import dropped, fold_of, plain_words, table, utf8, written
+from tessella.llm.common import dropped, fold_of, mixed, plain_words, table, utf8, written
 
 #: For the first classes: words with a symbol of their own; groups of the other words, by their last SUFFIX bytes. Classes.
 OWN, GROUPS, SUFFIX, CLASSES = 768, 256, 3, 48
 ROUNDS = 6
-#: Passes over all words, at most; none follows one that raised the log-likelihood by less than LEAST a token.
+#: Passes over the head's words, at most; none follows one that raised the log-likelihood by less than LEAST a token.
 PASSES, LEAST = 4, 0.002
 #: Classes with the end's; counts kept of a word (classes after it, before it, itself after itself); words a block of them.
 ALL = CLASSES + 1
 CELLS, BLOCK = 2 * ALL + 1, 500
-#: Words outside the head that a task moves at a time.
-TOGETHER = 200
-#: Words that travel to the tasks, at most, each of at most LONGEST bytes.
-HEAD, LONGEST = 100_000, 64
-#: Distinct words that a task holds before it passes their counts on.
-FLUSH = 300_000
+#: Words outside the head that a task moves at a time, at most; and at most a tenth of a batch, so that few move unseen by each other.
+TOGETHER = 2000
+#: Words that travel to the tasks, at most; tokens that a task works on at once, but for a longer text.
+HEAD, TOKENS = 100_000, 300_000
 ADD = 0.5
-END = b""
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    return plain_words(text.lower()) if text else []
+def hashes(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word of the text its hash, and the group of its last SUFFIX bytes."""
+    words = plain_words(text.lower()) if text else []
+    n = len(words)
+    if not n:
+        return np.empty(0, np.int64), np.empty(0, np.uint8)
+    hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n).view(np.int64)
+    sizes = np.fromiter(map(len, words), np.int64, n)
+    ends, flat = np.cumsum(sizes), np.frombuffer(b"".join(words), np.uint8)
+    suffix = np.zeros(n, np.uint64)
+    for k in range(1, SUFFIX + 1):
+        byte = flat[np.maximum(ends - k, 0)].astype(np.uint64) + np.uint64(1)
+        suffix = suffix * np.uint64(257) + np.where(sizes >= k, byte, np.uint64(0))
+    return hashed, (mixed(suffix) % np.uint64(GROUPS)).astype(np.uint8)
 
 
-def group_of(word: bytes) -> int:
-    return zlib.crc32(word[-SUFFIX:]) % GROUPS
+def hashed(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keep..., h, g) of each row of docs: hashes of the text's words, eight bytes each, and a byte for the group of each."""
+    rows = docs.select(*keep, "text")
 
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                told = [hashes(t) for t in utf8(part.column("text"))]
+                both = [pa.array([x.tobytes() for x in column], pa.binary()) for column in zip(*told)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *both], [*keep, "h", "g"])
 
-def counted(docs: DataFrame) -> DataFrame:
-    """(word, c) of every training token; the end is the empty word."""
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields if f.name in keep)
+    return rows.mapInArrow(run, fields + "h binary, g binary")
 
-    def run(batches):
-        own: Counter = Counter()
 
-        def out():
-            got = pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.int64())], ["word", "c"])
-            own.clear()
-            return got
+def chunks(batch: pa.RecordBatch):
+    """(first row, rows, words of each, hashes, groups) of a batch of hashed texts, some TOKENS at a time."""
+    h, g, at = batch.column("h"), batch.column("g"), 0
+    sizes = pa.compute.binary_length(g).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    while at < len(sizes):
+        n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOKENS, "right")) - at)
+        yield at, n, sizes[at : at + n], *(np.frombuffer(b"".join(c.slice(at, n).to_pylist()), kind) for c, kind in ((h, np.int64), (g, np.uint8)))
+        at += n
+
 
+def counted(texts: DataFrame) -> DataFrame:
+    """(h, c, g) of every training word, from hashed texts."""
+
+    def run(batches):
         for batch in batches:
-            for text in utf8(batch.column("text")):
-                own.update(tokens(text))
-                own[END] += 1
-                if len(own) > FLUSH:
-                    yield out()
-        yield out()
+            for _, _, _, h, g in chunks(batch):
+                word, first, c = np.unique(h, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(c), pa.array(g[first].astype(np.int32))], ["h", "c", "g"])
 
-    return docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return texts.select("h", "g").mapInArrow(run, "h long, c long, g int").groupBy("h").agg(F.sum("c").alias("c"), F.min("g").alias("g"))
 
 
 @dataclass
 class Symbols:
-    """The head table. Symbols: own words, then suffix groups, then the end."""
+    """The head table: codes rise as counts fall. Symbols: own words, then suffix groups, then the end."""
 
-    words: dict[bytes, int]
-    counts: np.ndarray
+    keys: np.ndarray  # sorted hashes
+    order: np.ndarray  # their codes
+    counts: np.ndarray  # by code
     symbols: np.ndarray
 
+    @classmethod
+    def of(cls, rows: list[tuple[int, int, int]]) -> Symbols:
+        """rows: (hash, count, group) of the head's words."""
+        rows = sorted(rows, key=lambda x: (-x[1], x[0]))
+        h = np.array([x[0] for x in rows], dtype=np.int64)
+        order = np.argsort(h)
+        symbols = np.array([k if k < OWN else OWN + x[2] for k, x in enumerate(rows)], dtype=np.int64)
+        return cls(h[order], order.astype(np.int32), np.array([x[1] for x in rows], dtype=np.float64), symbols)
+
     @property
     def size(self) -> int:
         return OWN + GROUPS + 1
@@ -99,10 +138,20 @@ class Symbols:
     def end(self) -> int:
         return len(self.counts)
 
-    def codes(self, words: list[bytes]) -> np.ndarray:
-        """Of each word its index, or that of the end plus 1 plus its suffix group."""
-        get, other = self.words.get, self.end + 1
-        return np.array([other + group_of(w) if (k := get(w)) is None else k for w in words], dtype=np.int32)
+    def codes(self, h: np.ndarray, g: np.ndarray) -> np.ndarray:
+        """Of each word its code, or that of the end plus 1 plus its suffix group."""
+        other = (self.end + 1 + g.astype(np.int32)).astype(np.int32)
+        if not self.end:
+            return other
+        at = np.minimum(np.searchsorted(self.keys, h), self.end - 1)
+        return np.where(self.keys[at] == h, self.order[at], other)
+
+    def laid(self, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of texts one after the other, the end before the first and after each; and where the words stand."""
+        at = np.arange(len(codes)) + 1 + np.repeat(np.arange(len(sizes)), sizes)
+        seq = np.full(len(codes) + len(sizes) + 1, self.end, np.int32)
+        seq[at] = codes
+        return seq, at
 
     def first(self) -> np.ndarray:
         """The first exchange's symbol of each code."""
@@ -112,71 +161,60 @@ class Symbols:
 def head_of(counts: DataFrame) -> Symbols:
     """The most frequent words."""
     step = F.floor(F.log2("c") * 16)
-    usual = (F.length("word") > 0) & (F.length("word") <= LONGEST)
-    steps = sorted(((r["s"], r["n"]) for r in counts.where(usual).groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    steps = sorted(((r["s"], r["n"]) for r in counts.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
     total, least = 0, (steps[0][0] + 1 if steps else 0)
     for s, n in steps:
         if total + n > HEAD:
             break
         total, least = total + n, s
-    chosen = usual & (step >= least)
-    rows = sorted(((bytes(r["word"]), r["c"]) for r in counts.where(chosen).collect()), key=lambda x: (-x[1], x[0]))
-    symbols = np.array([k if k < OWN else OWN + group_of(w) for k, (w, _) in enumerate(rows)], dtype=np.int64)
-    return Symbols({w: k for k, (w, _) in enumerate(rows)}, np.array([c for _, c in rows], dtype=np.float64), symbols)
+    return Symbols.of([(r["h"], r["c"], r["g"]) for r in counts.where(step >= least).collect()])  # at most HEAD rows
+
 
+def listed(groups: np.ndarray, n: int, values: np.ndarray) -> pa.Array:
+    """Binary cells of 32-bit values, which stand in the order of their groups 0 to n - 1."""
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(groups, minlength=n))]).astype(np.int32) * 4
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(values.astype(np.int32).tobytes())])
 
-def passed(docs: DataFrame, symbols: Symbols) -> DataFrame:
+
+def passed(texts: DataFrame, symbols: Symbols) -> DataFrame:
     """Codes of all texts, with the end around each, and what stands around each word outside the head.
 
-    Rows have either ``seq``, or ``word`` with its count ``c``, its pairs with itself ``s`` and ``around``: 2 * code of
-    the word before, 2 * code + 1 of the word after; or ``word`` and ``after``, where both are outside the head.
+    Rows have either ``seq`` (32 bits a code), or ``h`` with its group ``g``, count ``c``, pairs with itself ``s`` and ``around``: of its
+    neighbours in the head, 2 * code of one before, 2 * code + 1 of one after; or ``h`` and ``after``, where both are
+    outside the head and differ.
     """
-    held = docs.sparkSession.sparkContext.broadcast(symbols)
-    kinds = {"seq": pa.list_(pa.int32()), "word": pa.binary(), "c": pa.int64(), "s": pa.int64(), "around": pa.list_(pa.int32()), "after": pa.binary()}
+    held = texts.sparkSession.sparkContext.broadcast(symbols)
+    kinds = {"seq": pa.binary(), "h": pa.int64(), "g": pa.int32(), "c": pa.int64(), "s": pa.int64(), "around": pa.binary(), "after": pa.int64()}
+
+    def out(size, **columns):
+        return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(size, k) for c, k in kinds.items()], list(kinds))
 
     def run(batches):
         symbols = held.value
         end = symbols.end
-        seqs, n, own, pairs = [], 0, {}, []
-
-        def out(**columns):
-            size = len(next(iter(columns.values())))
-            return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(size, k) for c, k in kinds.items()], list(kinds))
-
-        def flushed():
-            if seqs:
-                yield out(seq=[np.concatenate([[end], *seqs]).astype(np.int32)])
-            if own:
-                told = list(own.values())
-                yield out(word=list(own), c=[t[0] for t in told], s=[t[1] for t in told], around=[t[2] for t in told])
-            if pairs:
-                yield out(word=[a for a, _ in pairs], after=[b for _, b in pairs])
-            seqs.clear(), own.clear(), pairs.clear()
-
         for batch in batches:
-            for text in utf8(batch.column("text")):
-                words = tokens(text)
-                codes = np.append(symbols.codes(words), np.int32(end))
-                seqs.append(codes)
-                n += len(codes)
-                for i in np.flatnonzero(codes > end).tolist():
-                    told = own.setdefault(words[i], [0, 0, []])
-                    told[0] += 1
-                    before, after = codes[i - 1] if i else end, codes[i + 1]
-                    if before <= end:
-                        told[2].append(2 * int(before))
-                    if after <= end:
-                        told[2].append(2 * int(after) + 1)
-                    elif words[i + 1] == words[i]:
-                        told[1] += 1
-                    else:
-                        pairs.append((words[i], words[i + 1]))
-                if n > 500_000:
-                    yield from flushed()
-                    n = 0
-        yield from flushed()
-
-    return docs.select("text").mapInArrow(run, "seq array<int>, word binary, c long, s long, around array<int>, after binary")
+            for _, _, sizes, h, g in chunks(batch):
+                seq, at = symbols.laid(sizes, symbols.codes(h, g))
+                yield out(1, seq=pa.array([seq.astype(np.int32).tobytes()], pa.binary()))
+                word = np.zeros(len(seq), np.int64)
+                word[at] = h
+                rare = np.flatnonzero(seq > end)
+                if not len(rare):
+                    continue
+                own, first, which, c = np.unique(word[rare], return_index=True, return_inverse=True, return_counts=True)
+                group = seq[rare[first]] - end - 1
+                before, after = seq[rare - 1], seq[rare + 1]
+                follows = np.flatnonzero(after > end)
+                same = word[rare[follows] + 1] == word[rare[follows]]
+                i = np.concatenate([which[before <= end], which[after <= end]])
+                x = np.concatenate([2 * before[before <= end], 2 * after[after <= end] + 1])
+                order = np.argsort(i, kind="stable")
+                s = np.bincount(which[follows[same]], minlength=len(own))
+                yield out(len(own), h=pa.array(own), g=pa.array(group.astype(np.int32)), c=pa.array(c), s=pa.array(s), around=listed(i, len(own), x[order]))
+                some = rare[follows[~same]]
+                yield out(len(some), h=pa.array(word[some]), after=pa.array(word[some + 1]))
+
+    return texts.select("h", "g").mapInArrow(run, "seq binary, h long, g int, c long, s long, around binary, after long")
 
 
 def bigrams(seqs: DataFrame, symbols: Symbols) -> np.ndarray:
@@ -187,7 +225,7 @@ def bigrams(seqs: DataFrame, symbols: Symbols) -> np.ndarray:
         first, total = held.value, np.zeros(size * size, np.int64)
         for batch in batches:
             for seq in batch.column("seq"):
-                s = first[seq.values.to_numpy()]
+                s = first[np.frombuffer(seq.as_buffer(), np.int32)]
                 total += np.bincount(s[:-1] * size + s[1:], minlength=size * size)
         some = np.flatnonzero(total)
         for at in range(0, len(some), 200_000):
@@ -301,131 +339,167 @@ def _add(cells: np.ndarray, blob: bytes) -> None:
 
 
 def _summed(blobs: DataFrame) -> DataFrame:
-    def run(group: pa.Table) -> pa.Table:
-        cells = np.zeros(1 << 16, np.int64)
-        for blob in group.column("blob"):
-            _add(cells, blob.as_py())
-        return pa.table({"block": group.column("block")[:1], "blob": pa.array([next(_blobs(cells, len(cells)))[1]], pa.binary())})
+    """One blob a block, the sum of its blobs, which a task reads one after the other."""
+
+    def run(batches):
+        block, cells = None, np.zeros(1 << 16, np.int64)
+
+        def out():
+            got = [b for _, b in _blobs(cells, len(cells))]
+            cells[:] = 0
+            return pa.RecordBatch.from_arrays([pa.array([block] * len(got), pa.int32()), pa.array(got, pa.binary())], ["block", "blob"])
+
+        for batch in batches:
+            for k, blob in zip(batch.column("block").to_pylist(), batch.column("blob")):
+                if k != block and block is not None:
+                    yield out()
+                block = k
+                _add(cells, blob.as_py())
+        if block is not None:
+            yield out()
 
-    return blobs.groupBy("block").applyInArrow(run, "block int, blob binary")
+    return blobs.repartition("block").sortWithinPartitions("block").mapInArrow(run, "block int, blob binary")
 
 
-def _head_cells(seqs: DataFrame, of: np.ndarray) -> DataFrame:
-    """Blobs of the counts around head words (and the end) where both of a pair are head words; ``of`` has their classes."""
+def _head_cells(seqs: DataFrame, of: np.ndarray, end: int) -> DataFrame:
+    """Blobs of the counts around head words (and the end) under the classes ``of`` of all codes.
+
+    Block -1: class bigrams of all pairs; block -2: of pairs within the head; block -3: of pairs with the head.
+    """
     held = seqs.sparkSession.sparkContext.broadcast(of)
 
     def run(batches):
         of = held.value
-        total = np.zeros(len(of) * CELLS, np.int64)
+        total, bigram = np.zeros((end + 1) * CELLS, np.int64), np.zeros((3, ALL * ALL), np.int64)
         for batch in batches:
             for seq in batch.column("seq"):
-                s = seq.values.to_numpy().astype(np.int64)
-                a, b = s[:-1], s[1:]
-                both = (a < len(of)) & (b < len(of))
-                a, b = a[both], b[both]
-                same, others = a[a == b], a != b
-                a, b = a[others], b[others]
-                np.add.at(total, np.concatenate([a * CELLS + of[b], b * CELLS + ALL + of[a], same * CELLS + 2 * ALL]), 1)
-        got = list(_blobs(total, BLOCK * CELLS))
+                s = np.frombuffer(seq.as_buffer(), np.int32)
+                k = of[s]
+                a, b, step = s[:-1].astype(np.int64), s[1:].astype(np.int64), k[:-1] * ALL + k[1:]
+                first, second, others = a <= end, b <= end, a != b
+                for at, some in enumerate((slice(None), first & second, first | second)):
+                    bigram[at] += np.bincount(step[some], minlength=ALL * ALL)
+                np.add.at(total, a[first & ~others] * CELLS + 2 * ALL, 1)
+                first, second = first & others, second & others
+                np.add.at(total, a[first] * CELLS + k[1:][first], 1)
+                np.add.at(total, b[second] * CELLS + ALL + k[:-1][second], 1)
+        got = [*_blobs(total, BLOCK * CELLS), *((-1 - at, b) for at in range(3) for _, b in _blobs(bigram[at], ALL * ALL))]
         yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.binary())], ["block", "blob"])
 
     return seqs.select("seq").mapInArrow(run, "block int, blob binary")
 
 
-def _rare_moves(rare: DataFrame, of: np.ndarray, m: np.ndarray) -> DataFrame:
-    """(word, c, k, then) of the words outside the head, and blobs of their share in the head's counts (block -1: of class bigrams)."""
-    held = rare.sparkSession.sparkContext.broadcast((of, m))
-    names = ["word", "c", "k", "then", "block", "blob"]
+def _whole(batches):
+    """The batches of rows sorted by h, cut so that the rows of one h are in one."""
+    left = None
+    for batch in batches:
+        if left is not None and left.num_rows:
+            batch = pa.Table.from_batches([left, batch]).combine_chunks().to_batches()[0] if batch.num_rows else left
+        h = batch.column("h").to_numpy()
+        cut = int(np.searchsorted(h, h[-1], "left")) if len(h) else 0
+        if cut:
+            yield batch.slice(0, cut)
+        left = batch.slice(cut)
+    if left is not None and left.num_rows:
+        yield left
+
+
+def _rare_moves(rare: DataFrame, of: np.ndarray, m: np.ndarray, end: int) -> DataFrame:
+    """(h, g, c, k) of the words outside the head after their move, and blobs: the class bigrams that they make with the head and themselves.
 
-    def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        return np.repeat(np.arange(len(column)), pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False)), column.flatten().to_numpy().astype(np.int64)
+    m: class bigrams of the pairs with the head. A word's rows come to one task, sorted, and are summed there.
+    """
+    held = rare.sparkSession.sparkContext.broadcast((of, m))
+    names = ["h", "g", "c", "k", "blob"]
 
     def run(batches):
         of, m = held.value[0], held.value[1].copy()  # the task's own moves show in it
-        total, own = np.zeros(len(of) * CELLS, np.int64), np.zeros(ALL * ALL, np.int64)
-        for batch in batches:
-            n = batch.num_rows
-            k, s = batch.column("k").to_numpy().astype(np.int64), batch.column("s").to_numpy()
-            i, x = lists(batch.column("around"))
-            j, y = lists(batch.column("classes"))
-            word, after = x >> 1, (x & 1) == 1
-            np.add.at(total, word * CELLS + np.where(after, ALL, 0) + k[i], 1)
-            at = np.concatenate([i * ALL + of[word], j * ALL + (y >> 1)])
-            follows = np.concatenate([after, (y & 1) == 1])
-            right = np.bincount(at[follows], minlength=n * ALL).reshape(n, ALL)
-            left = np.bincount(at[~follows], minlength=n * ALL).reshape(n, ALL)
-            np.add.at(own.reshape(ALL, ALL), k, right)
-            np.add.at(own.reshape(ALL, ALL), (k, k), s)
-            then = np.concatenate([placed(m, k[a : a + TOGETHER], right[a : a + TOGETHER], left[a : a + TOGETHER], s[a : a + TOGETHER]) for a in range(0, n, TOGETHER)]) if n else k
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), batch.column("k"), pa.array(then.astype(np.int32)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
-        got = [*_blobs(total, BLOCK * CELLS), *((-1, b) for _, b in _blobs(own, len(own)))]
+        made = np.zeros((ALL, ALL), np.int64)
+        for batch in _whole(batches):
+            h, g = batch.column("h").to_numpy(), batch.column("g").to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            n, word = len(starts), np.cumsum(np.bincount(starts, minlength=len(h))) - 1
+            c, s = (np.add.reduceat(batch.column(x).to_numpy(), starts) for x in ("c", "s"))
+            around = batch.column("around")
+            x = np.frombuffer(b"".join(around.to_pylist()), np.int32).astype(np.int64)
+            i = np.repeat(word, pa.compute.binary_length(around).to_numpy(zero_copy_only=False) // 4)
+            code, follows = x >> 1, (x & 1) == 1
+            right = np.bincount((i * ALL + of[code])[follows], minlength=n * ALL).reshape(n, ALL)
+            left = np.bincount((i * ALL + of[code])[~follows], minlength=n * ALL).reshape(n, ALL)
+            k, none = of[end + 1 + g[starts]], np.zeros(n, np.int64)
+            step = max(1, min(TOGETHER, n // 10))
+            then = np.concatenate([placed(m, k[a : a + step], right[a : a + step], left[a : a + step], none[a : a + step]) for a in range(0, n, step)])
+            np.add.at(made, (then[i[follows]], of[code[follows]]), 1)
+            np.add.at(made, (of[code[~follows]], then[i[~follows]]), 1)
+            np.add.at(made, (then, then), s)
+            yield pa.RecordBatch.from_arrays([pa.array(h[starts]), pa.array(g[starts]), pa.array(c), pa.array(then.astype(np.int32)), pa.nulls(n, pa.binary())], names)
+        got = [b for _, b in _blobs(made.reshape(-1), ALL * ALL)]
         size = len(got)
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(size, pa.binary()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.int32()), pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.binary())], names
-        )
-
-    return rare.select("word", "c", "s", "around", "classes", "k").mapInArrow(run, "word binary, c long, k int, then int, block int, blob binary")
-
-
-def clustered(docs: DataFrame, symbols: Symbols) -> tuple[np.ndarray, np.ndarray, DataFrame, list[float]]:
-    """Classes of all codes, class bigrams, (word, c, k) of the words outside the head, and each pass's log-likelihood."""
-    got = written(passed(docs, symbols), "passed")
-    seqs = got.where(F.col("seq").isNotNull())
-    pairs = bigrams(seqs, symbols)
-    of = exchange(pairs)[symbols.first()]
-    end = symbols.end
-    one_hot = np.zeros((symbols.size, ALL))
-    one_hot[symbols.first(), of] = 1
-    m = one_hot.T @ pairs @ one_hot
-    group = F.pmod(F.crc32(F.expr(f"CASE WHEN length(word) > {SUFFIX} THEN substring(word, -{SUFFIX}, {SUFFIX}) ELSE word END")), F.lit(GROUPS))
-    start = F.element_at(F.array(*(F.lit(int(k)) for k in of[end + 1 :])), (group + 1).cast("int"))
-    words = got.where(F.col("around").isNotNull()).groupBy("word").agg(F.sum("c").alias("c"), F.sum("s").alias("s"), F.flatten(F.collect_list("around")).alias("around"))
-    words = written(words, "rare")
-    mixed_pairs = got.where(F.col("after").isNotNull()).select("word", "after")
-    classes = words.select("word", start.alias("k"))
+        yield pa.RecordBatch.from_arrays([pa.nulls(size, pa.int64()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int32()), pa.array(got, pa.binary())], names)
+
+    return rare.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, g int, c long, k int, blob binary")
+
+
+def _matrix(blobs: DataFrame) -> np.ndarray:
+    """The sum of ALL * ALL counts in blobs."""
+    cells = np.zeros(ALL * ALL, np.int64)
+    for r in _summed(blobs.select(F.lit(0).alias("block"), "blob")).collect():  # one row
+        _add(cells, bytes(r["blob"]))
+    return cells.reshape(ALL, ALL)
+
+
+def head_classes(seqs: DataFrame, symbols: Symbols) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """Classes of all codes, class bigrams (of all pairs, within the head, with the head), and each pass's log-likelihood."""
+    of, end = exchange(bigrams(seqs, symbols))[symbols.first()], symbols.end
     best, told = None, []
     for turn in range(PASSES + 1):
-        a = mixed_pairs.join(classes.select(F.col("word").alias("after"), "k"), "after").select("word", (F.col("k") * 2 + 1).alias("x"))
-        b = mixed_pairs.join(classes, "word").select(F.col("after").alias("word"), (F.col("k") * 2).alias("x"))
-        near = a.unionByName(b).groupBy("word").agg(F.collect_list("x").alias("classes"))
-        moves = written(_rare_moves(words.join(classes, "word").join(near, "word", "left"), of[: end + 1], m), "moves")
-        cells, m = np.zeros((end + 1 + BLOCK) * CELLS, np.int64), np.zeros((ALL, ALL))
-        blobs = moves.where(F.col("block").isNotNull()).select("block", "blob").unionByName(_head_cells(seqs, of[: end + 1]))
-        for r in _summed(blobs).coalesce(8).toLocalIterator():  # a job for each of its partitions
-            if r["block"] < 0:
-                part = np.zeros(ALL * ALL, np.int64)
-                _add(part, bytes(r["blob"]))
-                m += part.reshape(ALL, ALL)
-            else:
-                _add(cells[r["block"] * BLOCK * CELLS :], bytes(r["blob"]))
-        cells = cells[: (end + 1) * CELLS].reshape(end + 1, CELLS)
-        right, left, itself = cells[:, :ALL], cells[:, ALL : 2 * ALL], cells[:, 2 * ALL]
-        np.add.at(m, of[: end + 1], right)
-        np.add.at(m, (of[: end + 1], of[: end + 1]), itself)
+        cells, bigram = np.zeros((end + 1 + BLOCK) * CELLS, np.int64), np.zeros((3, ALL * ALL), np.int64)
+        for r in _summed(_head_cells(seqs, of, end)).coalesce(8).toLocalIterator():  # a job for each of its partitions
+            k = r["block"]
+            _add(bigram[-1 - k] if k < 0 else cells[k * BLOCK * CELLS :], bytes(r["blob"]))
+        bigram = bigram.reshape(3, ALL, ALL).astype(np.float64)
+        m = bigram[0].copy()
         told.append(likelihood(m))
         gained = told[-1] - max(told[:-1], default=-np.inf)
         if gained > 0:
-            if best is not None:
-                dropped(docs.sparkSession, best[2])
-            best = of, m.copy(), moves
+            best = of, bigram
         if turn == PASSES or gained <= LEAST * m.sum():
-            break
+            return *best, told
+        cells = cells[: (end + 1) * CELLS].reshape(end + 1, CELLS)
+        right, left, itself = cells[:, :ALL], cells[:, ALL : 2 * ALL], cells[:, 2 * ALL]
         of, at = of.copy(), 0
         while at < end:  # the more frequent, the fewer at a time
             to = min(end, at + max(1, min(BLOCK, at // 100)))
             of[at:to] = placed(m, of[at:to], right[at:to], left[at:to], itself[at:to])
             at = to
-        classes = moves.where(F.col("word").isNotNull()).select("word", F.col("then").alias("k"))
-    of, m, moves = best
-    rare = moves.where(F.col("word").isNotNull()).select("word", "c", "k")
+
+
+def clustered(texts: DataFrame, symbols: Symbols) -> tuple[np.ndarray, np.ndarray, DataFrame, list[float]]:
+    """Classes of all codes, class bigrams, (h, c, k) of the words outside the head, and each pass's log-likelihood."""
+    spark, end = texts.sparkSession, symbols.end
+    got = written(passed(texts, symbols), "passed")
+    of, (m, within, met), told = head_classes(got.where(F.col("seq").isNotNull()), symbols)
+    moves = written(_rare_moves(got.where(F.col("around").isNotNull()).select("h", "g", "c", "s", "around"), of, met, end), "moves")
+    classes = moves.where(F.col("h").isNotNull()).select("h", "g", "c", "k")
+    then = within + _matrix(moves.where(F.col("blob").isNotNull()))
+    pairs = got.where(F.col("after").isNotNull()).select("h", "after")
+    pairs = pairs.join(classes.select("h", F.col("k").alias("a")), "h").join(classes.select(F.col("h").alias("after"), F.col("k").alias("b")), "after")
+    for r in pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).collect():  # at most ALL * ALL rows
+        then[r["a"], r["b"]] += r["n"]
+    told.append(likelihood(then))
+    if told[-1] < max(told[:-1]):
+        first = F.element_at(F.array(*(F.lit(int(k)) for k in of[end + 1 :])), F.col("g") + 1)
+        classes = written(classes.select("h", "g", "c", first.alias("k")), "classes")
+        dropped(spark, moves)
+        then = m
     of = of.copy()
     usual: dict[int, tuple[int, int]] = {}
-    for r in rare.groupBy(group.alias("g"), "k").agg(F.count(F.lit(1)).alias("n")).collect():
+    for r in classes.groupBy("g", "k").agg(F.count(F.lit(1)).alias("n")).collect():  # at most GROUPS * ALL rows
         usual[r["g"]] = max(usual.get(r["g"], (0, 0)), (r["n"], r["k"]))
     for g, (_, k) in usual.items():
         of[end + 1 + g] = k
-    dropped(docs.sparkSession, got, words)
-    return of, m, rare, told
+    dropped(spark, got)
+    return of, then, classes.select("h", "c", "k"), told
 
 
 def transitions(m: np.ndarray) -> np.ndarray:
@@ -449,40 +523,43 @@ class ClassModel:
     n: int
     told: list[float]
 
-    def parts(self, words: list[bytes]) -> tuple[int, float, float, dict[bytes, int], list[int], list[int], list[int]]:
-        """Known tokens, base and model score of the head words among themselves; the other words with the class of
-        one not seen; the place in them of each occurrence; the classes before and after it, or -1."""
-        end = self.symbols.end
-        codes = np.concatenate([[end], self.symbols.codes(words), [end]])
+    def parts(self, sizes: np.ndarray, h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
+        """Of texts one after the other: known tokens, base and model score of the head words among themselves; and of the
+        other words text, hash, class of one not seen, and the classes before and after, or -1."""
+        end, n = self.symbols.end, len(sizes)
+        codes, at = self.symbols.laid(sizes, self.symbols.codes(h, g))
         k, head = self.classes[codes], codes <= end
-        both = head[:-1] & head[1:]
-        known = codes[1:][head[1:]]
+        text = np.repeat(np.arange(n), sizes + 1)
+        both, own = head[:-1] & head[1:], head[1:]
+        known = codes[1:][own]
         counts = np.append(self.symbols.counts, self.end_count)
-        score = self.step[k[:-1], k[1:]][both].sum() + self.emit[known].sum()
-        base = self.base_floor * (len(words) + 1) + np.log10(counts[known] + ADD).sum()
-        others, slots, at = {}, [], np.flatnonzero(~head)
-        for i in at.tolist():
-            slots.append(others.setdefault(words[i - 1], (len(others), int(k[i])))[0])
-        before, after = (np.where(head[at + d], k[at + d], -1).tolist() for d in (-1, 1))
-        return len(known) - (self.end_count == 0), float(base), float(score), {w: c for w, (_, c) in others.items()}, slots, before, after
-
-    def rest(self, slots: np.ndarray, before: np.ndarray, after: np.ndarray, k: np.ndarray, c: np.ndarray) -> tuple[int, float, float]:
-        """What the other words add, from their classes and counts."""
-        k, c = k[slots], c[slots]
-        logs = np.log10(c + ADD).sum()
-        before = np.where(before < 0, np.roll(k, 1), before)
+        score = np.bincount(text[both], weights=self.step[k[:-1], k[1:]][both], minlength=n) + np.bincount(text[own], weights=self.emit[known], minlength=n)
+        base = np.bincount(text[own], weights=np.log10(counts[known] + ADD), minlength=n) + self.base_floor * (sizes + 1)
+        word = np.zeros(len(codes), np.int64)
+        word[at] = h
+        others = np.flatnonzero(~head)
+        before, after = (np.where(head[others + d], k[others + d], -1) for d in (-1, 1))
+        return np.bincount(text[own], minlength=n) - (self.end_count == 0), base, score, (text[others - 1], word[others], k[others], before, after)
+
+    def rest(self, n: int, text: np.ndarray, before: np.ndarray, after: np.ndarray, k: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What the other words add to each of n texts, from their classes and counts; words stand in the order of texts and places."""
+        logs = np.log10(c + ADD)
+        before = np.where(before < 0, np.roll(k, 1), before)  # the word before is another one of these
+        more = logs - self.mass[k] + self.step[before, k]
         closed = after >= 0
-        return int((c > 0).sum()), float(logs), float(logs - self.mass[k].sum() + self.step[before, k].sum() + self.step[k[closed], after[closed]].sum())
+        more[closed] += self.step[k[closed], after[closed]]
+        return np.bincount(text[c > 0], minlength=n), np.bincount(text, weights=logs, minlength=n), np.bincount(text, weights=more, minlength=n)
 
 
-def fit(docs: DataFrame) -> tuple[ClassModel, DataFrame]:
-    """The model of all rows, and (word, c, k) of the words outside its head."""
-    counts = written(counted(docs), "counts")
-    totals = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.sum(F.when(F.length("word") == 0, F.col("c"))).alias("ends")).first()
-    n, v, ends = totals["n"] or 0, totals["v"], totals["ends"] or 0
+def fit(texts: DataFrame) -> tuple[ClassModel, DataFrame]:
+    """The model of hashed texts, and (h, c, k) of the words outside its head."""
+    counts = written(counted(texts), "counts")
+    totals = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    ends = texts.count()
+    n, v = (totals["n"] or 0) + ends, totals["v"] + (ends > 0)
     symbols = head_of(counts)
-    dropped(docs.sparkSession, counts)
-    of, m, rare, told = clustered(docs, symbols)
+    dropped(texts.sparkSession, counts)
+    of, m, rare, told = clustered(texts, symbols)
     seen = np.concatenate([symbols.counts, [ends], np.zeros(GROUPS)]) + ADD
     mass = np.bincount(of, weights=seen, minlength=ALL)
     for r in rare.groupBy("k").agg(F.sum(F.col("c") + ADD).alias("c")).collect():
@@ -492,55 +569,50 @@ def fit(docs: DataFrame) -> tuple[ClassModel, DataFrame]:
     return ClassModel(symbols, of, np.log10(transitions(m)), np.log10(seen) - mass[of], mass, base_floor, float(ends), n, told), rare
 
 
-def scored(docs: DataFrame, model: ClassModel, rare: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each row."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    kind = dict(docs.dtypes)["doc_id"]
-    ints = pa.list_(pa.int32())
+def scored(texts: DataFrame, model: ClassModel, rare: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keep..., n_tokens, n_known, train_tokens, base_score, score) of each row of hashed texts."""
+    held = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         model = held.value
         for batch in batches:
-            cols: list[list] = [[] for _ in range(9)]
-            for text in utf8(batch.column("text")):
-                words = tokens(text)
-                known, base, score, others, *places = model.parts(words)
-                for c, x in zip(cols, (len(words) + 1, known, base, score, list(others), list(others.values()), *places)):
-                    c.append(x)
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), ints, ints, ints, ints]
-            names = ["doc_id", "n_tokens", "n_known", "base", "score", "words", "unseen", "slots", "before", "after"]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds))], names)
+            for first, n, sizes, h, g in chunks(batch):
+                known, base, score, (text, *places) = model.parts(sizes, h, g)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(text, minlength=n))]), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(t))) for x, t in zip(places[:2], (np.int64, np.int32))]
+                lists += [listed(text, n, x) for x in places[2:]]
+                own = [batch.column(c).slice(first, n) for c in keep]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(sizes + 1), pa.array(known), pa.array(base), pa.array(score), *lists], [*keep, "n_tokens", "n_known", "base", "score", "words", "unseen", "before", "after"])
 
     def close(batches):
         model = held.value
         for batch in batches:
-            more = [(0, 0.0, 0.0)] * batch.num_rows
-            places = [batch.column(c) for c in ("slots", "before", "after", "j", "k", "c")]
-            for i in np.flatnonzero(pa.compute.fill_null(pa.compute.list_value_length(places[3]), 0).to_numpy(zero_copy_only=False)):
-                slots, before, after, j, k, c = (p[int(i)].values.to_numpy() for p in places)
-                order = np.argsort(j)
-                more[i] = model.rest(slots, before, after, k[order], c[order])
-            known, base, score = (np.array([x[d] for x in more]) for d in range(3))
+            before, after = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int32) for c in ("before", "after"))
+            j, k, c = (batch.column(x).flatten().to_numpy() for x in ("j", "k", "c"))
+            text = np.repeat(np.arange(batch.num_rows), pa.compute.fill_null(pa.compute.list_value_length(batch.column("j")), 0).to_numpy(zero_copy_only=False))
+            order = np.lexsort((j, text))
+            known, base, score = model.rest(batch.num_rows, text, before, after, k[order], c[order])
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), batch.column("n_tokens"), pa.array(batch.column("n_known").to_numpy() + known.astype(np.int64)), pa.array(np.full(batch.num_rows, model.n, np.int64)),
+                    *(batch.column(c) for c in keep), batch.column("n_tokens"), pa.array(batch.column("n_known").to_numpy() + known.astype(np.int64)), pa.array(np.full(batch.num_rows, model.n, np.int64)),
                     pa.array(batch.column("base").to_numpy() + base), pa.array(batch.column("score").to_numpy() + score),
                 ],
-                ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                [*keep, "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
-    shape = f"doc_id {kind}, n_tokens long, n_known long, base double, score double, words array<binary>, unseen array<int>, slots array<int>, before array<int>, after array<int>"
-    parts = written(docs.select("doc_id", "text").mapInArrow(run, shape).withColumn("row", F.monotonically_increasing_id()), "parts")
-    rest = parts.select("row", F.posexplode(F.arrays_zip("words", "unseen")).alias("j", "t")).select("row", "j", F.col("t.words").alias("word"), F.col("t.unseen").alias("unseen"))
-    found = rest.join(rare, "word", "left").select("row", "j", F.coalesce("k", "unseen").alias("k"), F.coalesce(F.col("c"), F.lit(0)).alias("c"))
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in texts.schema.fields if f.name in keep)
+    shape = fields + "n_tokens long, n_known long, base double, score double, words array<bigint>, unseen array<int>, before binary, after binary"
+    parts = written(texts.select(*keep, "h", "g").mapInArrow(run, shape).withColumn("row", F.monotonically_increasing_id()), "parts")
+    rest = parts.select("row", F.posexplode(F.arrays_zip("words", "unseen")).alias("j", "t")).select("row", "j", F.col("t.words").alias("h"), F.col("t.unseen").alias("unseen"))
+    found = rest.join(rare, "h", "left").select("row", "j", F.coalesce("k", "unseen").alias("k"), F.coalesce(F.col("c"), F.lit(0)).alias("c"))
     t = F.col("t")
     found = found.groupBy("row").agg(F.collect_list(F.struct("j", "k", "c")).alias("t")).select("row", t.j.alias("j"), t.k.alias("k"), t.c.alias("c"))
     whole = parts.drop("words", "unseen").join(found, "row", "left").drop("row")
-    return whole.mapInArrow(close, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return whole.mapInArrow(close, fields + "n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op9_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model, rare = fit(docs.where(fold_of(F.col("doc_id"), 5) != 1))
-    out = scored(docs, model, rare)
-    return out.select("doc_id", (fold_of(F.col("doc_id"), 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", fold_of(F.col("doc_id"), 5) == 1)
+    texts = written(hashed(docs, ("doc_id", "held_out")), "hashed")
+    model, rare = fit(texts.where(~F.col("held_out")))
+    return scored(texts, model, rare, ("doc_id", "held_out")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
