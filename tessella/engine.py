@@ -486,6 +486,10 @@ class Engine:
     def compact(self, name: str) -> dict:
         return self.store.compact(self.catalog.tables[name])
 
+    def vacuum(self, name: str, older_than: float = 86_400.0) -> int:
+        """Deletes what no retained version of a table names any more."""
+        return self.store.vacuum(self.catalog.tables[name], older_than)
+
     def status(self) -> DataFrame:
         """A row for each table: placement, version, folders."""
         rows = []

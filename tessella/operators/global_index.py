@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.errors import FailedPrecondition, InvalidArgument, UniqueViolation
+from tessella.errors import FailedPrecondition, InvalidArgument, UniqueViolation, Unsupported
 from tessella.functions.blake3 import digests
 from tessella.functions.index_key import MAX_PARTS, Part, decode, encode, encode_unique, key_column, part_for
 from tessella.operators.authority import Authority
@@ -30,6 +30,7 @@ from tessella.plans.compiler import as_truth, scope
 from tessella.plans.domains import ANY, MAX_KEYS, range_domain, value_domain
 from tessella.plans.parser import parse_one
 from tessella.plans.planner import Plan
+from tessella.plans.syntax import has_aggregate
 from tessella.sources.catalog import Table
 from tessella.sources.files import State
 from tessella.sources.storage import Snapshot
@@ -51,9 +52,20 @@ STATES = {
 
 @dataclass(frozen=True)
 class IndexPart:
-    column: str
+    """A column, or an expression over the table's columns; an index with an expression is kept and read by name, but routes no query."""
+
+    column: str = ""
     descending: bool = False
     nulls_last: bool | None = None
+    expression: str | None = None
+
+    def __post_init__(self) -> None:
+        if bool(self.column) == bool(self.expression):
+            raise InvalidArgument("an index part is a column or an expression")
+
+
+#: Spark types of an expression's kinds
+EXPRESSION_TYPES = {"int": "bigint", "float": "double", "bool": "boolean", "text": "string", "blob": "binary", "binary": "binary"}
 
 
 @dataclass(frozen=True)
@@ -70,6 +82,10 @@ class Index:
     #: entries of one shard lie in this many hash partitions of keys: 1 or a power of two
     partitions: int = 1
 
+    @property
+    def computed(self) -> bool:
+        return any(p.expression for p in self.parts)
+
     def __post_init__(self) -> None:
         if not 1 <= len(self.parts) <= MAX_PARTS:
             raise InvalidArgument(f"an index has 1 to {MAX_PARTS} parts")
@@ -154,24 +170,42 @@ class Indexes:
         return self.engine.catalog.tables[index.table]
 
     # -- keys
+    def _expression(self, table: Table, rows: DataFrame, text: str):
+        """The typed value of an expression over rows of the table."""
+        statement, _ = parse_one(f"SELECT {text} FROM {table.name}")
+        if len(statement.items) != 1 or has_aggregate(statement.items[0].expression):
+            raise InvalidArgument("an index part is one expression of a row")
+        return scope(rows, table.names, [], statement.table.name).of(statement.items[0].expression)
+
     def parts(self, index: Index) -> list[Part]:
-        table = self._table(index)
+        table, rows = self._table(index), None
         out = []
         for p in index.parts:
+            if p.expression:
+                rows = self.engine.store.read(table, [], Snapshot(0, {})) if rows is None else rows
+                kind = self._expression(table, rows, p.expression).kind
+                if kind not in EXPRESSION_TYPES:
+                    raise Unsupported("an index expression is of a type that has no key")
+                out.append(part_for(EXPRESSION_TYPES[kind], p.descending, p.nulls_last))
+                continue
             column = table.column(p.column)
             if column is None:
                 raise InvalidArgument("an index part is no column of its table")
             out.append(part_for(column.type, p.descending, p.nulls_last))
         return out
 
+    def _key(self, index: Index, rows: DataFrame) -> Column:
+        table = self._table(index)
+        values = [self._expression(table, rows, p.expression).column if p.expression else F.col(f"`{p.column}`") for p in index.parts]
+        return key_column(list(zip(values, self.parts(index))), index.unique, index.nulls_distinct)
+
     def keyed(self, index: Index, rows: DataFrame) -> DataFrame:
         """(_shard, key, locator) of the rows that the index covers."""
         table = self._table(index)
         if index.predicate:
             statement, _ = parse_one(f"SELECT 1 FROM {table.name} WHERE {index.predicate}")
             rows = rows.where(as_truth(scope(rows, table.names, [], statement.table.name).of(statement.where)))
-        kinds = dict(rows.dtypes)
-        key = key_column([(F.col(f"`{p.column}`"), q) for p, q in zip(index.parts, self.parts(index))], index.unique, index.nulls_distinct)
+        kinds, key = dict(rows.dtypes), self._key(index, rows)
         if table.primary:
             locator = key_column([(F.col(f"`{c}`"), part_for(kinds[c])) for c in table.primary])
         else:
@@ -448,7 +482,7 @@ class Indexes:
         return self._with_key(s.index, rows).where(F.col("_key").isin([bytearray(k) for k in keys]) if keys else F.lit(False)).select(*table.names)
 
     def _with_key(self, index: Index, rows: DataFrame) -> DataFrame:
-        return rows.withColumn("_key", key_column([(F.col(f"`{p.column}`"), q) for p, q in zip(index.parts, self.parts(index))], index.unique, index.nulls_distinct))
+        return rows.withColumn("_key", self._key(index, rows))
 
     # -- planning
     def narrow(self, plan: Plan, params: list) -> None:
@@ -459,7 +493,7 @@ class Indexes:
         found = self.all(table.name)
         choices = []
         for s in found:
-            if s.state != "ready" or s.index.predicate:
+            if s.state != "ready" or s.index.predicate or s.index.computed:
                 continue
             parts = self.parts(s.index)
             domains = [value_domain(statement.where, planner.is_column(statement, p.column), q.kind, params) for p, q in zip(s.index.parts, parts)]
@@ -486,7 +520,7 @@ class Indexes:
             plan.shards = sorted(k for k in routed if plan.shards is None or k in plan.shards)
             plan.index = "routed" if plan.shards else "empty"
         for s in found:
-            if s.state != "ready" or s.index.predicate or plan.shards == []:
+            if s.state != "ready" or s.index.predicate or s.index.computed or plan.shards == []:
                 continue
             own = keys if s.index.name == plan.index_name else None
             part = self.parts(s.index)[0]

@@ -720,6 +720,32 @@ def _(spark, sf_dir):
     }
 
 
+@built("expression_index_entries", "SELECT o_orderkey * 2 + o_custkey AS twice, CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
+def _(spark, sf_dir):
+    """Keys of an index on an expression, over part of the rows, after a write that it follows."""
+    engine = orders(spark, sf_dir, f"computed-{uuid.uuid4().hex[:8]}")
+    engine.indexes.create(Index("twice", "orders", (IndexPart(expression="o_orderkey * 2 + o_custkey"),), predicate="o_orderstatus = 'F'"))
+    engine.execute("INSERT INTO orders(o_orderkey, o_custkey, o_orderstatus) VALUES (900000031, 7, 'F')")
+    engine.execute("DELETE FROM orders WHERE o_custkey = 7 AND o_orderkey = 900000031")
+    key = value_column(F.col("key"), 0, "int64")
+    return engine.indexes.entries(engine.indexes.get("twice")).groupBy(key.alias("twice")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@outcomes("vacuum_steps", [("updates", "[1, 1]"), ("young", "0"), ("kept versions", "0"), ("rows", "8"), ("left behind", "1"), ("rows then", "8")])
+def _(spark, sf_dir):
+    engine = seats(spark)
+    table = engine.catalog.tables["seats"]
+    lost = lambda: len(engine.store.write(table, engine.store.read(table, [0])))  # noqa: E731  a write that nobody published
+    return {
+        "updates": lambda: [engine.execute("UPDATE seats SET price = ? WHERE show = 1", [p]).rows_affected for p in (2.0, 3.0)],
+        "young": lambda: engine.vacuum("seats"),
+        "kept versions": lambda: engine.vacuum("seats", 0),
+        "rows": lambda: engine.count("seats"),
+        "left behind": lambda: lost() and engine.vacuum("seats", 0),
+        "rows then": lambda: engine.count("seats"),
+    }
+
+
 @built("parsed_placeholders", "SELECT * FROM (VALUES ('sqlite', 3), ('mysql', 2), ('postgres', 3)) t(dialect, needed)")
 def _(spark, sf_dir):
     sources = {"sqlite": "SELECT ?2, ?, ?1", "mysql": "SELECT ?, ?", "postgres": "SELECT $3, $1"}

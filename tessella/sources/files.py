@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 from pyspark.sql import SparkSession
 
@@ -26,6 +27,11 @@ class Files:
         p, fs = self._at(path)
         return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
+    def ages(self, path: str) -> dict[str, float]:
+        """Seconds since each entry of a folder was changed, by the store's clock as far as this machine's agrees."""
+        p, fs = self._at(path)
+        return {s.getPath().getName(): time.time() - s.getModificationTime() / 1000 for s in fs.listStatus(p)} if fs.exists(p) else {}
+
     def size(self, path: str) -> int:
         p, fs = self._at(path)
         return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
@@ -82,6 +88,10 @@ class State:
             return 0, dict(default or {})
         return max(found), json.loads(self.files.read(f"{self.folder}/{max(found):012d}.json"))
 
+    def retained(self) -> list[dict]:
+        """All versions that are kept."""
+        return [json.loads(self.files.read(f"{self.folder}/{v:012d}.json")) for v in self.versions()]
+
     def write(self, after: int, value: dict) -> int:
         """Publishes the version after the one read, or Busy if another writer did."""
         self.files.make(self.folder)

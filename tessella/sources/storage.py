@@ -145,3 +145,15 @@ class Store:
         else:
             report["folders_after"] = report["folders_before"]
         return report
+
+    def vacuum(self, table: Table, older_than: float = 86_400.0) -> int:
+        """Deletes the loads that no retained version names and that were written so many seconds ago; returns their number.
+
+        A writer that takes longer to publish, or a reader that keeps a version for longer than the versions are retained,
+        needs a greater age.
+        """
+        named = {f.split("/")[1] for x in self.state(table).retained() for fs in x["folders"].values() for f in fs}
+        gone = [n for n, age in self.files.ages(f"{self.folder(table)}/data").items() if n.startswith("_load=") and n not in named and age >= older_than]
+        for n in gone:
+            self.files.delete(f"{self.folder(table)}/data/{n}")
+        return len(gone)

@@ -307,6 +307,50 @@ def test_index_lifecycle(spark, root):
     assert sample_ordinals(10, 4) == [0, 3, 6, 9] and sample_ordinals(3, 5) == [0, 1, 2] and sample_ordinals(9, 1) == [0]
 
 
+def test_unique_keys_of_two_writers(spark, root):
+    """Both wrote their rows before either published: one wins, the other publishes nothing and leaves no reservation."""
+    engine = users(spark, root)
+    engine.indexes.create(Index("mails", "users", (IndexPart("email"),), unique=True))
+    other, publish, outcome = Engine(spark, root, SHARDS), engine.store.publish, []
+
+    def late(table, before, folders):
+        try:
+            other.execute("INSERT INTO users(tenant_id, email, age) VALUES ('t5', 'one@x', 2)")
+            outcome.append("other won")
+        except errors.EngineError as e:
+            outcome.append(type(e).__name__)
+        return publish(table, before, folders)
+
+    engine.store.publish = late
+    engine.execute("INSERT INTO users(tenant_id, email, age) VALUES ('t1', 'one@x', 1)")
+    assert outcome == ["UniqueViolation"]  # the first writer's reservation holds the key while it publishes
+    engine.store.publish = publish
+    rows = engine.query("SELECT tenant_id FROM users WHERE email = 'one@x'").frame.collect()
+    assert [r[0] for r in rows] == ["t1"] and engine.indexes.validate("mails").count() == 0
+    with pytest.raises(errors.UniqueViolation):
+        other.execute("UPDATE users SET email = 'one@x' WHERE tenant_id = 't6'")
+    assert other.execute("UPDATE users SET email = 'one@x', age = 3 WHERE tenant_id = 't1' AND email = 'one@x'").rows_affected == 1
+    _, x = Authority(engine, "mails").at.read()
+    assert {r["state"] for r in x["reservations"].values()} <= {"finalized", "rolled_back"}
+
+
+def test_located_reads_and_partial_rewrites(spark, root):
+    engine = users(spark, root)
+    engine.indexes.create(Index("by_email", "users", (IndexPart("email"),), partitions=4))
+    read = engine.query("SELECT tenant_id, age FROM users WHERE email IN ('u7@x', 'u8@x')")
+    plan = read.frame._jdf.queryExecution().executedPlan().toString()
+    assert {r[0] for r in read.frame.collect()} == {"t7", "t8"} and "In(tenant_id, [t7,t8])" in plan
+    table, shard = engine.catalog.tables["users"], shard_of("t7", SHARDS)
+    engine.execute("INSERT INTO users(tenant_id, email, age) VALUES ('t7', 'more@x', 1)")
+    before = engine.store.snapshot(table).folders[shard]
+    engine.execute("UPDATE users SET age = 2 WHERE tenant_id = 't7' AND email = 'more@x'")
+    after = engine.store.snapshot(table).folders[shard]
+    assert before[0] in after and len(set(after) - set(before)) == 1  # the loaded files stay, the inserted one is written anew
+    engine.execute("DELETE FROM users WHERE tenant_id = 't7' AND email = 'more@x'")
+    assert engine.count("users") == 40 and engine.indexes.validate("by_email").count() == 0
+    assert engine.query("SELECT age FROM users WHERE email = 'more@x'").frame.count() == 0
+
+
 def test_attached_tables_are_read_only_and_pushed_down(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.range(100).select(F.col("id").alias("k"), (F.col("id") % 7).alias("v"), F.lit("x").alias("unused")).write.parquet(path)
