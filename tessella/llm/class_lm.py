@@ -179,12 +179,12 @@ def listed(groups: np.ndarray, n: int, values: np.ndarray) -> pa.Array:
 def passed(texts: DataFrame, symbols: Symbols) -> DataFrame:
     """Codes of all texts, with the end around each, and what stands around each word outside the head.
 
-    Rows have either ``seq`` (32 bits a code), or ``h`` with its group ``g``, count ``c``, pairs with itself ``s`` and ``around``: of its
-    neighbours in the head, 2 * code of one before, 2 * code + 1 of one after; or ``h`` and ``after``, where both are
-    outside the head and differ.
+    Rows have either ``seq`` (32 bits a code); or ``h`` with ``told`` (its group, count and pairs with itself) and
+    ``around``: of its neighbours in the head, 2 * code of one before, 2 * code + 1 of one after; or ``h`` and
+    ``after``, where both are outside the head and differ.
     """
     held = texts.sparkSession.sparkContext.broadcast(symbols)
-    kinds = {"seq": pa.binary(), "h": pa.int64(), "g": pa.int32(), "c": pa.int64(), "s": pa.int64(), "around": pa.binary(), "after": pa.int64()}
+    kinds = {"seq": pa.binary(), "h": pa.int64(), "told": pa.int64(), "around": pa.binary(), "after": pa.int64()}
 
     def out(size, **columns):
         return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(size, k) for c, k in kinds.items()], list(kinds))
@@ -210,11 +210,11 @@ def passed(texts: DataFrame, symbols: Symbols) -> DataFrame:
                 x = np.concatenate([2 * before[before <= end], 2 * after[after <= end] + 1])
                 order = np.argsort(i, kind="stable")
                 s = np.bincount(which[follows[same]], minlength=len(own))
-                yield out(len(own), h=pa.array(own), g=pa.array(group.astype(np.int32)), c=pa.array(c), s=pa.array(s), around=listed(i, len(own), x[order]))
+                yield out(len(own), h=pa.array(own), told=pa.array(group.astype(np.int64) | c << 8 | s << 36), around=listed(i, len(own), x[order]))
                 some = rare[follows[~same]]
                 yield out(len(some), h=pa.array(word[some]), after=pa.array(word[some + 1]))
 
-    return texts.select("h", "g").mapInArrow(run, "seq binary, h long, g int, c long, s long, around binary, after long")
+    return texts.select("h", "g").mapInArrow(run, "seq binary, h long, told long, around binary, after long")
 
 
 def bigrams(seqs: DataFrame, symbols: Symbols) -> np.ndarray:
@@ -386,7 +386,8 @@ def _head_cells(seqs: DataFrame, of: np.ndarray, end: int) -> DataFrame:
         got = [*_blobs(total, BLOCK * CELLS), *((-1 - at, b) for at in range(3) for _, b in _blobs(bigram[at], ALL * ALL))]
         yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.binary())], ["block", "blob"])
 
-    return seqs.select("seq").mapInArrow(run, "block int, blob binary")
+    # a task's counts are a table of bounded size however much it reads, so there are as many tasks as the cluster keeps busy
+    return seqs.select("seq").coalesce(2 * seqs.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "block int, blob binary")
 
 
 def _whole(batches):
@@ -416,23 +417,23 @@ def _rare_moves(rare: DataFrame, of: np.ndarray, m: np.ndarray, end: int) -> Dat
         of, m = held.value[0], held.value[1].copy()  # the task's own moves show in it
         made = np.zeros((ALL, ALL), np.int64)
         for batch in _whole(batches):
-            h, g = batch.column("h").to_numpy(), batch.column("g").to_numpy()
+            h, told = batch.column("h").to_numpy(), batch.column("told").to_numpy()
             starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             n, word = len(starts), np.cumsum(np.bincount(starts, minlength=len(h))) - 1
-            c, s = (np.add.reduceat(batch.column(x).to_numpy(), starts) for x in ("c", "s"))
+            g, c, s = (told[starts] & 255).astype(np.int32), np.add.reduceat(told >> 8 & (1 << 28) - 1, starts), np.add.reduceat(told >> 36, starts)
             around = batch.column("around")
             x = np.frombuffer(b"".join(around.to_pylist()), np.int32).astype(np.int64)
             i = np.repeat(word, pa.compute.binary_length(around).to_numpy(zero_copy_only=False) // 4)
             code, follows = x >> 1, (x & 1) == 1
             right = np.bincount((i * ALL + of[code])[follows], minlength=n * ALL).reshape(n, ALL)
             left = np.bincount((i * ALL + of[code])[~follows], minlength=n * ALL).reshape(n, ALL)
-            k, none = of[end + 1 + g[starts]], np.zeros(n, np.int64)
+            k, none = of[end + 1 + g], np.zeros(n, np.int64)
             step = max(1, min(TOGETHER, n // 10))
             then = np.concatenate([placed(m, k[a : a + step], right[a : a + step], left[a : a + step], none[a : a + step]) for a in range(0, n, step)])
             np.add.at(made, (then[i[follows]], of[code[follows]]), 1)
             np.add.at(made, (of[code[~follows]], then[i[~follows]]), 1)
             np.add.at(made, (then, then), s)
-            yield pa.RecordBatch.from_arrays([pa.array(h[starts]), pa.array(g[starts]), pa.array(c), pa.array(then.astype(np.int32)), pa.nulls(n, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(h[starts]), pa.array(g), pa.array(c), pa.array(then.astype(np.int32)), pa.nulls(n, pa.binary())], names)
         got = [b for _, b in _blobs(made.reshape(-1), ALL * ALL)]
         size = len(got)
         yield pa.RecordBatch.from_arrays([pa.nulls(size, pa.int64()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int32()), pa.array(got, pa.binary())], names)
@@ -479,7 +480,7 @@ def clustered(texts: DataFrame, symbols: Symbols) -> tuple[np.ndarray, np.ndarra
     spark, end = texts.sparkSession, symbols.end
     got = written(passed(texts, symbols), "passed")
     of, (m, within, met), told = head_classes(got.where(F.col("seq").isNotNull()), symbols)
-    moves = written(_rare_moves(got.where(F.col("around").isNotNull()).select("h", "g", "c", "s", "around"), of, met, end), "moves")
+    moves = written(_rare_moves(got.where(F.col("around").isNotNull()).select("h", "told", "around"), of, met, end), "moves")
     classes = moves.where(F.col("h").isNotNull()).select("h", "g", "c", "k")
     then = within + _matrix(moves.where(F.col("blob").isNotNull()))
     pairs = got.where(F.col("after").isNotNull()).select("h", "after")
@@ -588,10 +589,10 @@ def scored(texts: DataFrame, model: ClassModel, rare: DataFrame, keep: tuple[str
         model = held.value
         for batch in batches:
             before, after = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int32) for c in ("before", "after"))
-            j, k, c = (batch.column(x).flatten().to_numpy() for x in ("j", "k", "c"))
-            text = np.repeat(np.arange(batch.num_rows), pa.compute.fill_null(pa.compute.list_value_length(batch.column("j")), 0).to_numpy(zero_copy_only=False))
-            order = np.lexsort((j, text))
-            known, base, score = model.rest(batch.num_rows, text, before, after, k[order], c[order])
+            jk, c = (batch.column(x).flatten().to_numpy() for x in ("jk", "c"))
+            text = np.repeat(np.arange(batch.num_rows), pa.compute.fill_null(pa.compute.list_value_length(batch.column("jk")), 0).to_numpy(zero_copy_only=False))
+            order = np.lexsort((jk, text))
+            known, base, score = model.rest(batch.num_rows, text, before, after, jk[order] & 63, c[order])
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(c) for c in keep), batch.column("n_tokens"), pa.array(batch.column("n_known").to_numpy() + known.astype(np.int64)), pa.array(np.full(batch.num_rows, model.n, np.int64)),
@@ -603,10 +604,12 @@ def scored(texts: DataFrame, model: ClassModel, rare: DataFrame, keep: tuple[str
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in texts.schema.fields if f.name in keep)
     shape = fields + "n_tokens long, n_known long, base double, score double, words array<bigint>, unseen array<int>, before binary, after binary"
     parts = written(texts.select(*keep, "h", "g").mapInArrow(run, shape).withColumn("row", F.monotonically_increasing_id()), "parts")
-    rest = parts.select("row", F.posexplode(F.arrays_zip("words", "unseen")).alias("j", "t")).select("row", "j", F.col("t.words").alias("h"), F.col("t.unseen").alias("unseen"))
-    found = rest.join(rare, "h", "left").select("row", "j", F.coalesce("k", "unseen").alias("k"), F.coalesce(F.col("c"), F.lit(0)).alias("c"))
+    # a place and a class, of which there are fewer than 64, travel as one number
+    rest = parts.select("row", F.posexplode(F.arrays_zip("words", "unseen")).alias("j", "t")).select("row", (F.col("j").cast("long") * 64 + F.col("t.unseen")).alias("jk"), F.col("t.words").alias("h"))
+    known = F.shiftleft(F.shiftright("jk", 6), 6) + F.col("k")
+    found = rest.join(rare, "h", "left").select("row", F.coalesce(known, "jk").alias("jk"), F.coalesce(F.col("c"), F.lit(0)).alias("c"))
     t = F.col("t")
-    found = found.groupBy("row").agg(F.collect_list(F.struct("j", "k", "c")).alias("t")).select("row", t.j.alias("j"), t.k.alias("k"), t.c.alias("c"))
+    found = found.groupBy("row").agg(F.collect_list(F.struct("jk", "c")).alias("t")).select("row", t.jk.alias("jk"), t.c.alias("c"))
     whole = parts.drop("words", "unseen").join(found, "row", "left").drop("row")
     return whole.mapInArrow(close, fields + "n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
