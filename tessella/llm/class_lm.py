@@ -31,6 +31,8 @@ scores. Extra columns are not read.
 
 from __future__ import annotations
 
+import itertools
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -53,12 +55,29 @@ CELLS, BLOCK = 2 * ALL + 1, 500
 #: Words outside the head that a task moves at a time, at most; and at most a tenth of a batch, so that few move unseen by each other.
 TOGETHER = 2000
 #: Words that travel to the tasks, at most; tokens that a task works on at once, but for a longer text.
-HEAD, TOKENS = 100_000, 300_000
+HEAD, TOKENS = 100_000, 200_000
+#: Bytes of a text that are cut into words at once.
+PIECE = 1 << 20
 ADD = 0.5
 
 
 def hashes(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     """Of each word of the text its hash, and the group of its last SUFFIX bytes."""
+    if text and len(text) > PIECE:
+        at, told = 0, []
+        while at < len(text):
+            blank = _BLANK.search(text, at + PIECE)
+            end = blank.start() if blank else len(text)
+            told.append(_hashes(text[at:end]))
+            at = end
+        return tuple(np.concatenate(x) for x in zip(*told))
+    return _hashes(text)
+
+
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _hashes(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     words = plain_words(text.lower()) if text else []
     n = len(words)
     if not n:
@@ -330,7 +349,7 @@ def _blobs(cells: np.ndarray, size: int):
         part = cells[at : at + size]
         some = np.flatnonzero(part)
         if len(some):
-            yield block, some.astype(np.uint16).tobytes() + part[some].tobytes()
+            yield block, some.astype(np.uint16).tobytes() + part[some].astype(np.int64).tobytes()
 
 
 def _add(cells: np.ndarray, blob: bytes) -> None:
@@ -370,7 +389,7 @@ def _head_cells(seqs: DataFrame, of: np.ndarray, end: int) -> DataFrame:
 
     def run(batches):
         of = held.value
-        total, bigram = np.zeros((end + 1) * CELLS, np.int64), np.zeros((3, ALL * ALL), np.int64)
+        total, bigram = np.zeros((end + 1) * CELLS, np.int32), np.zeros((3, ALL * ALL), np.int64)  # of one task, so 32 bits will do
         for batch in batches:
             for seq in batch.column("seq"):
                 s = np.frombuffer(seq.as_buffer(), np.int32)
@@ -383,8 +402,8 @@ def _head_cells(seqs: DataFrame, of: np.ndarray, end: int) -> DataFrame:
                 first, second = first & others, second & others
                 np.add.at(total, a[first] * CELLS + k[1:][first], 1)
                 np.add.at(total, b[second] * CELLS + ALL + k[:-1][second], 1)
-        got = [*_blobs(total, BLOCK * CELLS), *((-1 - at, b) for at in range(3) for _, b in _blobs(bigram[at], ALL * ALL))]
-        yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.binary())], ["block", "blob"])
+        for block, blob in itertools.chain(_blobs(total, BLOCK * CELLS), ((-1 - at, b) for at in range(3) for _, b in _blobs(bigram[at], ALL * ALL))):
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([blob], pa.binary())], ["block", "blob"])
 
     # a task's counts are a table of bounded size however much it reads, so there are as many tasks as the cluster keeps busy
     return seqs.select("seq").coalesce(2 * seqs.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "block int, blob binary")
