@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import dropped, fold_of, mixed, plain_words, table, utf8, written
+from tessella.llm.common import dropped, fold_of, mixed, plain_words, swept, table, utf8, written
 
 #: For the first classes: words with a symbol of their own; groups of the other words, by their last SUFFIX bytes. Classes.
 OWN, GROUPS, SUFFIX, CLASSES = 768, 256, 3, 48
@@ -59,6 +59,8 @@ HEAD, TOKENS = 100_000, 200_000
 #: Bytes of a text that are cut into words at once.
 PIECE = 1 << 20
 ADD = 0.5
+#: Compression of the written tables that have a cell for each token: eight bytes of a frequent word recur too far apart for Snappy.
+CODEC = "zstd"
 
 
 def hashes(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
@@ -477,6 +479,7 @@ def head_classes(seqs: DataFrame, symbols: Symbols) -> tuple[np.ndarray, np.ndar
         for r in _summed(_head_cells(seqs, of, end)).coalesce(8).toLocalIterator():  # a job for each of its partitions
             k = r["block"]
             _add(bigram[-1 - k] if k < 0 else cells[k * BLOCK * CELLS :], bytes(r["blob"]))
+        swept(seqs.sparkSession)
         bigram = bigram.reshape(3, ALL, ALL).astype(np.float64)
         m = bigram[0].copy()
         told.append(likelihood(m))
@@ -497,9 +500,10 @@ def head_classes(seqs: DataFrame, symbols: Symbols) -> tuple[np.ndarray, np.ndar
 def clustered(texts: DataFrame, symbols: Symbols) -> tuple[np.ndarray, np.ndarray, DataFrame, list[float]]:
     """Classes of all codes, class bigrams, (h, c, k) of the words outside the head, and each pass's log-likelihood."""
     spark, end = texts.sparkSession, symbols.end
-    got = written(passed(texts, symbols), "passed")
+    got = written(passed(texts, symbols), "passed", CODEC)
     of, (m, within, met), told = head_classes(got.where(F.col("seq").isNotNull()), symbols)
     moves = written(_rare_moves(got.where(F.col("around").isNotNull()).select("h", "told", "around"), of, met, end), "moves")
+    swept(spark)
     classes = moves.where(F.col("h").isNotNull()).select("h", "g", "c", "k")
     then = within + _matrix(moves.where(F.col("blob").isNotNull()))
     pairs = got.where(F.col("after").isNotNull()).select("h", "after")
@@ -519,6 +523,8 @@ def clustered(texts: DataFrame, symbols: Symbols) -> tuple[np.ndarray, np.ndarra
     for g, (_, k) in usual.items():
         of[end + 1 + g] = k
     dropped(spark, got)
+    del pairs
+    swept(spark)
     return of, then, classes.select("h", "c", "k"), told
 
 
@@ -579,6 +585,7 @@ def fit(texts: DataFrame) -> tuple[ClassModel, DataFrame]:
     n, v = (totals["n"] or 0) + ends, totals["v"] + (ends > 0)
     symbols = head_of(counts)
     dropped(texts.sparkSession, counts)
+    swept(texts.sparkSession)
     of, m, rare, told = clustered(texts, symbols)
     seen = np.concatenate([symbols.counts, [ends], np.zeros(GROUPS)]) + ADD
     mass = np.bincount(of, weights=seen, minlength=ALL)
@@ -590,7 +597,7 @@ def fit(texts: DataFrame) -> tuple[ClassModel, DataFrame]:
 
 
 def scored(texts: DataFrame, model: ClassModel, rare: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(keep..., n_tokens, n_known, train_tokens, base_score, score) of each row of hashed texts."""
+    """(keep..., n_tokens, n_known, train_tokens, base_score, score) of each row of hashed texts, which are not read after it returns."""
     held = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -622,7 +629,7 @@ def scored(texts: DataFrame, model: ClassModel, rare: DataFrame, keep: tuple[str
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in texts.schema.fields if f.name in keep)
     shape = fields + "n_tokens long, n_known long, base double, score double, words array<bigint>, unseen array<int>, before binary, after binary"
-    parts = written(texts.select(*keep, "h", "g").mapInArrow(run, shape).withColumn("row", F.monotonically_increasing_id()), "parts")
+    parts = written(texts.select(*keep, "h", "g").mapInArrow(run, shape).withColumn("row", F.monotonically_increasing_id()), "parts", CODEC)
     # a place and a class, of which there are fewer than 64, travel as one number
     rest = parts.select("row", F.posexplode(F.arrays_zip("words", "unseen")).alias("j", "t")).select("row", (F.col("j").cast("long") * 64 + F.col("t.unseen")).alias("jk"), F.col("t.words").alias("h"))
     known = F.shiftleft(F.shiftright("jk", 6), 6) + F.col("k")
@@ -635,6 +642,8 @@ def scored(texts: DataFrame, model: ClassModel, rare: DataFrame, keep: tuple[str
 
 def op9_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", fold_of(F.col("doc_id"), 5) == 1)
-    texts = written(hashed(docs, ("doc_id", "held_out")), "hashed")
+    texts = written(hashed(docs, ("doc_id", "held_out")), "hashed", CODEC)
     model, rare = fit(texts.where(~F.col("held_out")))
-    return scored(texts, model, rare, ("doc_id", "held_out")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    scores = scored(texts, model, rare, ("doc_id", "held_out"))
+    dropped(spark, texts)  # all that the scores need of them is written
+    return scores.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

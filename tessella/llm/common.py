@@ -6,6 +6,7 @@ ASCII and every byte of a longer code point is 0x80 or above.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -72,16 +73,17 @@ def shared_dir(spark: SparkSession) -> str:
     return root or "file://" + os.path.join(tempfile.gettempdir(), "tessella-shared")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Writes a table to the shared folder and reads it back.
 
     It cuts the lineage, and what is written once is neither computed again for
     a second reader nor lost with an executor. What a result still reads is
-    deleted when the application ends; all else by ``dropped``.
+    deleted when the application ends; all else by ``dropped``. codec: Parquet's
+    compression, where it is not the session's.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").parquet(path, compression=codec)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
@@ -97,6 +99,16 @@ def dropped(spark: SparkSession, *frames: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def swept(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished frames that nobody holds any more.
+
+    Its cleaner learns of them when the driver's garbage is collected; a driver that has memory to spare may not do so
+    the application ends, and all of its shuffles stay on disk at once. Those of the last job may stay until the next call.
+    """
+    gc.collect()  # frames in Python hold theirs in the JVM
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Bits of a sieve, at most: 8 MB travel to the tasks.
 SIEVE_BITS = 1 << 26
 

@@ -6,9 +6,11 @@ import re
 import time
 from collections import Counter
 from html.parser import HTMLParser
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyarrow import parquet
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -356,3 +358,30 @@ def test_sieve_refuses_no_value(spark):
     assert set(range(0, 5000, 5)) <= got and len(got) < 1600
     assert common.sieve(ids.limit(0), "id")(F.col("id")) is not None and spark.range(9).where(common.sieve(ids.where("id < 0"), "id")(F.col("id"))).count() == 0
     assert fold(None, 3) == 0
+
+
+# -- language model
+def test_class_lm_keeps_on_disk_what_its_scores_read(spark, tmp_path):
+    root = Path(common.shared_dir(spark).removeprefix("file://")) / spark.sparkContext.applicationId
+    there = lambda: set(root.iterdir()) if root.exists() else set()
+    before, rows = there(), documents(60)
+    got = class_lm.op9_class_lm(spark, tables(spark, tmp_path, documents=frame(spark, rows)))
+    left = {p.name.rsplit("-", 1)[0]: p for p in there() - before}
+    assert "parts" in left and not {"hashed", "passed", "counts"} & set(left)
+    files = list(left["parts"].glob("*.parquet"))
+    assert files and all(parquet.ParquetFile(f).metadata.row_group(0).column(0).compression == "ZSTD" for f in files)
+    assert sorted(str(r.doc_id) for r in got.collect()) == sorted(str(r[0]) for r in rows)
+
+
+def test_shuffles_of_finished_frames_leave_the_disk(spark):
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    names = lambda: set(re.findall(r"shuffle_\d+_", disk.getAllFiles().mkString(" ")))
+    before = names()
+    assert spark.range(1000).repartition(3, "id").groupBy(F.col("id") % 7).count().count() == 7
+    made = names() - before
+    assert made and spark.sparkContext.parallelize([1], 1).count() == 1  # Spark may hold the last job's frame
+    common.swept(spark)
+    until = time.time() + 30
+    while names() & made and time.time() < until:
+        time.sleep(0.1)
+    assert not names() & made
